@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.llm import credentials, leakage, neighbours, sentences, split
+from siltstone.llm import credentials, leakage, neighbours, origin, sentences, split
 
 
 def queries() -> dict:
     return {
         "p1_found": credentials.p1_found, "p1_redacted": credentials.p1_redacted,
         "p4_found": split.p4_found, "p4_pieces": split.p4_pieces,
+        "p5_found": origin.p5_found,
         "p6_found": neighbours.p6_found, "p6_neighbours": neighbours.p6_neighbours,
         "p7_found": leakage.p7_found, "p9_found": sentences.p9_found,
     }
