@@ -26,6 +26,8 @@ TRAIN_FILES = 20_000
 #: Weight of a labelled file against one without a label in training. About half of the tools' files
 #: carry no label, so where both kinds look alike the label has to outweigh its absence.
 LABEL_WEIGHT = 4.0
+#: Probability of the first forest from which a file without a label is no reliable negative.
+DOUBTFUL = 0.12
 #: Probability from which the forest's word counts.
 THRESHOLD = 0.5
 #: The project whose own copyright lines are no sign of another project.
@@ -165,26 +167,44 @@ def with_labels(files: DataFrame) -> DataFrame:
     return files.withColumn("label", ((F.col("told") > 0) | path.rlike(f"(?i){TOOL_NAMES}") | _in_folder(path, VENDOR_FOLDERS) | _in_folder(path, OUTPUT_FOLDERS)).cast("int"))
 
 
+def training_sample(labelled: DataFrame) -> DataFrame:
+    """At most TRAIN_FILES files chosen by the hash of their paths, half of them labelled if there are so many.
+
+    Copies from other projects are left out: they were written by hand somewhere, so their
+    contents teach nothing.
+    """
+    copied = (F.col("told") == 2) | _in_folder(F.col("file_path"), VENDOR_FOLDERS)
+    pick = lambda y: labelled.where((F.col("label") == y) & ~copied).orderBy(F.xxhash64("file_path"), "file_path").limit(TRAIN_FILES // 2).select("label", *FEATURES)
+    return pick(1).unionByName(pick(0))
+
+
 def train(labelled: DataFrame, trees: int = 60, depth: int = 8, seed: int = 5):
-    """A random forest on at most TRAIN_FILES files, chosen by the hash of their paths. None if only one label occurs."""
+    """A random forest for labels that are right but not complete. None if only one label occurs.
+
+    The first forest finds, among the files without a label, those that look like labelled ones;
+    they are as good as unlabelled and take no part in the second, which is trained on labelled
+    files against reliable negatives.
+    """
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
-    # copies from other projects were written by hand somewhere: their contents teach nothing
-    copied = (F.col("told") == 2) | _in_folder(F.col("file_path"), VENDOR_FOLDERS)
-    pick = lambda y: labelled.where((F.col("label") == y) & ~copied).orderBy(F.xxhash64("file_path"), "file_path").limit(TRAIN_FILES // 2).select("label", *FEATURES)
-    sample = pick(1).unionByName(pick(0)).toPandas()  # bounded by TRAIN_FILES
+    sample = training_sample(labelled).toPandas()  # bounded by TRAIN_FILES
     if sample["label"].nunique() < 2:
         return None
     sample["weight"] = sample["label"].map({1: LABEL_WEIGHT, 0: 1.0})
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled.sparkSession.createDataFrame(sample)).coalesce(4)
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, maxBins=64)
-    return forest.fit(data)
+    data = labelled.sparkSession.createDataFrame(sample).coalesce(4)
+    forest = Pipeline(stages=[
+        VectorAssembler(inputCols=FEATURES, outputCol="features"),
+        RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, maxBins=64),
+    ])
+    first = forest.fit(data).transform(data).withColumn("p", vector_to_array("probability")[1])
+    return forest.fit(first.where((F.col("label") == 1) | (F.col("p") < DOUBTFUL)).select("label", "weight", *FEATURES))
 
 
 def judged_files(chunks: DataFrame) -> DataFrame:
     """(file_path, told, label, probability): every file with its label and the forest's probability that nobody wrote it."""
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     from siltstone.session import cut_lineage
@@ -193,8 +213,7 @@ def judged_files(chunks: DataFrame) -> DataFrame:
     model = train(labelled)
     if model is None:
         return labelled.select("file_path", "told", "label", F.col("label").cast("double").alias("probability"))
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled))
-    return scored.select("file_path", "told", "label", vector_to_array("probability")[1].alias("probability"), *FEATURES)
+    return model.transform(labelled).select("file_path", "told", "label", vector_to_array("probability")[1].alias("probability"), *FEATURES)
 
 
 def unwritten_files(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
