@@ -4,7 +4,7 @@ A source's documents are put into a pseudo-random order and joined into blocks o
 in tokens of a public tokenizer. Slots of the mixture are given to sources by a low-discrepancy
 sequence: the golden-ratio points are mapped through the cumulative weights, so that after any
 number of slots every source has had its share to within a few blocks. The r-th slot of a
-source takes its r-th block; when the blocks are used up the source starts over, at most
+source takes the r-th block of the source's documents, which follow each other again and again, at most
 ``max_repeats`` times.
 
 Ranks and running sums are made in two steps, inside buckets of bounded size and over the few
@@ -114,30 +114,32 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 
 
 def blocks(sizes: DataFrame, order: list[dict], block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
-    """(source, doc_id, tokens, block, part): documents in pseudo-random order, cut into blocks of equal size.
+    """(source, doc_id, pass, block, part): documents in pseudo-random order, cut into blocks of equal size.
 
-    A document that crosses the border of blocks belongs to each of them with ``part`` tokens.
-    The order is by a hash of the document's id; its leading bits are the bucket in which the
+    The passes over a source follow each other without a gap, so every block is whole. A
+    document that crosses the border of blocks belongs to each of them with ``part`` tokens. The
+    order is by a hash of the document's id; its leading bits are the bucket in which the
     running sum is made, and the buckets' totals give the rest of the sum.
     """
     spark = sizes.sparkSession
-    buckets = spark.createDataFrame([(r["source"], max(1, r["docs"] // BUCKET)) for r in order if r["take"] > 0] or [("", 1)], "source string, buckets int")
+    live = [(r["source"], max(1, r["docs"] // BUCKET), r["tokens"], min(r["r"], int(r["take"] // max(1, r["tokens"])) + 1)) for r in order if r["take"] > 0]
+    given = spark.createDataFrame(live or [("", 1, 0, 1)], "source string, buckets int, size long, passes int")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = sizes.where(F.col("tokens") > 0).join(F.broadcast(buckets), "source").withColumn("h", F.shiftrightunsigned(h, 1))
+    rows = sizes.where(F.col("tokens") > 0).join(F.broadcast(given), "source").withColumn("h", F.shiftrightunsigned(h, 1))
     rows = rows.withColumn("bucket", F.least(F.col("buckets") - 1, F.floor(F.col("h") / F.lit(float(2**63)) * F.col("buckets"))).cast("int"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).select("source", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
-    placed = rows.join(starts, ["source", "bucket"]).withColumn("end", F.col("start") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("tokens"))
+    placed = rows.join(starts, ["source", "bucket"]).withColumn("last", F.col("start") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).withColumn("end", F.col("last") + F.col("pass") * F.col("size")).withColumn("begin", F.col("end") - F.col("tokens"))
     size = F.lit(block_tokens)
-    first, last = F.floor(F.col("begin") / size), F.floor((F.col("end") - 1) / size)
-    cut = placed.select("source", "doc_id", "tokens", "begin", "end", F.explode(F.sequence(first, last)).alias("block"))
+    cut = passes.select("source", "doc_id", "pass", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("end") - 1) / size))).alias("block"))
     part = F.least(F.col("end"), (F.col("block") + 1) * size) - F.greatest(F.col("begin"), F.col("block") * size)
-    return cut.select("source", "doc_id", "tokens", "block", part.alias("part"))
+    return cut.select("source", "doc_id", "pass", "block", part.alias("part"))
 
 
 def schedule(spark: SparkSession, order: list[dict], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(slot, source, block, pass): which block of which source stands at each slot.
+    """(slot, source, block): which block of which source stands at each slot.
 
     Slot i gets the source into whose part of the cumulative weights the fractional part of
     (i + 1/2) times the golden ratio falls. Slots are ranked per source inside buckets of
@@ -146,7 +148,7 @@ def schedule(spark: SparkSession, order: list[dict], block_tokens: int = BLOCK_T
     """
     live = [r for r in order if r["take"] > 0]
     if not live:
-        return spark.createDataFrame([], "slot long, source string, block long, pass int")
+        return spark.createDataFrame([], "slot long, source string, block long")
     total = sum(r["take"] for r in live)
     slots = max(1, int(total / block_tokens))
     edges, at = [], 0.0
@@ -161,13 +163,9 @@ def schedule(spark: SparkSession, order: list[dict], block_tokens: int = BLOCK_T
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = given.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "bucket").orderBy("slot")
-    ranked = given.join(starts, ["source", "bucket"]).withColumn("rank", F.col("start") + F.row_number().over(inside) - 1)
-    # whole blocks only: the last, shorter block of a source is used in no pass but counts as the next pass' start
-    whole = spark.createDataFrame([(r["source"], max(1, -(-r["tokens"] // block_tokens)), r["r"]) for r in live], "source string, blocks long, repeats int")
-    return (
-        ranked.join(F.broadcast(whole), "source").withColumn("pass", F.floor(F.col("rank") / F.col("blocks")).cast("int"))
-        .where(F.col("pass") < F.col("repeats")).select("slot", "source", (F.col("rank") % F.col("blocks")).alias("block"), "pass")
-    )
+    ranked = given.join(starts, ["source", "bucket"]).withColumn("block", F.col("start") + F.row_number().over(inside) - 1)
+    most = spark.createDataFrame([(r["source"], r["most"] // block_tokens) for r in live], "source string, most long")
+    return ranked.join(F.broadcast(most), "source").where(F.col("block") < F.col("most")).select("slot", "source", "block")
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
