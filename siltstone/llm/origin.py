@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled files that the forest is trained on, at most; half of them with a label if there are so many.
+#: Files that the forest is trained on, at most.
 TRAIN_FILES = 20_000
 #: Weight of a labelled file against one without a label in training. About half of the tools' files
 #: carry no label, so where both kinds look alike the label has to outweigh its absence.
@@ -168,14 +168,13 @@ def with_labels(files: DataFrame) -> DataFrame:
 
 
 def training_sample(labelled: DataFrame) -> DataFrame:
-    """At most TRAIN_FILES files chosen by the hash of their paths, half of them labelled if there are so many.
+    """At most TRAIN_FILES files chosen by the hash of their paths, so that the share of labelled ones is that of all.
 
     Copies from other projects are left out: they were written by hand somewhere, so their
     contents teach nothing.
     """
     copied = (F.col("told") == 2) | _in_folder(F.col("file_path"), VENDOR_FOLDERS)
-    pick = lambda y: labelled.where((F.col("label") == y) & ~copied).orderBy(F.xxhash64("file_path"), "file_path").limit(TRAIN_FILES // 2).select("label", *FEATURES)
-    return pick(1).unionByName(pick(0))
+    return labelled.where(~copied).orderBy(F.xxhash64("file_path"), "file_path").limit(TRAIN_FILES).select("label", *FEATURES)
 
 
 def train(labelled: DataFrame, trees: int = 60, depth: int = 8, seed: int = 5):
