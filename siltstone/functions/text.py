@@ -36,6 +36,12 @@ def extract_identifiers(code: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, F.lower), lambda w: (F.length(w) > 1) & ~F.array_contains(words, w)))
 
 
+def identifiers_of(code: str) -> list[str]:
+    """``extract_identifiers`` of one text, outside of a plan."""
+    found = [w.lower() for p in fixed.IDENTIFIER_PATTERNS for w in re.findall(p, code, re.A)]
+    return list(dict.fromkeys(w for w in found if len(w) > 1 and w not in fixed.KEYWORDS))
+
+
 def camel_parts(word: str) -> list[str]:
     spaced = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z])([A-Z])", r"\1 \2", word))
     return [p for p in re.split(r"[\s_-]+", spaced) if p]

@@ -10,6 +10,7 @@ don't depend on the layout. Null texts match nothing; unusable vectors take no p
 from __future__ import annotations
 
 from functools import reduce
+from typing import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,13 +200,10 @@ def hybrid_search(
     the query and by the type of file, divided by the greatest score; below ``threshold``
     nothing is shown. Equal scores go by vector rank, then word rank.
     """
-    from pyspark.sql import Row
-
     near = hydrate(knn(chunks, query_vector, 2 * k, path_prefix), chunks, ("file_path", "start_line"))
     said = hydrate(bm25(chunks, query, 2 * k, path_prefix), chunks, ("file_path", "start_line"))
     fused = hydrate(fuse(near, said, weights[0], weights[1]).drop("file_path", "start_line"), chunks)
-    spark = chunks.sparkSession
-    wanted = spark.createDataFrame([Row(q=query)]).select(text.extract_identifiers(F.col("q")).alias("i")).first()["i"]  # of the query alone
+    wanted = text.identifiers_of(query)
     shared = F.size(F.array_intersect(text.extract_identifiers(F.col("chunk_text")), F.array(*(F.lit(w) for w in wanted)).cast("array<string>")))
     score = F.col("rrf") * scalar.identifier_boost(shared, identifier_boost) * scalar.file_type_multiplier(F.col("file_path")) * F.lit(weights[2])
     scored = fused.withColumn("score", score)
@@ -259,15 +257,14 @@ def cross_rerank(results: DataFrame, query: str, score, max_tokens: int = 512) -
 
     The scorer runs in Arrow batches on the executors; texts are cut to ``max_tokens``.
     """
-    from typing import Iterator
-
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def logits(batches):
         for texts in batches:
             yield pd.Series([float(x) for x in score(query, texts.tolist())])
 
+    logits.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    logits = F.pandas_udf(logits, "double")
     scored = results.withColumn("_t", F.coalesce(scalar.truncate_tokens(F.col("chunk_text"), max_tokens), F.lit(""))).withColumn("rerank_score", F.round(scalar.sigmoid(logits("_t")), DECIMALS)).drop("_t")
     return scored.withColumn("new_rank", _rank([F.desc("rerank_score"), F.col("rank")]))
 

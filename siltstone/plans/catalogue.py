@@ -1,13 +1,626 @@
-"""All core queries and their SQL."""
+"""All core queries over the test tables, and the same in SQL."""
 
 from __future__ import annotations
 
-from siltstone.operators import incremental
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import fixed, globs, scalar, text, tokenizers
+from siltstone.operators import chunking, embed, incremental, maintenance, observe, search
+from siltstone.session import table
+from siltstone.streaming import events as ev
+
+DIM = 64
+QUERY = "const value loadIndex cache"
+VECTOR = embed.placeholder_vector(QUERY, DIM)
+SINCE = "2026-01-20 00:00:00"
+LITERAL = "update new"
+REGEX_KINDS = "function", "class", "interface"
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'" + str(w).replace("'", "''") + "'" for w in words) + "]"
+
+
+def _vector_sql(v: list[float]) -> str:
+    return "[" + ", ".join(repr(x) for x in v) + "]::DOUBLE[]"
+
+
+#: One row per id, as the search queries see the table.
+ONE = "one AS (SELECT DISTINCT ON (id) id, file_path, chunk_index, chunk_text, start_line, end_line, embedding, identifiers, file_hash FROM chunks WHERE id IS NOT NULL ORDER BY id)"
+USABLE = f"embedding IS NOT NULL AND len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+KNN = f"knn AS (SELECT id, file_path, start_line, round(list_cosine_similarity(embedding::DOUBLE[], {_vector_sql(VECTOR)}), 6) AS similarity FROM one WHERE {USABLE})"
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks")
+
+
+# ---- sources and filters
+
+@query(f"SELECT DISTINCT path FROM file_events WHERE lower(event_type) IN ('add', 'change') AND ts > TIMESTAMPTZ '{SINCE}+00' AND path IS NOT NULL")
+def modified_since(spark, d):
+    """Files changed after a time."""
+    return maintenance.modified_since(table(spark, d, "file_events"), SINCE)
+
+
+@query("SELECT path, count(*) AS n FROM (SELECT path FROM file_events WHERE event_type = 'add' UNION SELECT path FROM file_events WHERE event_type = 'change') GROUP BY path UNION ALL SELECT path, 0 AS n FROM file_events WHERE event_type = 'unlink'")
+def union_files(spark, d):
+    """Distinct union of two listings, then all of a third."""
+    e = table(spark, d, "file_events")
+    of = lambda t: e.where(F.col("event_type") == t).select("path")
+    both = maintenance.union_files(of("add"), of("change"), of("unlink").limit(0)).withColumn("n", F.lit(1))
+    return both.unionByName(of("unlink").withColumn("n", F.lit(0)))
+
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) / 1024.0 <= 1")
+def size_filter(spark, d):
+    """Texts within a size."""
+    return maintenance.within_size(table(spark, d, "documents"), "text", 1).select("doc_id")
+
+
+@query(f"""SELECT DISTINCT file_path, NOT regexp_matches(file_path, '{globs.globs_to_regex(fixed.EXCLUDE_GLOBS).replace("'", "''")}')
+ AND regexp_matches(file_path, '{globs.globs_to_regex(fixed.INCLUDE_GLOBS).replace("'", "''")}') AS indexed FROM chunks""")
+def glob_filter(spark, d):
+    """include and exclude globs over all paths."""
+    return chunks(spark, d).select("file_path").distinct().withColumn("indexed", globs.should_index(F.col("file_path")))
+
+
+@query(f"SELECT DISTINCT file_path, len(list_filter({_list(fixed.BLACKLIST)}, lambda b: contains(file_path, b))) > 0 AND NOT contains(file_path, 'vendors') AS blocked, NOT contains(file_path, '..') AS safe FROM chunks")
+def blacklist_filter(spark, d):
+    """blacklisted and safe paths."""
+    p = F.col("file_path")
+    return chunks(spark, d).select("file_path").distinct().select("file_path", globs.blacklisted(p, whitelist=["vendors"]).alias("blocked"), (~p.contains("..")).alias("safe"))
+
+
+@query("SELECT DISTINCT id FROM chunks WHERE starts_with(file_path, 'src/core/')")
+def path_prefix(spark, d):
+    """a prefix of paths, pushed into the scan."""
+    return chunks(spark, d).where(globs.has_prefix(F.col("file_path"), "src/core/")).select("id").distinct()
+
+
+@query(f"SELECT len(embedding) AS size, count(*) AS vectors, len(embedding) = {DIM} AS matches FROM chunks WHERE embedding IS NOT NULL GROUP BY len(embedding)")
+def dim_check(spark, d):
+    """lengths of vectors against the configured one."""
+    return maintenance.dimension_check(chunks(spark, d), DIM)
+
+
+@query("SELECT DISTINCT id FROM chunks WHERE vector_pending")
+def pending_vectors(spark, d):
+    """Chunks whose vector is still to be made."""
+    return maintenance.pending_vectors(chunks(spark, d))
+
+
+@query(rf"""WITH {ONE}, l AS (SELECT id, chunk_text AS t, list_filter(string_split(chunk_text, chr(10)), lambda s: length(trim(s)) > 0)[1] AS f,
+ list_filter(string_split(chunk_text, chr(10)), lambda s: regexp_matches(s, '{fixed.DECLARATION}'))[1] AS d FROM one WHERE chunk_text IS NOT NULL)
+SELECT id, substr(CASE WHEN f IS NOT NULL AND regexp_matches(f, '{fixed.DECLARATION}') THEN t WHEN d IS NULL THEN t ELSE trim(d) || chr(10) || '...' || chr(10) || t END, 1, 450) AS preview FROM l""")
+def preview(spark, d):
+    """previews of all chunks."""
+    rows = chunks(spark, d).select("id", "chunk_text").where(F.col("chunk_text").isNotNull()).dropDuplicates(["id"])
+    return rows.select("id", search.preview(F.col("chunk_text")).alias("preview"))
+
+
+_COMMANDS = "concat('grep -rn \"', event_type, '\" ', path)"
+
+
+@query(rf"""SELECT DISTINCT c AS command, NOT (contains(c, 'git grep') OR regexp_matches(c, '\|\s*grep') OR contains(c, '>') OR (contains(c, '-l') AND NOT regexp_matches(c, '(?m)\.({fixed.GREP_ENDS})$')))
+ AND (regexp_matches(c, '(?m)\.({fixed.GREP_ENDS})$') OR regexp_matches(c, '(?m)^[^>]*grep\s+[^|]*[''"][^''"]+[''"][^|]*$')) AS is_search, regexp_extract(c, 'grep\s+(?:-[a-zA-Z]+\s+)*["'']([^"'']+)["'']', 1) AS pattern
+ FROM (SELECT 'grep -rn "' || event_type || '" ' || path AS c FROM file_events WHERE event_type IS NOT NULL AND path IS NOT NULL)""")
+def grep_parse(spark, d):
+    """grep commands and their patterns, made from the event log."""
+    c = F.concat(F.lit('grep -rn "'), F.col("event_type"), F.lit('" '), F.col("path"))
+    rows = table(spark, d, "file_events").select(c.alias("command")).where(F.col("command").isNotNull()).distinct()
+    return rows.select("command", text.is_code_grep(F.col("command")).alias("is_search"), text.grep_pattern(F.col("command")).alias("pattern"))
+
+
+@query("SELECT DISTINCT path FROM file_events WHERE event_type = 'unlink' AND path <> '' AND NOT starts_with(path, '-') AND NOT regexp_matches(path, '[&|;\\s]') AND NOT regexp_matches(path, '^[{}|$&<>`]')")
+def deleted_paths(spark, d):
+    """paths of rm commands, made from the event log."""
+    c = F.concat(F.lit("rm -rf "), F.col("path"))
+    return table(spark, d, "file_events").where(F.col("event_type") == "unlink").select(F.explode(text.deleted_paths(c)).alias("path")).distinct()
+
+
+# ---- joins and set operations
+
+@query(f"WITH {ONE}, {KNN}, top AS (SELECT id, similarity FROM knn ORDER BY similarity DESC, id LIMIT 20) SELECT id, similarity, file_path, start_line, end_line, chunk_text FROM top JOIN one USING (id)")
+def hydrate_join(spark, d):
+    """Text fetched for the best ids only."""
+    c = chunks(spark, d)
+    return search.hydrate(search.knn(c, VECTOR, 20).select("id", "similarity"), c)
+
+
+@query("SELECT DISTINCT file_path FROM chunks WHERE file_path IS NOT NULL EXCEPT SELECT DISTINCT path FROM file_events WHERE event_type IN ('add', 'change')")
+def orphan_files(spark, d):
+    """Indexed files that the log doesn't know."""
+    tracked = table(spark, d, "file_events").where(F.col("event_type").isin("add", "change")).select(F.col("path").alias("file_path"))
+    return maintenance.orphans(chunks(spark, d), tracked)
+
+
+_ENTRIES = r"""e AS (SELECT substr(key, 6) AS file_path, lower(regexp_extract(value, '(?i)hash"?\s*[:=]\s*"?([0-9a-fA-F]+)', 1)) AS file_hash FROM sync_state WHERE key LIKE 'file:%' AND regexp_matches(value, '(?i)run"?\s*[:=]\s*"?\d'))"""
+
+
+@query(f"WITH {_ENTRIES} SELECT c.file_path, c.file_hash FROM (SELECT DISTINCT file_path, file_hash FROM chunks) c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_path = c.file_path AND e.file_hash = c.file_hash)")
+def changed_files(spark, d):
+    """F8: versions whose hash was never recorded."""
+    now = chunks(spark, d).select("file_path", "file_hash").distinct()
+    return maintenance.changed_files(now, incremental.file_entries(table(spark, d, "sync_state")))
+
+
+@query(f"WITH {ONE}, w AS (SELECT id, regexp_extract_all(coalesce(identifiers, ''), '[a-z0-9_$]+') AS i FROM one) SELECT id, len(list_intersect(list_distinct(i), ['value', 'index', 'cache', 'load'])) AS matches FROM w")
+def identifier_matches(spark, d):
+    """Identifiers shared with a query."""
+    rows = chunks(spark, d).select("id", "identifiers").dropDuplicates(["id"])
+    found = F.regexp_extract_all(F.coalesce("identifiers", F.lit("")), F.lit("[a-z0-9_$]+"), F.lit(0))
+    return rows.select("id", F.size(F.array_intersect(found, F.array(*(F.lit(w) for w in ("value", "index", "cache", "load"))))).alias("matches"))
+
+
+# ---- aggregates
+
+@query("WITH o AS (SELECT id, max(file_path) AS file_path FROM chunks GROUP BY id) SELECT count(DISTINCT file_path) AS files, count(*) AS chunks, round(count(*) / greatest(1, count(DISTINCT file_path)), 6) AS mean_chunks FROM o")
+def index_stats(spark, d):
+    """Files, chunks, chunks per file."""
+    return observe.index_stats(chunks(spark, d))
+
+
+@query("SELECT DISTINCT file_path FROM chunks WHERE file_path IS NOT NULL")
+def indexed_files(spark, d):
+    """A5."""
+    return observe.indexed_files(chunks(spark, d))
+
+
+@query("SELECT file_path, count(DISTINCT id) AS chunks FROM chunks GROUP BY file_path")
+def chunks_per_file(spark, d):
+    """A11."""
+    return observe.chunks_per_file(chunks(spark, d))
+
+
+@query("SELECT lower(trim(name)) AS name, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM metrics WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY lower(trim(name))")
+def metrics_summary(spark, d):
+    """A6, A9, A10."""
+    return observe.metrics_summary(table(spark, d, "metrics"))
+
+
+@query("WITH c AS (SELECT count(*) FILTER (lower(trim(name)) = 'cache_hits') AS hits, count(*) FILTER (lower(trim(name)) = 'cache_misses') AS misses FROM metrics) SELECT hits, misses, round(CASE WHEN hits + misses > 0 THEN hits / (hits + misses) ELSE 0 END, 6) AS hit_rate FROM c")
+def cache_stats(spark, d):
+    """A3, A4."""
+    return observe.cache_stats(table(spark, d, "metrics"))
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST LIMIT 500")
+def keep_latest(spark, d):
+    """The newest rows of a log."""
+    return observe.keep_latest(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"), 500, ["ts", "event_id"])
+
+
+@query("SELECT id, round(len(chunk_text) / greatest((end_line - start_line) / 1000.0, 0.001), 6) AS per_second FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id)")
+def throughput(spark, d):
+    """Amount over time with a floor."""
+    rows = chunks(spark, d).dropDuplicates(["id"]).select("id", F.length("chunk_text").alias("n"), (F.col("end_line") - F.col("start_line")).alias("ms"))
+    return observe.throughput(rows, "n", "ms").select("id", "per_second")
+
+
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), lambda w: length(w) > 1)) AS term FROM documents) GROUP BY doc_id, term")
+def term_freq(spark, d):
+    """Words of each document."""
+    return observe.term_frequencies(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), lambda w: length(w) > 1) AS tokens FROM documents WHERE text IS NOT NULL")
+def fts_tokenize(spark, d):
+    """E1."""
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", text.fts_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range({DIM})) AS i FROM embeddings WHERE {USABLE}),
+m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i), s AS (SELECT label, sqrt(sum(x * x)) AS s FROM m GROUP BY label)
+SELECT label, list(round(x / s, 6) ORDER BY i) AS pooled FROM m JOIN s USING (label) GROUP BY label""")
+def mean_pool(spark, d):
+    """Centroids by label."""
+    return observe.mean_pool(table(spark, d, "embeddings"), "label", "embedding", DIM)
+
+
+# ---- scalar functions
+
+_DJB = "list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: xor((h * 33) & 4294967295, c))"
+
+
+@query(f"SELECT doc_id, CASE WHEN text = '' THEN 5381 ELSE {_DJB.format('text')} END AS h FROM documents WHERE text IS NOT NULL")
+def djb2a_hash(spark, d):
+    """X1, over whole texts."""
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", scalar.djb2a(F.col("text")).alias("h"))
+
+
+@query("""WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) AS c FROM documents WHERE text <> '')
+SELECT doc_id, printf('%08x', list_reduce(list_prepend(2216829733::BIGINT, c), lambda h, c: xor((h * 16777619) & 4294967295, c >> 8))) || printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, c), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS h FROM c""")
+def file_hash(spark, d):
+    """X2, over whole texts."""
+    return table(spark, d, "documents").where(F.col("text") != "").select("doc_id", scalar.file_hash(F.col("text")).alias("h"))
+
+
+_POWERS = [pow(16807, i + 1, 2147483647) for i in range(8)]
+
+
+@query(f"""WITH s AS (SELECT doc_id, (({_DJB.format('text')}) % 2147483647) | 1 AS seed FROM documents WHERE text <> ''),
+v AS (SELECT doc_id, list_transform({_POWERS}::BIGINT[], lambda p: ((seed * p) % 2147483647 / 2147483647.0::DOUBLE * 2 - 1)::FLOAT) AS v FROM s)
+SELECT doc_id, list_transform(v, lambda x: round((x::DOUBLE / sqrt(list_sum(list_transform(v, lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE, 5)) AS v FROM v""")
+def placeholder_embedding(spark, d):
+    """Vectors made from hashes of whole texts, eight numbers each."""
+    rows = table(spark, d, "documents").where(F.col("text") != "").select("doc_id", scalar.placeholder_embedding(F.col("text"), 8).alias("v"))
+    return rows.select("doc_id", F.transform("v", lambda x: F.round(x.cast("double"), 5)).alias("v"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS v FROM embeddings")
+def l2_normalize(spark, d):
+    """X6."""
+    return table(spark, d, "embeddings").select("vec_id", F.transform(scalar.l2_normalize(F.col("embedding")), lambda x: F.round(x, 5)).alias("v"))
+
+
+@query("SELECT doc_id, ceil(length(text) / 3.0)::BIGINT AS tokens, md5(substr(text, 1, 150)) AS cut, md5(substr(text, 1, 153)) AS context, round(1 / (1 + exp(-length(text) / 1000.0)), 6) AS sigmoid FROM documents")
+def token_estimates(spark, d):
+    """X8, X9, X10, X11."""
+    t = F.col("text")
+    return table(spark, d, "documents").select(
+        "doc_id", scalar.estimate_tokens(t).alias("tokens"), F.md5(scalar.truncate_tokens(t, 50).cast("binary")).alias("cut"),
+        F.md5(scalar.truncate_to_context(t, 64).cast("binary")).alias("context"), F.round(scalar.sigmoid(F.length(t) / 1000.0), 6).alias("sigmoid"),
+    )
+
+
+_CAMEL = "list_filter(string_split_regex(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[\\s_-]+'), lambda p: p <> '')"
+_NAMES = "SELECT DISTINCT unnest(regexp_extract_all(chunk_text, '[a-zA-Z_$][a-zA-Z0-9_$]*')) AS name FROM chunks"
+
+
+def _names(spark, d):
+    return chunks(spark, d).select(F.explode(F.regexp_extract_all("chunk_text", F.lit("[a-zA-Z_$][a-zA-Z0-9_$]*"), F.lit(0))).alias("name")).distinct()
+
+
+@query(f"SELECT name, {_CAMEL.format('name')} AS parts FROM ({_NAMES})")
+def split_camel(spark, d):
+    """Parts of all names in the code."""
+    return _names(spark, d).select("name", text.split_camel(F.col("name")).alias("parts"))
+
+
+@query(f"""WITH p AS (SELECT name, list_transform({_CAMEL.format('name')}, lambda p: lower(p)) AS l FROM ({_NAMES})),
+k AS (SELECT name, l, list_filter(l, lambda p: NOT list_contains({_list(fixed.VARIANT_STOPWORDS)}, p)) AS k FROM p WHERE len(l) >= 2),
+u AS (SELECT name, CASE WHEN len(k) >= 2 THEN k ELSE l END AS u FROM k),
+c AS (SELECT name, u, list_transform(u, lambda p: upper(substr(p, 1, 1)) || substr(p, 2)) AS t FROM u)
+SELECT name, list_sort(list_distinct([array_to_string(u, ' '), u[1] || array_to_string(t[2:], ''), array_to_string(u, '_'), u[1] || t[2], u[-2] || t[-1]])) AS variants FROM c""")
+def identifier_variants(spark, d):
+    """Ways to write all names of several parts."""
+    rows = _names(spark, d).select("name", text.variant_columns(text.split_camel(F.col("name"))).alias("variants"))
+    return rows.where(F.size("variants") > 0).select("name", F.array_sort("variants").alias("variants"))
+
+
+_SYN = ", ".join(f"'{k}': {_list(v)}" for k, v in fixed.SYNONYMS.items())
+
+
+@query(f"""WITH w AS ({_NAMES}), s AS (SELECT name, lower(name) AS l, MAP {{{_SYN}}} AS m FROM w)
+SELECT name, list_sort(list_distinct(list_concat([l], coalesce(m[l], []), list_filter(list_transform({_CAMEL.format('name')}, lambda p: lower(p)), lambda p: length(p) > 2)))) AS terms FROM s""")
+def expand_query(spark, d):
+    """Names with their synonyms and parts, by a table of synonyms joined as a map."""
+    syn = F.create_map(*(x for k, v in fixed.SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
+    low = F.lower("name")
+    parts = F.filter(F.transform(text.split_camel(F.col("name")), F.lower), lambda p: F.length(p) > 2)
+    found = F.concat(F.array(low), F.coalesce(F.element_at(syn, low), F.array().cast("array<string>")), parts)
+    return _names(spark, d).select("name", F.array_sort(F.array_distinct(found)).alias("terms"))
+
+
+@query("SELECT item_id, CASE WHEN len(w) = 0 THEN '' WHEN len(w) <= 6 THEN array_to_string(list_transform(w, lambda x: x || '*'), ' AND ') ELSE array_to_string(list_transform(w, lambda x: x || '*'), ' OR ') END AS q FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(prompt, '[:\"()''*+\\-^~]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2) AS w FROM eval_items)")
+def fts_prefix_query(spark, d):
+    """Prefix queries of all prompts."""
+    words = F.filter(F.split(F.regexp_replace("prompt", text.SPECIAL, " "), r"\s+"), lambda w: F.length(w) >= 2)
+    stars = F.transform(words, lambda w: F.concat(w, F.lit("*")))
+    return table(spark, d, "eval_items").select("item_id", F.when(F.size(words) <= 6, F.array_join(stars, " AND ")).otherwise(F.array_join(stars, " OR ")).alias("q"))
+
+
+_FOUND = " ".join(["list_concat("] + [f"regexp_extract_all(chunk_text, '{p.replace(chr(39), chr(39) * 2)}', 1), " for p in fixed.IDENTIFIER_PATTERNS]).rstrip(", ") + ")"
+
+
+@query(f"WITH {ONE} SELECT id, list_sort(list_distinct(list_filter(list_transform({_FOUND}, lambda x: lower(x)), lambda x: length(x) > 1 AND NOT list_contains({_list(fixed.KEYWORDS)}, x)))) AS identifiers FROM one WHERE chunk_text IS NOT NULL")
+def extract_identifiers(spark, d):
+    """Identifiers of all chunks."""
+    rows = chunks(spark, d).select("id", "chunk_text").where(F.col("chunk_text").isNotNull()).dropDuplicates(["id"])
+    return rows.select("id", F.array_sort(text.extract_identifiers(F.col("chunk_text"))).alias("identifiers"))
+
+
+_MULT = ", ".join(f"'{k}': {v}" for k, v in fixed.FILE_TYPE_MULTIPLIERS.items())
+
+
+@query(f"SELECT DISTINCT file_path, coalesce((MAP {{{_MULT}}})[lower(string_split(file_path, '.')[-1])], 1.0)::DOUBLE AS weight FROM chunks")
+def file_type_multiplier(spark, d):
+    """E9."""
+    return chunks(spark, d).select("file_path").distinct().withColumn("weight", scalar.file_type_multiplier(F.col("file_path")))
+
+
+_BM25TF = """WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), lambda w: length(w) > 1) AS w FROM documents),
+n AS (SELECT doc_id, w, len(w) AS dl FROM t WHERE len(w) > 0), m AS (SELECT avg(dl) AS mean FROM n),
+s AS (SELECT doc_id, list_sum(list_transform(['index', 'cache', 'index'], lambda q: ln(1 + 2.5 * len(list_filter(w, lambda x: x = q)) / (1.5 * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean) + len(list_filter(w, lambda x: x = q)))))) AS score FROM n, m),
+r AS (SELECT doc_id, round(score, 6) AS score FROM s WHERE round(score, 6) > 0)"""
+
+
+@query(f"{_BM25TF} SELECT doc_id, score, round(least(1.0, score / (SELECT max(score) FROM r)), 6) AS norm FROM r")
+def bm25_tf(spark, d):
+    """The variant without idf, and its normal form."""
+    return observe.normalize_scores(observe.bm25_tf(table(spark, d, "documents"), "doc_id", "text", "index cache index"))
+
+
+@query("SELECT id, round(1 / (60.0 + rv) + 1 / (60.0 + rb), 9) AS s, round(1 + rv % 3 * 0.5::DOUBLE, 6) AS boost FROM (SELECT id, chunk_index AS rv, start_line AS rb FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id))")
+def rrf_plain(spark, d):
+    """Reciprocal ranks of two numbers, and the boost."""
+    rows = chunks(spark, d).dropDuplicates(["id"])
+    return rows.select("id", F.round(scalar.rrf([F.col("chunk_index"), F.col("start_line")]), 9).alias("s"), F.round(scalar.identifier_boost(F.col("chunk_index") % 3), 6).alias("boost"))
+
+
+@query()
+def wordpiece(spark, d):
+    """Pieces of all documents with a small vocabulary."""
+    vocabulary = tokenizers.char_vocabulary("the index cache token value line chunk file vector every".split())
+    return table(spark, d, "documents").select("doc_id", tokenizers.wordpiece_column(F.col("text"), vocabulary).alias("ids"))
+
+
+@query()
+def bpe(spark, d):
+    """Merges of all documents with a few ranks."""
+    ranks = {pair: i for i, pair in enumerate([("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), (" ", "the"), ("in", "g")])}
+    return table(spark, d, "documents").select("doc_id", tokenizers.bpe_column(F.col("text"), ranks).alias("pieces"))
+
+
+# ---- chunking
+
+def _kind_sql(line: str, end: str) -> str:
+    q = lambda p: p.replace("'", "''")
+    js = [f"WHEN regexp_matches({line}, '{q(p)}') THEN 'function'" for p in fixed.JS_FUNCTIONS]
+    js += [f"WHEN regexp_matches({line}, '{q(fixed.JS_CLASS)}') THEN 'class'", f"WHEN regexp_matches({line}, '{q(fixed.JS_INTERFACE)}') THEN 'interface'"]
+    js += [f"WHEN regexp_matches({line}, '{q(p)}') THEN CASE WHEN contains({line}, 'interface') THEN 'interface' WHEN contains({line}, 'class') THEN 'class' ELSE 'other' END" for p in fixed.JS_OTHER]
+    arms = [f"WHEN list_contains({_list(fixed.JS_ENDS)}, {end}) THEN CASE {' '.join(js)} END"]
+    for ends, patterns in fixed.LANGUAGE_PATTERNS.items():
+        arms.append(f"WHEN list_contains({_list(ends)}, {end}) THEN CASE " + " ".join(f"WHEN regexp_matches({line}, '{q(p)}') THEN '{k}'" for k, p in patterns) + " END")
+    return f"coalesce(CASE {' '.join(arms)} END, CASE WHEN regexp_matches({line}, '{fixed.IMPORT}') THEN 'import' WHEN regexp_matches({line}, '{fixed.COMMENT}') THEN 'comment' END)"
+
+
+_LINES = f"{ONE}, l AS (SELECT id, lower(string_split(file_path, '.')[-1]) AS e, unnest(string_split(chunk_text, chr(10))) AS line, unnest(range(len(string_split(chunk_text, chr(10))))) AS line_no FROM one WHERE chunk_text IS NOT NULL), k AS (SELECT id, line_no, line, {_kind_sql('line', 'e')} AS kind FROM l)"
+
+
+@query(f"WITH {_LINES} SELECT id, line_no::INT AS line_no, kind FROM k WHERE kind IS NOT NULL")
+def boundaries(spark, d):
+    """Where something begins, in all chunks."""
+    return chunking.boundaries(chunks(spark, d).dropDuplicates(["id"]), "id", "file_path", "chunk_text")
+
+
+_SEGMENTS = f"""WITH {_LINES}, g AS (SELECT id, line_no, line, greatest(sum(CASE WHEN kind IN ('function', 'class', 'interface') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_no) - 1, 0) AS segment FROM k),
+s AS (SELECT id, segment::INT AS segment, min(line_no)::INT AS start_line, max(line_no)::INT AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS text FROM g GROUP BY id, segment)"""
+
+
+@query(f"{_SEGMENTS} SELECT id, segment, start_line, end_line, md5(text) AS text FROM s WHERE regexp_matches(text, '\\S')")
+def semantic_chunks(spark, d):
+    """Chunks cut before their functions, classes and interfaces."""
+    s = chunking.segments(chunks(spark, d).dropDuplicates(["id"]), "id", "file_path", "chunk_text")
+    return s.select("id", "segment", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query()
+def token_chunks(spark, d):
+    """Documents cut by size with overlapping lines."""
+    return chunking.chunk_files(table(spark, d, "documents").withColumn("path", F.lit("a.txt")), "doc_id", "path", "text", 128, 32, 512)
+
+
+@query("SELECT DISTINCT id, CASE WHEN start_line < 0 THEN 'negative start' WHEN end_line < start_line THEN 'end before start' WHEN NOT coalesce(regexp_matches(chunk_text, '\\S'), false) THEN 'blank text' END AS problem FROM chunks WHERE start_line < 0 OR end_line < start_line OR NOT coalesce(regexp_matches(chunk_text, '\\S'), false)")
+def validate_chunks(spark, d):
+    """C6, F9."""
+    return chunking.invalid_chunks(chunks(spark, d))
+
+
+# ---- search
+
+@query(f"WITH {ONE}, {KNN} SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id)::INT AS rank FROM knn QUALIFY rank <= 20")
+def knn_exact(spark, d):
+    """Exact nearest chunks."""
+    return search.knn(chunks(spark, d), VECTOR, 20)
+
+
+@query()
+def knn_approx(spark, d):
+    """V2: nearest chunks by random projections."""
+    return search.knn_lsh(chunks(spark, d), VECTOR, 20)
+
+
+@query(f"WITH {ONE}, {KNN} SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id)::INT AS rank FROM knn WHERE starts_with(file_path, 'src/') QUALIFY rank <= 10")
+def knn_filtered(spark, d):
+    """V3: nearest chunks under a path."""
+    return search.knn(chunks(spark, d), VECTOR, 10, "src/")
+
+
+@query(f"WITH {ONE}, {KNN}, r AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id)::INT AS rank FROM knn) SELECT * FROM r WHERE rank <= 10 AND similarity >= 0.3")
+def vector_search(spark, d):
+    """Nearest chunks above a threshold."""
+    return search.vector_search(chunks(spark, d), VECTOR, 10, 0.3)
+
+
+@query(f"""WITH {ONE}, w AS (SELECT id, list_filter(string_split_regex(lower(concat_ws(' ', file_path, chunk_text, identifiers)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM one)
+SELECT term, id, count(*) AS tf, dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY term, id, dl""")
+def postings(spark, d):
+    """The inverted index."""
+    return search.postings(chunks(spark, d))
+
+
+_PHRASES = list(dict.fromkeys(tuple(w) for p in text.query_phrases(QUERY) if (w := text.phrase_words(p))))
+_PATTERNS = [" " + "  ".join(p) + " " for p in _PHRASES]
+_BM = f"""j AS (SELECT id, file_path, start_line, list_filter(string_split_regex(lower(concat_ws(' ', file_path, chunk_text, identifiers)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM one),
+jj AS (SELECT id, file_path, start_line, len(w) AS dl, ' ' || array_to_string(w, '  ') || ' ' AS j FROM j),
+ph AS (SELECT unnest({_list(_PATTERNS)}) AS p), tf AS (SELECT id, p, dl, (length(j) - length(replace(j, p, ''))) // length(p) AS tf FROM jj, ph),
+st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM jj WHERE dl > 0), df AS (SELECT p, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY p),
+bs AS (SELECT id, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS similarity, sum(tf) AS hits FROM tf JOIN df USING (p), st GROUP BY id),
+bm AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id)::INT AS rank FROM bs WHERE hits > 0)"""
+
+
+@query(f"WITH {ONE}, {_BM} SELECT * FROM bm WHERE rank <= 20")
+def bm25_search(spark, d):
+    """Keyword search by phrases."""
+    return search.bm25(chunks(spark, d), QUERY, 20)
+
+
+@query(f"WITH {ONE}, {_BM} SELECT id, similarity, rank, file_path, start_line, 'keyword search' AS note FROM bm JOIN one USING (id) WHERE rank <= 10")
+def fts_only(spark, d):
+    """Keyword search alone, with a note."""
+    c = chunks(spark, d)
+    return search.hydrate(search.bm25(c, QUERY, 10), c, ("file_path", "start_line")).withColumn("note", F.lit("keyword search"))
+
+
+@query()
+def bm25_stemmed(spark, d):
+    """B1, B2 with Porter's stemmer."""
+    return search.bm25_stemmed(search.postings(chunks(spark, d), stem=True), ["loading", "indexes", "cached"], 20)
+
+
+@query(f"""WITH {ONE}, h AS (SELECT id, file_path, start_line, end_line, chunk_text FROM one WHERE contains(lower(chunk_text), '{LITERAL}') ORDER BY file_path, start_line, id LIMIT 20),
+l AS (SELECT *, string_split(chunk_text, chr(10)) AS l FROM h),
+k AS (SELECT *, list_filter(range(len(l)), lambda i: len(list_filter(range(greatest(0, i - 2), least(len(l), i + 3)), lambda j: contains(lower(l[j + 1]), '{LITERAL}'))) > 0) AS k FROM l)
+SELECT id, file_path, start_line, end_line, 1.0::DOUBLE AS similarity, CASE WHEN len(k) = 0 THEN chunk_text ELSE array_to_string(list_transform(k, lambda i: CASE WHEN i > k[1] AND NOT list_contains(k, i - 1) THEN '...' || chr(10) ELSE '' END || l[i + 1]), chr(10)) END AS preview FROM k""")
+def literal_search(spark, d):
+    """Chunks that hold a text, with lines around it."""
+    return search.literal_search(chunks(spark, d), LITERAL, 20)
+
+
+_FUSED = f"""vr AS (SELECT id, file_path, start_line, row_number() OVER (ORDER BY similarity DESC, id) AS rank FROM knn QUALIFY rank <= 20),
+br AS (SELECT bm.id, file_path, start_line, rank FROM bm JOIN one USING (id) WHERE rank <= 20),
+v AS (SELECT file_path, start_line, max(rank) AS vector_rank, max_by(id, rank) AS v_id FROM vr GROUP BY ALL), b AS (SELECT file_path, start_line, max(rank) AS word_rank, min_by(id, rank) AS b_id FROM br GROUP BY ALL),
+f AS (SELECT coalesce(v_id, b_id) AS id, vector_rank, word_rank, coalesce(0.4::DOUBLE / (60 + vector_rank), 0) + coalesce(0.3::DOUBLE / (60 + word_rank), 0) AS rrf FROM v FULL OUTER JOIN b USING (file_path, start_line))"""
+
+
+@query(f"WITH {ONE}, {KNN}, {_BM}, {_FUSED} SELECT id, vector_rank::INT AS vector_rank, word_rank::INT AS word_rank, round(rrf, 9) AS rrf FROM f")
+def rrf_fusion(spark, d):
+    """Two ranked lists in a full outer join."""
+    c = chunks(spark, d)
+    key = ("file_path", "start_line")
+    f = search.fuse(search.hydrate(search.knn(c, VECTOR, 20), c, key), search.hydrate(search.bm25(c, QUERY, 20), c, key))
+    return f.select("id", "vector_rank", "word_rank", F.round("rrf", 9).alias("rrf"))
+
+
+_HYBRID = f"""WITH {ONE}, {KNN}, {_BM}, {_FUSED},
+x AS (SELECT f.*, o.file_path, o.start_line, o.end_line, o.chunk_text, list_distinct(list_filter(list_transform({_FOUND}, lambda x: lower(x)), lambda x: length(x) > 1 AND NOT list_contains({_list(fixed.KEYWORDS)}, x))) AS ids FROM f JOIN one o USING (id)),
+s AS (SELECT *, rrf * (1 + len(list_intersect(ids, {_list(text.identifiers_of(QUERY))})) * 0.5) * coalesce((MAP {{{_MULT}}})[lower(string_split(file_path, '.')[-1])], 1.0)::DOUBLE * 0.3 AS score FROM x),
+n AS (SELECT *, round(CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER () ELSE 0 END, 6) AS similarity FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vector_rank NULLS LAST, word_rank NULLS LAST, id)::INT AS rank FROM n WHERE similarity >= 0.35)"""
+
+
+@query(f"{_HYBRID} SELECT id, file_path, start_line, end_line, similarity, rank FROM r WHERE rank <= 10")
+def hybrid_search(spark, d):
+    """Fused search."""
+    return search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10).drop("chunk_text")
+
+
+def _rerank_sql() -> str:
+    import re
+
+    words = [w for w in re.sub(r"[^\w\s]", " ", QUERY.lower()).split() if len(w) > 2]
+    parts = QUERY.lower().split()
+    found = " + ".join(f"contains(t, '{w}')::INT" for w in words)
+    some = " + ".join(f"contains(t, '{w}')::INT" for w in parts if len(w) > 3)
+    return f"""{_HYBRID}, t AS (SELECT id, rank, similarity, lower(chunk_text) AS t, list_distinct(list_filter(string_split_regex(regexp_replace(lower(chunk_text), '[^\\w\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2)) AS w, count(*) OVER () AS total FROM r WHERE rank <= 10),
+q AS (SELECT id, rank, similarity, round(len(list_intersect(w, {_list(dict.fromkeys(words))})) / {float(len(set(words)))} * 0.25::DOUBLE + ({found}) / {float(len(words))}::DOUBLE * 0.25::DOUBLE + CASE WHEN contains(t, '{QUERY.lower()}') THEN 1.0 ELSE ({some}) / {float(len(parts))}::DOUBLE END * 0.2::DOUBLE + similarity * 0.15::DOUBLE + CASE WHEN total <= 1 THEN 1.0 ELSE 1 - (rank - 1) / total * 0.5::DOUBLE END * 0.05::DOUBLE, 6) AS rerank_score FROM t)
+SELECT id, rerank_score, row_number() OVER (ORDER BY rerank_score DESC, rank)::INT AS new_rank FROM q"""
+
+
+@query(_rerank_sql())
+def heuristic_rerank(spark, d):
+    """The fused results in a new order."""
+    return search.heuristic_rerank(search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10), QUERY).select("id", "rerank_score", "new_rank")
+
+
+def length_scorer(query: str, texts: list[str]) -> list[float]:
+    """A stand-in for a pair model: shared words over the root of the length."""
+    words = set(query.lower().split())
+    return [sum(w in t.lower() for w in words) / (1 + len(t)) ** 0.5 for t in texts]
+
+
+@query()
+def cross_rerank(spark, d):
+    """R2: the fused results by a pair scorer."""
+    return search.cross_rerank(search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10), QUERY, length_scorer).select("id", "rerank_score", "new_rank")
+
+
+@query()
+def to_json_results(spark, d):
+    """Results as JSON."""
+    return search.as_json(search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10), QUERY, "hybrid")
+
+
+# ---- maintenance and streams
+
+_KEEP = "id, file_path, chunk_index, file_hash"
+
+
+@query(f"""WITH old AS (SELECT {_KEEP} FROM chunks WHERE starts_with(file_path, 'src/')), new AS (SELECT {_KEEP} FROM chunks WHERE starts_with(file_path, 'src/core/'))
+SELECT {_KEEP}, 'old' AS origin FROM old WHERE file_path NOT IN (SELECT file_path FROM new WHERE file_path IS NOT NULL) UNION ALL SELECT {_KEEP}, 'new' AS origin FROM new""")
+def upsert_chunks(spark, d):
+    """Files replaced as a whole."""
+    rows = chunks(spark, d).select("id", "file_path", "chunk_index", "file_hash")
+    old = rows.where(F.col("file_path").startswith("src/")).withColumn("origin", F.lit("old"))
+    return maintenance.upsert_chunks(old, rows.where(F.col("file_path").startswith("src/core/")).withColumn("origin", F.lit("new")))
+
+
+@query(f"SELECT {_KEEP} FROM chunks WHERE file_path NOT IN (SELECT path FROM file_events WHERE event_type = 'unlink' AND path IS NOT NULL)")
+def delete_files(spark, d):
+    """Chunks of removed files dropped."""
+    gone = table(spark, d, "file_events").where(F.col("event_type") == "unlink").select(F.col("path").alias("file_path"))
+    return maintenance.delete_files(chunks(spark, d).select("id", "file_path", "chunk_index", "file_hash"), gone)
+
+
+@query(f"""WITH {_ENTRIES}, l AS (SELECT path AS file_path, event_type FROM file_events WHERE path IS NOT NULL AND event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC NULLS LAST, event_type DESC) = 1),
+n AS (SELECT file_path, max(length(chunk_text)) AS size FROM chunks GROUP BY file_path), nh AS (SELECT c.file_path, n.size, max(c.file_hash) AS h FROM chunks c JOIN n ON c.file_path = n.file_path AND length(c.chunk_text) = n.size GROUP BY ALL), o AS (SELECT file_path, max(file_hash) AS h FROM e GROUP BY file_path)
+SELECT l.file_path, CASE WHEN event_type = 'unlink' OR nh.file_path IS NULL THEN 'delete' WHEN nh.size / 1024.0 > 4 THEN 'too_big' WHEN nh.h = o.h THEN 'unchanged' ELSE 'upsert' END AS action FROM l LEFT JOIN nh USING (file_path) LEFT JOIN o USING (file_path)""")
+def incremental_sync(spark, d):
+    """K7, K2, F8: what a batch of events asks for."""
+    now = chunks(spark, d).select("file_path", "file_hash", F.length("chunk_text").alias("size"))
+    return maintenance.plan_sync(table(spark, d, "file_events"), now, incremental.file_entries(table(spark, d, "sync_state")), 4)
+
+
+@query(f"""WITH {_ENTRIES}, n AS (SELECT DISTINCT file_path, file_hash FROM chunks WHERE file_path IS NOT NULL)
+SELECT DISTINCT file_path, 'reindex' AS action FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_path = n.file_path AND e.file_hash = n.file_hash)
+UNION ALL SELECT DISTINCT file_path, 'delete' AS action FROM e WHERE file_path NOT IN (SELECT file_path FROM n)""")
+def diff_sync(spark, d):
+    """K8: differences between what exists and what is stored."""
+    now = chunks(spark, d).where(F.col("file_path").isNotNull()).select("file_path", "file_hash").distinct()
+    return maintenance.diff_sync(now, incremental.file_entries(table(spark, d, "sync_state")))
+
+
+_CLEAN = "c AS (SELECT lower(trim(event_type)) AS event_type, regexp_replace(regexp_replace(path, '\\\\', '/', 'g'), '^(?:\\./)+', '') AS path, ts FROM file_events WHERE lower(trim(event_type)) IN ('add', 'change', 'unlink') AND path IS NOT NULL AND path <> '' AND ts IS NOT NULL)"
+
+
+@query(f"""WITH {_CLEAN}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS first FROM c WHERE path <> ''),
+s AS (SELECT *, sum(first) OVER (PARTITION BY path ORDER BY ts) AS s FROM g)
+SELECT path, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS events, list_sort(list(DISTINCT event_type)) AS event_types FROM s GROUP BY path, s""")
+def debounce_sessions(spark, d):
+    """K3: bursts of each path's events."""
+    return ev.bursts(ev.clean_events(table(spark, d, "file_events")), "10 minutes")
+
+
+@query(f"""WITH {_CLEAN}, t AS (SELECT DISTINCT ts FROM c), g AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 60 SECOND THEN 0 ELSE 1 END AS first FROM t),
+s AS (SELECT ts, sum(first) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), b AS (SELECT ts, min(ts) OVER (PARTITION BY s) AS batch FROM s)
+SELECT DISTINCT batch, event_type, path FROM c JOIN b USING (ts)""")
+def debounced_batches(spark, d):
+    """K3, K5: batches over all paths, each event once per batch."""
+    return ev.debounced_batches(ev.clean_events(table(spark, d, "file_events")), 60)
+
+
+Q["p3_found"], SQL["p3_found"] = incremental.p3_found, incremental.P3_SQL
 
 
 def queries() -> dict:
-    return {"p3_found": incremental.p3_found}
+    return dict(Q)
 
 
 def oracle_sql() -> dict:
-    return {"p3_found": incremental.P3_SQL}
+    return dict(SQL)
