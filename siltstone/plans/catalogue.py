@@ -262,10 +262,10 @@ def placeholder_embedding(spark, d):
     return rows.select("doc_id", F.transform("v", lambda x: F.round(x.cast("double"), 5)).alias("v"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5)) AS v FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 9)) AS v FROM embeddings")
 def l2_normalize(spark, d):
     """X6."""
-    return table(spark, d, "embeddings").select("vec_id", F.transform(scalar.l2_normalize(F.col("embedding")), lambda x: F.round(x, 5)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(scalar.l2_normalize(F.col("embedding")), lambda x: F.round(x, 9)).alias("v"))
 
 
 @query("SELECT doc_id, ceil(length(text) / 3.0)::BIGINT AS tokens, md5(substr(text, 1, 150)) AS cut, md5(substr(text, 1, 153)) AS context, round(1 / (1 + exp(-length(text) / 1000.0)), 6) AS sigmoid FROM documents")

@@ -37,7 +37,43 @@ def read_tree(spark: SparkSession, root: str, include: list[str] | None = None,
     rel = F.regexp_replace(full, "^" + __import__("re").escape(base if base.startswith("/") else str(Path(base).resolve())) + "/+", "")
     rows = found.where(F.col("length") <= max_kb * 1024).select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
     keep = globs.should_index(F.col("path"), include, exclude)
-    return rows.where(keep).select("path", "size", "modified_at", F.decode("content", F.lit("UTF-8")).alias("text"))
+    seen = rows.where(keep).select("path", "size", "modified_at", F.decode("content", "UTF-8").alias("text"))
+    hidden = _hidden_names(base.removeprefix("file://"))
+    return seen.unionByName(_read_hidden(spark, base.removeprefix("file://"), hidden, max_kb, modified_after).where(keep)) if hidden else seen
+
+
+def _hidden_names(base: str) -> list[str]:
+    """Relative paths with a part that begins with a point or an underscore, which Spark's reader leaves out.
+
+    Only of folders that the file system here shows; links aren't followed. Names alone are read.
+    """
+    import os
+
+    out = []
+    for folder, _, names in os.walk(base):
+        rel = os.path.relpath(folder, base)
+        inside = rel != "." and any(p[0] in "._" for p in rel.split(os.sep))
+        out += [os.path.normpath(os.path.join(rel, n)) for n in names if (inside or n[0] in "._") and not os.path.islink(os.path.join(folder, n))]
+    return out
+
+
+def _read_hidden(spark: SparkSession, base: str, names: list[str], max_kb: float, modified_after: str | None) -> DataFrame:
+    def read(batches):
+        import os
+
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for n in pdf["path"]:
+                st = os.stat(os.path.join(base, n))
+                if st.st_size <= max_kb * 1024:
+                    with open(os.path.join(base, n), encoding="utf-8", errors="replace") as f:
+                        rows.append((n, st.st_size, pd.Timestamp(st.st_mtime, unit="s"), f.read()))
+            yield pd.DataFrame(rows, columns=["path", "size", "modified_at", "text"]).astype({"modified_at": "datetime64[us]"})
+
+    found = spark.createDataFrame([(n,) for n in names], "path string").mapInPandas(read, EMPTY)
+    return found.where(F.col("modified_at") > F.lit(modified_after).cast("timestamp")) if modified_after else found
 
 
 def list_tracked(spark: SparkSession, paths: list[str]) -> DataFrame:
