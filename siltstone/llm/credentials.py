@@ -134,7 +134,7 @@ _BYTES_SIGN = regex.compile(r"[\"'`]?(?:\s*:\s*[\w\[\]; ]+(?==))?\s*(?::=|=>|=|:
 _STEMS = "pass pwd pw secret token kennwort mot_de motde contrase senha парол 密码 密碼 口令 パスワード 비밀번호 credential apikey api_key api-key _key -key signingkey enckey cryptkey cryptionkey accesskey privatekey masterkey sharedkey licensekey".split()
 _PREFIXES = "k_live_ k_prod_ ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- AKIA ASIA xox xapp- AIza SG. npm_ pypi- dop_v1_ hf_ sk- ya29. eyJ _pat_ -tok-".split()
 _OPTIONS = ("--", "-p", "-u", "--user", "-a ")
-_HEADERS = ("earer", "oken", "-key", "-Key", "-KEY")
+_HEADERS = ("bearer", "token", "-key")
 _CODE = frozenset("ts tsx js jsx mjs cjs py java go rs rb php c cc cpp h hpp cs kt swift scala".split())
 
 
@@ -212,17 +212,17 @@ def find(text: str | None, path: str | None = None) -> list[Found]:
             v = m.group(g)
             if len(v) >= 4 and not _excluded(v):
                 add(m.start(g), m.end(g), "option")
-    if any(p in text for p in _HEADERS):
+    low = text.lower()
+    if any(p in low for p in _HEADERS):
         for m in _HEADER.finditer(text):
             v = m.group("v")
             if len(v) >= 8 and not _excluded(v) and regex.search(r"\d", v) and _strong(v, 0.4):
                 add(m.start("v"), m.end("v"), "header")
-    if "asic " in text:
+    if "basic " in low:
         for m in _BASIC.finditer(text):
             inner = _decodes(m.group("v"))
             if inner and ":" in inner and not _excluded(inner.split(":", 1)[1]):
                 add(m.start("v"), m.end("v"), "header")
-    low = text.lower()
     if any(p in low for p in _STEMS):
         for m in _NAME.finditer(text):
             _assigned(text, m, ext, add)

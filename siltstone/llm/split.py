@@ -51,16 +51,18 @@ def _cut(levels: list[list[int]], start: int, end: int) -> int:
     return end
 
 
-def _overlap(text: str, lines: list[int], cut: int, body: int, lines_kept: int, limit: int, levels: list[list[int]]) -> int:
-    """Where the next piece starts so that it repeats up to ``lines_kept`` lines before ``cut``.
+def _overlap(text: str, lines: list[int], before: int, cut: int, lines_kept: int, limit: int) -> int:
+    """Where the next piece starts so that it repeats up to ``lines_kept`` whole lines before ``cut``.
 
-    Not before ``body``, the place from which the previous piece was new: a line is not
-    carried on for ever. At least half of the next piece is new text.
+    The limit allows lines beside which the next line fits too (or, if that is very long, half a
+    piece of new text). All of the piece before, which began at ``before``, is never repeated.
     """
     k = bisect_right(lines, cut - 1)  # starts of lines before the cut
+    end = text.find("\n", cut)
+    need = min((end + 1 if end >= 0 else len(text)) - cut, limit // 2)
     for n in range(lines_kept, 0, -1):
         at = lines[k - n] if k >= n else 0
-        if k >= n - 1 and at < cut and cut - at <= limit // 2:
+        if k >= n - 1 and before < at < cut and cut - at + need <= limit:
             return at
     return cut
 
@@ -82,7 +84,7 @@ def split_spans(text: str, limit: int = MAX_TOKENS * CHARS_PER_TOKEN, overlap_li
         cut = _cut(levels, new, start + limit)
         out.append((start, new, cut))
         # Only a cut between lines has whole lines before it; a cut inside a long line repeats nothing.
-        start = _overlap(text, lines, cut, new, overlap_lines, limit, levels) if text[cut - 1] == "\n" else cut
+        start = _overlap(text, lines, start, cut, overlap_lines, limit) if text[cut - 1] == "\n" else cut
         new = cut
 
 
