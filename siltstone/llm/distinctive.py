@@ -43,9 +43,10 @@ def term_scores(records: DataFrame, id_col: str = "id", text_cols: tuple[str, ..
     joined = tf.join(counts, "term").withColumn("size", size)
     alpha = F.lit(strength) * whole / F.col("size")
     rest, n_rest = whole - y, F.col("size") - n
-    odds = F.log((y + alpha) / (n + F.lit(strength) - y - alpha)) - F.log((rest + alpha) / (n_rest + F.lit(strength) - rest - alpha))
+    others, rest_others = n + F.lit(strength) - y - alpha, n_rest + F.lit(strength) - rest - alpha
+    odds = F.log((y + alpha) / others) - F.log((rest + alpha) / rest_others)
     # in a collection of a single term the odds have no denominator: such a term tells nothing
-    z = F.coalesce(odds / F.sqrt(1 / (y + alpha) + 1 / (rest + alpha)), F.lit(0.0))
+    z = F.when((others > 0) & (rest_others > 0), odds / F.sqrt(1 / (y + alpha) + 1 / (rest + alpha))).otherwise(F.lit(0.0))
     return joined.select("id", "term", F.col("tf").cast("long").alias("tf"), F.round(z, 6).alias("z"))
 
 

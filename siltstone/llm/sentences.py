@@ -45,7 +45,7 @@ _ITEM = regex.compile(r"^[>\s]*(?:[-*+•‣·]|\(?\d{1,9}[.)]|\(?[A-Za-z][)])\s
 _QUOTE = regex.compile(r"^(?:\s*>)+\s?")
 _UNDERLINE = regex.compile(r"^\s*(?:={3,}|-{3,})\s*$")
 
-_FACES = r"(?:[\p{Extended_Pictographic}\p{Emoji_Modifier}‍️]+|[:;=8xX][-'^]?[)(DPpOo3/\\|*\]]+(?!\w)|\^_?\^|<3|\(y\))"
+_FACES = r"(?:[\p{Extended_Pictographic}\p{Emoji_Modifier}‍️]+|[:;=][-'^]?[)(DPpOo/\\|*\]]+(?!\w)|(?<!\w)[xX]D(?!\w)|(?<!\w)8-?\)|\^_?\^|<3(?!\w)|\(y\))"
 _CLOSERS = r"[\"'”’»›“‘」』】》〉）)\]}*_~`]"
 #: A run of marks, what closes after it, and faces.
 _END = regex.compile(
