@@ -78,7 +78,7 @@ _SECRET_WORDS = (
     r"pass[_\-]?words?|passwd|pass[_\-]?phrase|pass[_\-]?code|passwort|kennwort|mot[_\-]?de[_\-]?passe|contrase(?:ñ|n)a|senha|парол\w*|密码|密碼|口令|パスワード|비밀번호"
     r"|secret|api[_\-]?key|(?:auth|access|api|bearer|refresh|session|private|security|deploy|bot|id|user|personal|app|db|mail|service)[_\-]?token|private[_\-]token"
     r"|(?:signing|enc|encryption|crypt(?:o|ion)?|private|access|account|master|shared|license|storage|service|deploy|hmac|aes|jwt|ssh)[_\-]?key|credentials?"
-    r"|(?<![a-z])(?:pwd|pw|pass|psw)(?![a-z])|(?:db|smtp|root|admin|mail|ftp|user|redis|mysql|pg|sql|my|imap|ldap|proxy|ssh)_?(?:pass|pw|pwd)(?![a-z])"
+    r"|(?<![a-z])(?:pwd|pw|pass|psw)(?-i:(?![a-z]))|(?:db|smtp|root|admin|mail|ftp|user|redis|mysql|pg|sql|my|imap|ldap|proxy|ssh)_?(?:pass|pw|pwd)(?-i:(?![a-z]))"
 )
 # In camel case a short word ends where the next capital letter begins: dbPass, rootPw.
 _NAME = regex.compile(rf"(?:(?i:{_SECRET_WORDS})|(?<=[a-z])(?:Pass|Pwd|Pw)(?![a-z])|(?<![A-Za-z])(?:PASS|PWD|PW)(?![A-Za-z])|(?:DB|SMTP)PASS)")
@@ -114,7 +114,7 @@ _OPTION = regex.compile(
     r"|(?:curl|wget|http)\b[^\n]{0,200}?\s(?:-u|--user)[\s=]+(?P<q4>[\"']?)[^\s:\"'`]+:(?P<v4>[^\s\"'`]+)(?P=q4)"
     r"|redis-cli\s[^\n]{0,60}?-a\s+(?P<q5>[\"']?)(?P<v5>[^\s\"'`]+)(?P=q5))"
 )
-_HEADER = regex.compile(r"(?i)(?:(?:X-)?(?:Api-Key|Auth-Token|Access-Token|Private-Token|Vault-Token|Gitlab-Token)\s*:\s*|\b(?:Bearer|Token)\s+(?=[\w\-.+/=]{8}))(?P<v>[^\s\"'`,;]+)")
+_HEADER = regex.compile(r"(?i)(?:(?:X-)?(?:Api-Key|Auth-Token|Access-Token|Private-Token|Vault-Token|Gitlab-Token)\s*:\s*|\b(?:Bearer|Token)\s+(?=[\w\-.+/=:]{8}))(?P<v>[^\s\"'`,;]+)")
 _BASIC = regex.compile(r"(?i)\bBasic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
 
 _LITERAL = r"(?:\"(?:[^\"\\\n]|\\.){0,6000}\"|'(?:[^'\\\n]|\\.){0,6000}'|`[^`\n]{0,6000}`)"
@@ -147,12 +147,18 @@ def _strong(value: str, margin: float) -> bool:
     return entropy(value) >= threshold(len(value), alphabet(value)[1], margin)
 
 
+#: Made of words: each in small letters with a vowel, perhaps with a capital, or a short run of capitals.
+_WORDLIKE = regex.compile(r"(?:(?:[A-Z]?(?=[a-z]*[aeiouy])[a-z]{2,}|[A-Z]{2,6}(?![a-z])|[A-Z](?=[_\-.]|$))[_\-.:/]?)+(?:\(.*)?")
+
+
 def _named_value(value: str) -> bool:
     """Whether a value with a telling name is a credential: not a word, a phrase, a number or a stand-in."""
     if len(value) < 6 or len(value) > 6000 or _excluded(value) or regex.search(r"\s", value) or not regex.search(r"\p{L}", value):
         return False
     kinds = sum(bool(regex.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\-.]"))
     has_digit = bool(regex.search(r"\d", value))
+    if not has_digit and len(value) >= 8 and regex.search(r"[a-z]", value) and regex.search(r"[A-Z]", value) and not _WORDLIKE.fullmatch(value):
+        return _strong(value, 0.3)
     if not has_digit and (kinds < 2 or regex.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+|[\w.]+\(?\)?|[\w\-]+", value)):
         # without a digit only what no word or identifier looks like
         return len(value) >= 16 and regex.fullmatch(r"[A-Za-z0-9+/=]+", value) is not None and kinds >= 2 and _strong(value, 0.15) and not regex.fullmatch(r"(?:[A-Z]?[a-z]+)+", value)

@@ -12,14 +12,14 @@ YES = [
     ("// sshpass -p 'next-glubun-46' ssh a@b", "a.ts", "next-glubun-46"), ("mysqldump -u x -pbedrer.DEFI79 db", "a.md", "bedrer.DEFI79"), ("tool login --user a --password=P+w1T%hA0f", "a.md", "P+w1T%hA0f"),
     ('h = "Basic bGVmb2RyZXM6RjNHOFkrdnJVWg=="', "a.py", "bGVmb2RyZXM6RjNHOFkrdnJVWg=="), ('curl -H "PRIVATE-TOKEN: z4sRO1XPBQiRw249WrtzKLcFHeBgh1Tz" u', "a.md", "z4sRO1XPBQiRw249WrtzKLcFHeBgh1Tz"),
     ("export API_KEY_B64='VnV6ZXNhbDQzNjAhOnppbmlrbGU='", "a.sh", "VnV6ZXNhbDQzNjAhOnppbmlrbGU="), ('passwd = b64decode("X3VnaDE3cThTMSo3OnN0YXRyaXJ1bA==").decode()', "a.py", "X3VnaDE3cThTMSo3OnN0YXRyaXJ1bA=="),
-    ('// <add key="MailSecret" value="Stanevu5356!" />', "a.ts", "Stanevu5356!"), ("| pwd | `410bc55aeb4b10c429c5e6badfe7f731` |", "a.md", "410bc55aeb4b10c429c5e6badfe7f731"),
+    ('// <add key="MailSecret" value="Stanevu5356!" />', "a.ts", "Stanevu5356!"), ("passphrase: 'PLnDmRhSVX',", "a.tsx", "PLnDmRhSVX"), ("apiKey: qIyp_LhAmA", "a.yaml", "qIyp_LhAmA"), ('x = {"clientSecret": "ybmFCGZKls"}', "a.py", "ybmFCGZKls"), ("| pwd | `410bc55aeb4b10c429c5e6badfe7f731` |", "a.md", "410bc55aeb4b10c429c5e6badfe7f731"),
     ('os.environ.setdefault("root_pw", "qW3rTy9!")', "a.py", "qW3rTy9!"), ("const signing_key = [0x68, 0x53, 0xf6, 0x75, 0xb7, 0xcc, 0x77, 0x87];", "a.mjs", "0x68, 0x53, 0xf6, 0x75, 0xb7, 0xcc, 0x77, 0x87"), (KEY, "a.md", KEY),
 ]
 NO = [
     'const password = "changeme";', "clientSecret = process.env.TOKEN", 'String s = System.getenv("SECRET_TOKEN");', "passwordMinLength: '3007',", 'passwordLabel := "Enter your password"', "secretName: db-credentials",
     "api_key: ${STACK_TOKEN}", "// password: ask the platform group", "passwordFile = '/run/secrets/db'", "keyRef: 'vault:kv/app#pw',", 'x = "postgres://user:password@localhost/app"', 'x = "postgres://${A}:${B}@localhost/app"', 'x = "postgres://<user>:<pw>@h/app"',
     "commit = 'cc463548e43cff82d1d5140a89dfd7a99cb4cba7'", "session_uuid: '1bf34ab1-036a-4df1-a622-e457dc5af52d'", 'charset = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"', "integrity: 'sha512-B2+rxibiXP0zxh9lcrf7Gl37z1nbxGSOHcAO39K=='",
-    'curl -H "Authorization: Bearer $TOKEN" u', "-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8A\n-----END PUBLIC KEY-----", '"token": "update old item before panel",', "TOKEN_RE = '^(gh[ps]|tok)_[A-Za-z0-9]{36}$'", "", "secret: 'xxxxxxxxxxxxxxxx'", "password = newValue",
+    'curl -H "Authorization: Bearer $TOKEN" u', "-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0BAQEFAAOCAQ8A\n-----END PUBLIC KEY-----", '"token": "update old item before panel",', "TOKEN_RE = '^(gh[ps]|tok)_[A-Za-z0-9]{36}$'", "", "secret: 'xxxxxxxxxxxxxxxx'", "password = newValue", "password: 'HTTPServerName'", "secret = 'getUserValue'",
 ]
 
 
