@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed, scalar, text
+from siltstone.session import materialised
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -120,7 +121,7 @@ def bm25(chunks: DataFrame, query: str, k: int, path_prefix: str | None = None)
     phrases = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     if not phrases:
         return chunks.select("id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    counted = _phrase_counts(chunks, phrases)
+    counted = materialised(_phrase_counts(chunks, phrases))  # a few numbers per chunk, for the statistics and for the scores
     n = len(phrases)
     stats = counted.where("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(n)))
     one = stats.first()  # a single row of at most 22 numbers

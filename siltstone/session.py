@@ -54,6 +54,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder, so that what reads it twice computes it once; as it is if there is no such folder."""
+    try:
+        ensure_checkpoint_dir(df.sparkSession)
+    except RuntimeError:
+        return df
+    return df.checkpoint(eager=True)
+
+
 def bounded_rows(df: DataFrame, bound: int) -> list | None:
     """All rows if there are at most ``bound`` of them, else None.
 
