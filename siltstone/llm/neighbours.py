@@ -179,14 +179,17 @@ def _cells(n: int) -> int:
     return int(min(8192, max(1, 2 ** round(np.log2(max(1.0, np.sqrt(n)))))))
 
 
-def default_probes(cells: int, min_cosine: float | None) -> int:
+def default_probes(cells: int, min_cosine: float | None, symmetric: bool = False) -> int:
     """Cells that a query looks into unless told otherwise.
 
     The k nearest of high-dimensional vectors spread over many cells: cells^0.7 of them held
     more than 0.99 of the ten nearest in every measurement. Vectors with a cosine of 0.9 or more
-    lie in one of the few nearest cells.
+    lie in one of the few nearest cells; if all vectors ask, a pair is found from either side, and
+    half as many do.
     """
-    return max(4, round(cells**0.7)) if min_cosine is None or min_cosine < 0.8 else max(4, round(cells**0.35))
+    if min_cosine is None or min_cosine < 0.8:
+        return max(4, round(cells**0.7))
+    return max(3, round(cells**0.22)) if symmetric else max(4, round(cells**0.35))
 
 
 def build_index(reps: DataFrame, n: int, dim: int = DIM) -> Index:
@@ -223,6 +226,20 @@ def _probing(queries: DataFrame, index: Index, probes: int, dim: int) -> DataFra
     return queries.select("rep", "v").mapInArrow(probe, "cell int, query long, v binary")
 
 
+def _cell_counts(rows: DataFrame, index: Index, probes: int, dim: int) -> dict[int, int]:
+    """How many vectors have each cell among their ``probes`` nearest: one number per cell from each batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(index.centres), np.int64)
+        for b in batches:
+            n += np.bincount(nearest(_floats(b.column("v"), dim), index.centres, probes)[0].ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+    found = rows.select("v").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row for each cell, at most 8192
+    return {r["cell"]: r["n"] for r in found}
+
+
 def scan_block(index: Index, cell: int, q: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int, min_cosine: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best of one block: (row of the query, row of the vector, exact cosine)."""
     coded = q @ index.decode(codes).T + (q @ index.centres[cell])[:, None]
@@ -249,13 +266,12 @@ def near_representatives(reps: DataFrame, queries: DataFrame, k: int, probes: in
     """
     n = reps.count()
     index = build_index(reps, n, dim)
-    probes = probes or default_probes(len(index.centres), min_cosine)
+    symmetric = queries is reps and min_cosine is not None
+    probes = probes or default_probes(len(index.centres), min_cosine, symmetric)
     spark = reps.sparkSession
     base = _indexed(reps, index, dim)
     asked = _probing(queries, index, probes, dim)
-    # sizes of cells: a row for each cell, at most 8192
-    sizes = {r["cell"]: r["n"] for r in base.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    loads = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} 
+    sizes, loads = _cell_counts(reps, index, 1, dim), _cell_counts(queries, index, probes, dim)
     cut = spark.createDataFrame([(c, -(-m // BLOCK), -(-loads.get(c, 1) // BLOCK)) for c, m in sizes.items()] or [(-1, 1, 1)], "cell int, vblocks int, qblocks int")
     part = lambda col, into: F.pmod(F.xxhash64(col), F.col(into)).cast("int")
     left = base.join(F.broadcast(cut), "cell").withColumn("vblock", part("rep", "vblocks")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
@@ -278,7 +294,11 @@ def near_representatives(reps: DataFrame, queries: DataFrame, k: int, probes: in
         return pa.Table.from_arrays([pa.array(np.concatenate(g)) for g in got], names=names)
 
     keys = ["cell", "vblock", "qblock"]
-    return left.select(*keys, "rep", "v", "codes").groupBy(*keys).cogroup(right.select(*keys, "query", "v").groupBy(*keys)).applyInArrow(scan, "query long, rep long, cosine double")
+    found = left.select(*keys, "rep", "v", "codes").groupBy(*keys).cogroup(right.select(*keys, "query", "v").groupBy(*keys)).applyInArrow(scan, "query long, rep long, cosine double")
+    if not symmetric:
+        return found
+    # each side may have found what the other didn't
+    return found.unionByName(found.select(F.col("rep").alias("query"), F.col("query").alias("rep"), "cosine")).groupBy("query", "rep").agg(F.max("cosine").alias("cosine"))
 
 
 def nearest_neighbours(df: DataFrame, k: int = 10, probes: int | None = None, min_cosine: float | None = None, queries: Column | None = None, id_col: str = "id", vec_col: str = "embedding", dim: int = DIM) -> DataFrame:
