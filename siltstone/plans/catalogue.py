@@ -268,14 +268,23 @@ def l2_normalize(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.transform(scalar.l2_normalize(F.col("embedding")), lambda x: F.round(x, 9)).alias("v"))
 
 
-@query("SELECT doc_id, ceil(length(text) / 3.0)::BIGINT AS tokens, md5(substr(text, 1, 150)) AS cut, md5(substr(text, 1, 153)) AS context, round(1 / (1 + exp(-length(text) / 1000.0)), 6) AS sigmoid FROM documents")
-def token_estimates(spark, d):
-    """X8, X9, X10, X11."""
+@query("SELECT doc_id, ceil(length(text) / 3.0)::BIGINT AS tokens FROM documents")
+def estimate_tokens(spark, d):
+    """X8."""
+    return table(spark, d, "documents").select("doc_id", scalar.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, md5(substr(text, 1, 150)) AS cut, md5(substr(text, 1, 153)) AS context FROM documents")
+def truncate_tokens(spark, d):
+    """Beginnings of texts by tokens and by context, as digests."""
     t = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", scalar.estimate_tokens(t).alias("tokens"), F.md5(scalar.truncate_tokens(t, 50).cast("binary")).alias("cut"),
-        F.md5(scalar.truncate_to_context(t, 64).cast("binary")).alias("context"), F.round(scalar.sigmoid(F.length(t) / 1000.0), 6).alias("sigmoid"),
-    )
+    return table(spark, d, "documents").select("doc_id", F.md5(scalar.truncate_tokens(t, 50).cast("binary")).alias("cut"), F.md5(scalar.truncate_to_context(t, 64).cast("binary")).alias("context"))
+
+
+@query("SELECT event_id, round(1 / (1 + exp(-value / 100.0::DOUBLE)), 6) AS s FROM events")
+def sigmoid(spark, d):
+    """X11."""
+    return table(spark, d, "events").select("event_id", F.round(scalar.sigmoid(F.col("value") / 100.0), 6).alias("s"))
 
 
 _CAMEL = "list_filter(string_split_regex(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[\\s_-]+'), lambda p: p <> '')"
