@@ -14,6 +14,11 @@ U32 = 4294967295
 FNV_PRIME = 16777619
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often and inside whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _code_points(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
 
@@ -74,8 +79,7 @@ def cosine_to(v: Column, query: list[float]) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0))))
 
 
 def placeholder_embedding(text: Column, dim: int) -> Column:
@@ -90,8 +94,9 @@ def placeholder_embedding(text: Column, dim: int) -> Column:
         p = p * 16807 % m
         powers.append(p)
     seed = (djb2a(text) % F.lit(m)).bitwiseOR(F.lit(1).cast("bigint"))
-    raw = F.transform(F.array(*(F.lit(p).cast("bigint") for p in powers)), lambda p: (((seed * p) % F.lit(m)) / F.lit(float(m)) * 2 - 1).cast("float"))
-    return F.transform(l2_normalize(raw), lambda x: x.cast("float"))
+    row = F.array(*(F.lit(p).cast("bigint") for p in powers))
+    raw = let(seed, lambda s: F.transform(row, lambda p: (((s * p) % F.lit(m)) / F.lit(float(m)) * 2 - 1).cast("float")))
+    return let(raw, lambda r: F.transform(l2_normalize(r), lambda x: x.cast("float")))
 
 
 def file_type_multiplier(path: Column) -> Column:

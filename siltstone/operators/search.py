@@ -156,13 +156,15 @@ def bm25_stemmed(index: DataFrame, words: list[str], k: int) -> DataFrame:
 
 def context_preview(body: Column, query: str, around: int = 2) -> Column:
     """Lines that hold the query, with ``around`` lines before and after; gaps as a line of dots; the whole text if no line does."""
-    lines = F.split(body, "\n")
     low = F.lit(query.lower())
-    hit = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.contains(F.lower(F.get(lines, i)), low))
-    keep = F.array_sort(F.array_distinct(F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(F.lit(0), i - around), F.least(F.size(lines) - 1, i + around))))))
-    shown = F.transform(keep, lambda i: F.concat(F.when((i > F.element_at(keep, 1)) & ~F.array_contains(keep, i - 1), F.lit("...\n")).otherwise(F.lit("")), F.get(lines, i)))
-    preview = F.array_join(shown, "\n")
-    return F.when(preview == "", body).otherwise(preview)
+
+    def shown(lines: Column) -> Column:
+        hit = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.contains(F.lower(F.get(lines, i)), low))
+        keep = F.array_sort(F.array_distinct(F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(F.lit(0), i - around), F.least(F.size(lines) - 1, i + around))))))
+        dots = lambda k: F.transform(k, lambda i: F.concat(F.when((i > F.element_at(k, 1)) & ~F.array_contains(k, i - 1), F.lit("...\n")).otherwise(F.lit("")), F.get(lines, i)))
+        return F.array_join(scalar.let(keep, dots), "\n")
+
+    return scalar.let(scalar.let(F.split(body, "\n"), shown), lambda p: F.when(p == "", body).otherwise(p))
 
 
 def literal_search(chunks: DataFrame, query: str, k: int = 20, path_part: str | None = None) -> DataFrame:

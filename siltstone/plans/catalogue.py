@@ -218,18 +218,18 @@ def term_freq(spark, d):
     return observe.term_frequencies(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), lambda w: length(w) > 1) AS tokens FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[^a-zA-Z0-9]+'), lambda w: length(w) > 1), ' ') AS tokens FROM documents WHERE text IS NOT NULL")
 def fts_tokenize(spark, d):
     """E1."""
-    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", text.fts_tokens(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.array_join(text.fts_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"""WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range({DIM})) AS i FROM embeddings WHERE {USABLE}),
 m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY label, i), s AS (SELECT label, sqrt(sum(x * x)) AS s FROM m GROUP BY label)
-SELECT label, list(round(x / s, 6) ORDER BY i) AS pooled FROM m JOIN s USING (label) GROUP BY label""")
+SELECT label, i::INT AS i, round(x / s, 6) AS x FROM m JOIN s USING (label)""")
 def mean_pool(spark, d):
     """Centroids by label."""
-    return observe.mean_pool(table(spark, d, "embeddings"), "label", "embedding", DIM)
+    return observe.mean_pool(table(spark, d, "embeddings"), "label", "embedding", DIM).select("label", F.posexplode("pooled").alias("i", "x"))
 
 
 # ---- scalar functions
@@ -255,17 +255,17 @@ _POWERS = [pow(16807, i + 1, 2147483647) for i in range(8)]
 
 @query(f"""WITH s AS (SELECT doc_id, (({_DJB.format('text')}) % 2147483647) | 1 AS seed FROM documents WHERE text <> ''),
 v AS (SELECT doc_id, list_transform({_POWERS}::BIGINT[], lambda p: ((seed * p) % 2147483647 / 2147483647.0::DOUBLE * 2 - 1)::FLOAT) AS v FROM s)
-SELECT doc_id, list_transform(v, lambda x: round((x::DOUBLE / sqrt(list_sum(list_transform(v, lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE, 5)) AS v FROM v""")
+SELECT doc_id, unnest(range(8))::INT AS i, unnest(list_transform(v, lambda x: round((x::DOUBLE / sqrt(list_sum(list_transform(v, lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE, 5))) AS x FROM v""")
 def placeholder_embedding(spark, d):
     """Vectors made from hashes of whole texts, eight numbers each."""
     rows = table(spark, d, "documents").where(F.col("text") != "").select("doc_id", scalar.placeholder_embedding(F.col("text"), 8).alias("v"))
-    return rows.select("doc_id", F.transform("v", lambda x: F.round(x.cast("double"), 5)).alias("v"))
+    return rows.select("doc_id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 9)) AS v FROM embeddings")
+@query("SELECT vec_id, unnest(range(len(embedding)))::INT AS i, unnest(list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 9))) AS x FROM embeddings")
 def l2_normalize(spark, d):
     """X6."""
-    return table(spark, d, "embeddings").select("vec_id", F.transform(scalar.l2_normalize(F.col("embedding")), lambda x: F.round(x, 9)).alias("v"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(scalar.l2_normalize(F.col("embedding"))).alias("i", "x")).withColumn("x", F.round("x", 9))
 
 
 @query("SELECT doc_id, ceil(length(text) / 3.0)::BIGINT AS tokens FROM documents")
@@ -295,35 +295,35 @@ def _names(spark, d):
     return chunks(spark, d).select(F.explode(F.regexp_extract_all("chunk_text", F.lit("[a-zA-Z_$][a-zA-Z0-9_$]*"), F.lit(0))).alias("name")).distinct()
 
 
-@query(f"SELECT name, {_CAMEL.format('name')} AS parts FROM ({_NAMES})")
+@query(f"SELECT name, array_to_string({_CAMEL.format('name')}, ' ') AS parts FROM ({_NAMES})")
 def split_camel(spark, d):
     """Parts of all names in the code."""
-    return _names(spark, d).select("name", text.split_camel(F.col("name")).alias("parts"))
+    return _names(spark, d).select("name", F.array_join(text.split_camel(F.col("name")), " ").alias("parts"))
 
 
 @query(f"""WITH p AS (SELECT name, list_transform({_CAMEL.format('name')}, lambda p: lower(p)) AS l FROM ({_NAMES})),
 k AS (SELECT name, l, list_filter(l, lambda p: NOT list_contains({_list(fixed.VARIANT_STOPWORDS)}, p)) AS k FROM p WHERE len(l) >= 2),
 u AS (SELECT name, CASE WHEN len(k) >= 2 THEN k ELSE l END AS u FROM k),
 c AS (SELECT name, u, list_transform(u, lambda p: upper(substr(p, 1, 1)) || substr(p, 2)) AS t FROM u)
-SELECT name, list_sort(list_distinct([array_to_string(u, ' '), u[1] || array_to_string(t[2:], ''), array_to_string(u, '_'), u[1] || t[2], u[-2] || t[-1]])) AS variants FROM c""")
+SELECT name, array_to_string(list_sort(list_distinct([array_to_string(u, ' '), u[1] || array_to_string(t[2:], ''), array_to_string(u, '_'), u[1] || t[2], u[-2] || t[-1]])), '|') AS variants FROM c""")
 def identifier_variants(spark, d):
     """Ways to write all names of several parts."""
     rows = _names(spark, d).select("name", text.variant_columns(text.split_camel(F.col("name"))).alias("variants"))
-    return rows.where(F.size("variants") > 0).select("name", F.array_sort("variants").alias("variants"))
+    return rows.where(F.size("variants") > 0).select("name", F.array_join(F.array_sort("variants"), "|").alias("variants"))
 
 
 _SYN = ", ".join(f"'{k}': {_list(v)}" for k, v in fixed.SYNONYMS.items())
 
 
 @query(f"""WITH w AS ({_NAMES}), s AS (SELECT name, lower(name) AS l, MAP {{{_SYN}}} AS m FROM w)
-SELECT name, list_sort(list_distinct(list_concat([l], coalesce(m[l], []), list_filter(list_transform({_CAMEL.format('name')}, lambda p: lower(p)), lambda p: length(p) > 2)))) AS terms FROM s""")
+SELECT name, array_to_string(list_sort(list_distinct(list_concat([l], coalesce(m[l], []), list_filter(list_transform({_CAMEL.format('name')}, lambda p: lower(p)), lambda p: length(p) > 2)))), '|') AS terms FROM s""")
 def expand_query(spark, d):
     """Names with their synonyms and parts, by a table of synonyms joined as a map."""
     syn = F.create_map(*(x for k, v in fixed.SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
     low = F.lower("name")
     parts = F.filter(F.transform(text.split_camel(F.col("name")), F.lower), lambda p: F.length(p) > 2)
     found = F.concat(F.array(low), F.coalesce(F.element_at(syn, low), F.array().cast("array<string>")), parts)
-    return _names(spark, d).select("name", F.array_sort(F.array_distinct(found)).alias("terms"))
+    return _names(spark, d).select("name", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("terms"))
 
 
 @query("SELECT item_id, CASE WHEN len(w) = 0 THEN '' WHEN len(w) <= 6 THEN array_to_string(list_transform(w, lambda x: x || '*'), ' AND ') ELSE array_to_string(list_transform(w, lambda x: x || '*'), ' OR ') END AS q FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(prompt, '[:\"()''*+\\-^~]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2) AS w FROM eval_items)")
@@ -337,11 +337,11 @@ def fts_prefix_query(spark, d):
 _FOUND = " ".join(["list_concat("] + [f"regexp_extract_all(chunk_text, '{p.replace(chr(39), chr(39) * 2)}', 1), " for p in fixed.IDENTIFIER_PATTERNS]).rstrip(", ") + ")"
 
 
-@query(f"WITH {ONE} SELECT id, list_sort(list_distinct(list_filter(list_transform({_FOUND}, lambda x: lower(x)), lambda x: length(x) > 1 AND NOT list_contains({_list(fixed.KEYWORDS)}, x)))) AS identifiers FROM one WHERE chunk_text IS NOT NULL")
+@query(f"WITH {ONE} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform({_FOUND}, lambda x: lower(x)), lambda x: length(x) > 1 AND NOT list_contains({_list(fixed.KEYWORDS)}, x)))), '|') AS identifiers FROM one WHERE chunk_text IS NOT NULL")
 def extract_identifiers(spark, d):
     """Identifiers of all chunks."""
     rows = chunks(spark, d).select("id", "chunk_text").where(F.col("chunk_text").isNotNull()).dropDuplicates(["id"])
-    return rows.select("id", F.array_sort(text.extract_identifiers(F.col("chunk_text"))).alias("identifiers"))
+    return rows.select("id", F.array_join(F.array_sort(text.extract_identifiers(F.col("chunk_text"))), "|").alias("identifiers"))
 
 
 _MULT = ", ".join(f"'{k}': {v}" for k, v in fixed.FILE_TYPE_MULTIPLIERS.items())
@@ -610,18 +610,19 @@ _CLEAN = "c AS (SELECT lower(trim(event_type)) AS event_type, regexp_replace(reg
 
 @query(f"""WITH {_CLEAN}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS first FROM c WHERE path <> ''),
 s AS (SELECT *, sum(first) OVER (PARTITION BY path ORDER BY ts) AS s FROM g)
-SELECT path, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS events, list_sort(list(DISTINCT event_type)) AS event_types FROM s GROUP BY path, s""")
+SELECT path, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 10 MINUTE) AS ended, count(*) AS events, array_to_string(list_sort(list(DISTINCT event_type)), '|') AS event_types FROM s GROUP BY path, s""")
 def debounce_sessions(spark, d):
     """K3: bursts of each path's events."""
-    return ev.bursts(ev.clean_events(table(spark, d, "file_events")), "10 minutes")
+    b = ev.bursts(ev.clean_events(table(spark, d, "file_events")), "10 minutes")
+    return b.select("path", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events", F.array_join("event_types", "|").alias("event_types"))
 
 
 @query(f"""WITH {_CLEAN}, t AS (SELECT DISTINCT ts FROM c), g AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 60 SECOND THEN 0 ELSE 1 END AS first FROM t),
 s AS (SELECT ts, sum(first) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), b AS (SELECT ts, min(ts) OVER (PARTITION BY s) AS batch FROM s)
-SELECT DISTINCT batch, event_type, path FROM c JOIN b USING (ts)""")
+SELECT DISTINCT epoch_us(batch) AS batch, event_type, path FROM c JOIN b USING (ts)""")
 def debounced_batches(spark, d):
     """K3, K5: batches over all paths, each event once per batch."""
-    return ev.debounced_batches(ev.clean_events(table(spark, d, "file_events")), 60)
+    return ev.debounced_batches(ev.clean_events(table(spark, d, "file_events")), 60).withColumn("batch", F.unix_micros("batch"))
 
 
 Q["p3_found"], SQL["p3_found"] = incremental.p3_found, incremental.P3_SQL
