@@ -309,14 +309,13 @@ def nearest_neighbours(df: DataFrame, k: int = 10, probes: int | None = None, mi
     searched in any case. A repeated id counts once, with the vector of its smallest key; ids
     without a usable vector neither ask nor are found; an empty table gives no row.
     """
-    rows = unit_vectors(df, id_col, vec_col, dim)
-    rows = rows.groupBy("id").agg(F.min(F.struct("key", "v")).alias("r")).select("id", F.col("r.key").alias("key"), F.col("r.v").alias("v"))
-    # one checkpoint: the bounded fit, the counts and the search read the same rows
     from siltstone.session import cut_lineage
 
-    rows = cut_lineage(rows)
-    heads = rows.groupBy("key").agg(F.min(F.struct("id", "v")).alias("r")).select(F.col("r.id").alias("rep"), F.col("r.v").alias("v"), "key")
-    first = rows.select("key", "id").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("place") <= k + 1)
+    # two checkpoints: the bounded fit, the counts and the search read the same rows
+    vectors = cut_lineage(unit_vectors(df, id_col, vec_col, dim))
+    rows = vectors.select("id", "key").groupBy("id").agg(F.min("key").alias("key"))
+    heads = cut_lineage(vectors.groupBy("key").agg(F.min(F.struct("id", "v")).alias("r")).select(F.col("r.id").alias("rep"), F.col("r.v").alias("v"), "key"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("place") <= k + 1)
     reps = heads.select("rep", "v")
     asking = rows if queries is None else rows.where(queries)
     asking_reps = reps if queries is None else asking.select("key").distinct().join(heads, "key").select("rep", "v")
