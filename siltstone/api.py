@@ -64,10 +64,15 @@ class Engine:
             self.state.set(sync_status="error", sync_error=str(e)[:500])
             raise
         self._plans.clear()
-        self.state.set(sync_status="idle", last_full_sync=time.time(), indexed_dimensions=self._get("embedding.dimensions"))
+        self.state.set(sync_status="idle", last_full_sync=time.time(), indexed_dimensions=self._get("embedding.dimensions"), indexed_model=self._get("embedding.model"))
         files.append_metric(self.spark, f"{self.root}/metrics", "reindex_ms", (time.time() - began) * 1000)
         return {"success": True, "version": version} | self.status()["index"]
 
+    def needs_reindex(self) -> bool:
+        """Whether there is no index yet, or it was made with vectors of another length or by another model."""
+        made = self.state.all()
+        return not self.store.version() or made.get("indexed_dimensions") != self._get("embedding.dimensions") or made.get("indexed_model") != self._get("embedding.model")
+
     def apply_changes(self, listing: DataFrame, deleted: list[str] = ()) -> int:
         """Upsert the files of ``listing`` (path, text), delete others by path; a new version of the table."""
         new = self.chunk_rows(listing)

@@ -114,6 +114,39 @@ def flush_by_count(events: DataFrame, at: int = FLUSH_AT, gap_ms: int = 500) ->
     return events.groupBy("group").applyInPandasWithState(step, "group long, batch long, events long", "count long, waiting array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def progress(done: int, total: int, width: int = 10) -> tuple[int, str]:
+    """(percent, bar): how much is done, as a number and as a bar of ``width`` characters. Nothing to do is all done."""
+    percent = round(100 * done / total) if total > 0 else 100
+    filled = round(width * percent / 100)
+    return percent, "=" * filled + (">" + " " * (width - filled - 1) if filled < width else "")
+
+
+def progress_listener(spark: SparkSession, tell: Callable[[dict], None]):
+    """Calls ``tell`` with phase, batch and rows at the start, after each batch and at the end of the session's streams.
+
+    Gives the listener, for ``spark.streams.removeListener``.
+    """
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            tell({"phase": "started", "query": str(event.id)})
+
+        def onQueryProgress(self, event):
+            p = event.progress
+            tell({"phase": "batch", "query": str(p.id), "batch": p.batchId, "rows": p.numInputRows})
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            tell({"phase": "error" if event.exception else "done", "query": str(event.id)})
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    return listener
+
+
 def apply_batches(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True):
     """Start a query that hands each micro-batch, distinct and in order, to ``apply(batch, id)``.
 

@@ -24,6 +24,10 @@ def test_engine(spark, tree, tmp_path):
     assert e.reindex(str(tree))["success"] is False
     done = e.reindex(str(tree), confirm=True)
     assert done["success"] and done["files"] == 3
+    assert not e.needs_reindex()
+    e.config("set", "embedding.dimensions", 32)
+    assert e.needs_reindex()
+    e.config("set", "embedding.dimensions", 16)
     mode, found = e.search("alpha", 5, 0.0)
     assert mode == "hybrid" and found.orderBy("new_rank").first()["file_path"] == "src/a.ts"
     assert e.search("gamma", literal=True)[1].first()["file_path"] == "src/b.py"

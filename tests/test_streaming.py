@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from siltstone.streaming import events as ev
@@ -37,10 +39,21 @@ def test_order(spark):
 def test_stream_applies_batches(spark, tmp_path):
     folder = str(tmp_path / "in")
     ev.clean_events(log(spark), "/r").coalesce(1).write.parquet(folder)
-    seen = []
+    seen, told = [], []
+    listener = ev.progress_listener(spark, told.append)
     q = ev.apply_batches(ev.read_events(spark, folder), lambda df, i: seen.append((i, [tuple(r) for r in df.collect()])), str(tmp_path / "cp"))
     q.awaitTermination(90)
     assert seen[0][1][0][0] == "add" and len(seen) == 1
+    for _ in range(100):
+        if {"batch", "done"} <= {t["phase"] for t in told}:
+            break
+        time.sleep(0.2)
+    assert {"started", "batch", "done"} <= {t["phase"] for t in told}
+    spark.streams.removeListener(listener)
+
+
+def test_progress():
+    assert ev.progress(0, 0) == (100, "=" * 10) and ev.progress(5, 10) == (50, "=====>    ") and ev.progress(0, 4)[1] == ">" + " " * 9
 
 
 def test_stream_bursts_and_flush(spark, tmp_path):
