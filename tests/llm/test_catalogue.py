@@ -20,3 +20,22 @@ def test_same_as_sql(spark, data, name):
 
     ours, theirs = both(spark, connect(data), data, catalogue.queries()[name], catalogue.oracle_sql()[name])
     assert ours == theirs
+
+
+def test_scans_of_texts_are_no_shuffle(spark, data):
+    import io
+    from contextlib import redirect_stdout
+
+    from siltstone.llm import credentials, origin, sentences
+
+    def plan(df):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            df.explain("formatted")
+        return out.getvalue()
+
+    chunks, docs = spark.read.parquet(f"{data}/chunks.parquet"), spark.read.parquet(f"{data}/documents.parquet")
+    for df in (credentials.find_credentials(chunks), credentials.redact_credentials(chunks), sentences.split_sentences(docs)):
+        assert "Exchange" not in plan(df)
+    p = plan(origin.file_measures(chunks))
+    assert p.count("Exchange hashpartitioning") + p.count("(unknown) Exchange") <= 1 and "embedding" not in p
