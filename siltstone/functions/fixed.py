@@ -143,7 +143,7 @@ LANGUAGE_PATTERNS = {
 JS_ENDS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "")
 DECLARATION = rf"^\s*(?:export\s+)?(?:async\s+)?(?:function|class|interface|type|enum)\s+{_NAME}"
 
-# Parts of paths that are never indexed.
+# Parts of paths that are never indexed. The last one is the folder of this engine itself.
 BLACKLIST = """
 /.git/ /.svn/ /.hg/ /.bzr/
 /.env .pem .key .p12 .pfx /secrets/ /.secrets/
@@ -155,7 +155,7 @@ BLACKLIST = """
 /.cache/ /tmp/ /temp/ /.temp/ /.tmp/
 /coverage/ /.nyc_output/ /htmlcov/
 /.terraform/ .tfstate
-/.opencode/
+/.siltstone/
 """.split()
 
 # What is indexed unless told otherwise.
@@ -186,7 +186,7 @@ logs/** *.log
 *.zip *.tar *.gz *.tgz *.bz2 *.7z *.rar
 *.sqlite *.sqlite3 *.db
 .terraform/** *.tfstate *.tfstate.backup
-.opencode/**
+.siltstone/**
 *.dll *.exe *.pdb *.nupkg packages/**
 *.o *.a *.so *.dylib CMakeFiles/** cmake-build-*/**
 *.xcodeproj/** *.xcworkspace/** DerivedData/** Pods/** .build/**
