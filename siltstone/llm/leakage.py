@@ -5,8 +5,9 @@ a sequence is embedded by CGK random walks, which turn edit distance into Hammin
 at each step the current symbol is put out, and a random bit drawn for the step and the symbol
 tells whether to move on, so that two windows fall back into step after an insertion, deletion
 or change. Of each walk a few positions are sampled; equal samples make a candidate, and the
-repetitions bring the recall up. Candidates are verified by exact alignment. A window is as
-long as the shortest part of an item that counts as a leak.
+repetitions bring the recall up. Candidates are verified by exact alignment, each of them whose
+document holds the equal runs that the verification asks for. A window is as long as the shortest
+part of an item that counts as a leak.
 
 The items are small and read by the driver in blocks of bounded size; the corpus is read once
 for each block and never shuffled.
@@ -30,15 +31,16 @@ from pyspark.sql import functions as F
 PART = 0.4
 #: Items handled in one pass over the corpus.
 ITEM_BLOCK = 4000
-#: Of the keys that the windows of a leak of least length share where nothing is changed, the part
-#: from which a candidate is verified: a window with a change or two still shares about that many.
-VOTES = 0.15
 #: Equal runs of three symbols that a verified region needs at least, as a part of the least length.
 RUNS = 0.3
 #: Documents whose windows are walked together.
 DOC_BLOCK = 512
+#: Alignments made together, and cells of their tables.
+ALIGN_BLOCK, ALIGN_CELLS = 128, 1 << 23
 #: Alignment: a match counts 1.
 MISMATCH, GAP = 1.0, 0.7
+#: Scores are kept as whole numbers of this part.
+TENTHS = 10
 #: Of the covered part of an item so much has to be equal.
 LEAST_EQUAL = 0.8
 
@@ -154,6 +156,8 @@ class Items:
     owners: list[np.ndarray] = field(default_factory=list)
     starts: list[np.ndarray] = field(default_factory=list)
     seen: list[np.ndarray] = field(default_factory=list)
+    runs: np.ndarray | None = None
+    run_owners: np.ndarray | None = None
     walks: Walks | None = None
 
     FILTER = 1 << 20
@@ -177,6 +181,10 @@ class Items:
             seen = np.zeros(self.FILTER, bool)
             seen[k & (self.FILTER - 1)] = True
             self.seen.append(seen)
+        runs = [_runs(x) for x in self.symbols]
+        values, owners = np.concatenate(runs), np.repeat(np.arange(len(runs)), [len(x) for x in runs])
+        order = np.argsort(values, kind="stable")
+        self.runs, self.run_owners = values[order], owners[order]
         return self
 
     def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,29 +201,77 @@ class Items:
             places.append(hit[each] - self.starts[r][j])
         return np.concatenate(items), np.concatenate(places)
 
-
-def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """(covered, equal): of the best local alignment, the item's symbols from its first to its last match, and the matches."""
-    n, m = len(item), len(region)
-    h = np.zeros((n + 1, m + 1))
-    cols = np.arange(m + 1) * GAP
+    def shared_runs(self, symbols: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """How many of an item's runs of three symbols a sequence holds anywhere, for each row (sequence, item) of ``pairs``."""
+        runs = _runs(symbols)
+        own = np.searchsorted(starts, np.arange(len(runs)), "right") - 1
+        kept = np.flatnonzero(np.isin(runs, self.runs))
+        # each run of a sequence once: what counts are the item's runs
+        order = np.lexsort((runs[kept], own[kept]))
+        kept = kept[order]
+        kept = kept[np.append(True, (np.diff(runs[kept]) != 0) | (np.diff(own[kept]) != 0))[: len(kept)]]
+        lo = np.searchsorted(self.runs, runs[kept], "left")
+        many = np.searchsorted(self.runs, runs[kept], "right") - lo
+        each = np.repeat(np.arange(len(kept)), many)
+        item = self.run_owners[lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)]
+        both, count = np.unique(own[kept][each] * len(self.symbols) + item, return_counts=True)
+        asked = pairs[:, 0] * len(self.symbols) + pairs[:, 1]
+        at = np.minimum(np.searchsorted(both, asked), max(0, len(both) - 1))
+        return np.where(both[at] == asked, count[at], 0) if len(both) else np.zeros(len(asked), np.int64)
+
+
+def align_many(items: list[np.ndarray], regions: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(covered, equal) for each item and its region: of the best local alignment, the item's symbols from its first to its last match, and the matches.
+
+    The tables are filled row by row for all pairs at once, in whole tenths, the shorter ones padded with what equals nothing.
+    """
+    n, m = max(map(len, items)), max(map(len, regions))
+    gap, mismatch = round(TENTHS * GAP), round(TENTHS * MISMATCH)
+    kind = np.int16 if TENTHS * n + gap * m < 2**15 else np.int32
+    _, small = np.unique(np.concatenate([*items, *regions]), return_inverse=True)
+    small, at = small.astype(np.int32), 0
+    x, y = np.full((n, len(items)), -2, np.int32), np.full((m, len(items)), -3, np.int32)
+    for k, item in enumerate(items):
+        x[: len(item), k], at = small[at : at + len(item)], at + len(item)
+    for k, region in enumerate(regions):
+        y[: len(region), k], at = small[at : at + len(region)], at + len(region)
+    h = np.zeros((n + 1, m + 1, len(items)), kind)
+    tops = np.zeros((n + 1, len(items)), kind)
     for i in range(1, n + 1):
-        row = np.maximum(h[i - 1, 1:] - GAP, h[i - 1, :-1] + np.where(region == item[i - 1], 1.0, -MISMATCH))
+        row = h[i, 1:]
+        np.add(h[i - 1, :-1], np.where(y == x[i - 1], kind(TENTHS), kind(-mismatch)), out=row)
+        np.maximum(row, h[i - 1, 1:] - kind(gap), out=row)
         np.maximum(row, 0, out=row)
-        full = np.concatenate([[0.0], row])
-        h[i] = np.maximum.accumulate(full + cols) - cols
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
+        # gaps along the row, by doubled steps as far as a score can reach
+        step = 1
+        while step < m and gap * step < TENTHS * i:
+            np.maximum(row[step:], row[:-step] - kind(gap * step), out=row[step:])
+            step *= 2
+        tops[i] = row.max(axis=0)
+    return [_trace(h[:, :, k], int(tops[:, k].argmax()), item, region) for k, (item, region) in enumerate(zip(items, regions))]
+
+
+def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
+    """(covered, equal) of one item and region."""
+    return align_many([item], [region])[0]
+
+
+def _trace(h: np.ndarray, i: int, item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
+    """(covered, equal) read back from the table of an alignment and the row where it is best."""
+    j = int(h[i].argmax())
     last, equal = i, 0
     first = i
-    while i > 0 and j > 0 and h[i, j] > 1e-9:
+    gap, mismatch = round(TENTHS * GAP), round(TENTHS * MISMATCH)
+    while i > 0 and j > 0 and h[i, j] > 0:
         same = item[i - 1] == region[j - 1]
-        if abs(h[i, j] - h[i - 1, j - 1] - (1.0 if same else -MISMATCH)) < 1e-9:
+        here = int(h[i, j])
+        if here - h[i - 1, j - 1] == (TENTHS if same else -mismatch):
             i, j = i - 1, j - 1
             if same:
                 equal, first = equal + 1, i
-        elif abs(h[i, j] - h[i, j - 1] + GAP) < 1e-9:
+        elif h[i, j - 1] - here == gap:
             j -= 1
-        elif abs(h[i, j] - h[i - 1, j] + GAP) < 1e-9:
+        elif h[i - 1, j] - here == gap:
             i -= 1
         else:
             break
@@ -227,25 +283,38 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return (x[:-2] * 1_000_003 + x[1:-1]) * 1_000_003 + x[2:]
 
 
-def is_leak(item: np.ndarray, region: np.ndarray) -> bool:
-    """Whether the region holds PART of the item in order, with LEAST_EQUAL of it unchanged."""
-    need = PART * len(item)
-    if len(item) >= 8 and np.isin(_runs(item), _runs(region)).sum() < RUNS * need - 2:
-        return False
-    covered, equal = align(item, region)
-    return covered >= need - 1e-9 and equal >= LEAST_EQUAL * covered and equal >= LEAST_EQUAL * need
+def least_runs(size):
+    """Equal runs that a region needs, for one size of item or an array of them."""
+    return np.where(np.asarray(size) >= 8, RUNS * PART * np.asarray(size) - 2, 0)
+
+
+def are_leaks(items: list[np.ndarray], regions: list[np.ndarray]) -> list[bool]:
+    """Whether each region holds PART of its item in order, with LEAST_EQUAL of it unchanged."""
+    out = [False] * len(items)
+    kept = [k for k, (x, y) in enumerate(zip(items, regions)) if len(y) and np.isin(_runs(x), _runs(y)).sum() >= least_runs(len(x))]
+    kept.sort(key=lambda k: len(items[k]))
+    while kept:
+        size, width = len(items[kept[-1]]), max(len(regions[k]) for k in kept[-ALIGN_BLOCK:])
+        most = min(ALIGN_BLOCK, max(1, ALIGN_CELLS // (size * width)))
+        part, kept = kept[-most:], kept[:-most]
+        for k, (covered, equal) in zip(part, align_many([items[k] for k in part], [regions[k] for k in part])):
+            need = PART * len(items[k])
+            out[k] = covered >= need - 1e-9 and equal >= LEAST_EQUAL * covered and equal >= LEAST_EQUAL * need
+    return out
 
 
 def leaks(sequences: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
     """(sequence, item) pairs of indexes: the items that each sequence leaks.
 
-    The sequences are walked as one array, a separator between them; a window over a separator
-    has keys of its own, and what is verified lies inside one sequence.
+    The sequences are walked as one array with a window's length of nothing behind each, so that no
+    window reaches into the next one and a sequence's candidates are the same whatever stands beside
+    it. One shared key makes a candidate; what is verified lies inside one sequence.
     """
     if not sequences or not items.ids:
         return []
-    joined = np.concatenate([x for s in sequences for x in (s, [-1])]).astype(np.int64)
-    starts = np.cumsum([0] + [len(s) + 1 for s in sequences])
+    gap = np.zeros(items.kind.window, np.int64)
+    joined = np.concatenate([x for s in sequences for x in (s, gap)]).astype(np.int64)
+    starts = np.cumsum([0] + [len(s) + len(gap) for s in sequences])
     item, place = items.candidates(joined)
     sizes = np.array([len(x) for x in items.symbols])
     # a window of the item lies in the sequence: its middle tells which
@@ -258,19 +327,18 @@ def leaks(sequences: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
         ok = own < len(sequences)
         slot = (place[ok] - starts[own[ok]]) // grain[ok]
         pairs.append(np.stack([own[ok], item[ok], slot], axis=1))
-    where, votes = np.unique(np.concatenate(pairs if (owner != other).any() else pairs[:1]), axis=0, return_counts=True)
-    found: set[tuple[int, int]] = set()
-    windows = np.maximum(1, PART * sizes - items.kind.window + 1)
-    least = np.maximum(4, VOTES * items.kind.repeats * windows)
-    for o, i, slot in where[votes >= least[where[:, 1]]].tolist():
-        if (o, i) in found:
-            continue
-        x = items.symbols[i]
-        g = max(8, len(x) // 2)
-        a, b = max(0, slot * g - 16), max(0, slot * g + len(x) + len(x) // 4 + 16 + g)
-        if is_leak(x, sequences[o][a:b]):
-            found.add((o, i))
-    return sorted(found)
+    own, item, slot = np.concatenate(pairs).T
+    low = slot.min(initial=0)
+    span = slot.max(initial=0) - low + 1
+    code = np.unique((own * len(sizes) + item) * span + slot - low)
+    where = np.stack([code // span // len(sizes), code // span % len(sizes), code % span + low], axis=1)
+    where = where[items.shared_runs(joined, starts, where) >= least_runs(sizes[where[:, 1]])]
+    regions = []
+    for o, i, slot in where.tolist():
+        size, g = len(items.symbols[i]), max(8, len(items.symbols[i]) // 2)
+        regions.append(sequences[o][max(0, slot * g - 16) : max(0, slot * g + size + size // 4 + 16 + g)])
+    right = are_leaks([items.symbols[i] for i in where[:, 1]], regions)
+    return sorted({(o, i) for (o, i, _), ok in zip(where.tolist(), right) if ok})
 
 
 def make_items(rows: list) -> tuple[Items, Items]:

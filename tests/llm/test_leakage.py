@@ -81,3 +81,25 @@ def test_walks_keep_step():
     b = np.insert(a, 30, 5)
     same = sum(bool(set(w.keys(a, r)) & set(w.keys(b, r)[25:40])) for r in range(w.kind.repeats))
     assert same == w.kind.repeats
+
+
+def numbered(rng, n):
+    return rng.integers(1, 2**31, n)
+
+
+def test_fifth_words_changed_alone_and_in_blocks():
+    rng = np.random.default_rng(5)
+    items = lk.Items(lk.WORDS, list(range(40)), [numbered(rng, int(n)) for n in rng.integers(40, 90, 40)]).build()
+    docs, want = [], set()
+    for i, x in enumerate(items.symbols * 5):
+        n = -(-2 * len(x) // 5)
+        start = int(rng.integers(0, len(x) - n + 1))
+        leak = x[start : start + n].copy()
+        leak[2 : n - 1 : 5] = numbered(rng, len(leak[2 : n - 1 : 5]))
+        docs.append(np.concatenate([numbered(rng, 100), leak, numbered(rng, 100)]))
+        covered, equal = lk.align(x, docs[-1])
+        if covered >= lk.PART * len(x) and equal >= lk.LEAST_EQUAL * covered and equal >= lk.LEAST_EQUAL * lk.PART * len(x):
+            want.add((i, i % 40))
+    alone = {(o, i) for o, d in enumerate(docs) for _, i in lk.leaks([d], items)}
+    assert len(want) > 100 and alone >= want
+    assert set(lk.leaks(docs, items)) == alone == {(s + o, i) for s in range(0, 200, 7) for o, i in lk.leaks(docs[s : s + 7], items)}
