@@ -187,9 +187,9 @@ class Items:
         self.runs, self.run_owners = values[order], owners[order]
         return self
 
-    def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and place of its first symbol, for each window of the sequence that shares a key with one of the item."""
-        items, places = [], []
+    def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place of its first symbol and place of the window, for each window of the sequence that shares a key with one of the item."""
+        items, places, hits = [], [], []
         for r in range(self.kind.repeats):
             keys = self.walks.keys(symbols, r)
             hit = np.flatnonzero(self.seen[r][keys & (self.FILTER - 1)])
@@ -199,7 +199,8 @@ class Items:
             j = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
             items.append(self.owners[r][j])
             places.append(hit[each] - self.starts[r][j])
-        return np.concatenate(items), np.concatenate(places)
+            hits.append(hit[each])
+        return np.concatenate(items), np.concatenate(places), np.concatenate(hits)
 
     def shared_runs(self, symbols: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """How many of an item's runs of three symbols a sequence holds anywhere, for each row (sequence, item) of ``pairs``."""
@@ -315,19 +316,11 @@ def leaks(sequences: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
     gap = np.zeros(items.kind.window, np.int64)
     joined = np.concatenate([x for s in sequences for x in (s, gap)]).astype(np.int64)
     starts = np.cumsum([0] + [len(s) + len(gap) for s in sequences])
-    item, place = items.candidates(joined)
+    item, place, hit = items.candidates(joined)
     sizes = np.array([len(x) for x in items.symbols])
-    # a window of the item lies in the sequence: its middle tells which
-    middle = np.clip(place + sizes[item] // 2, 0, len(joined) - 1)
-    owner = np.searchsorted(starts, np.maximum(place, 0), "right") - 1
-    other = np.searchsorted(starts, middle, "right") - 1
-    grain = np.maximum(8, sizes[item] // 2)
-    pairs = []
-    for own in (owner, other):
-        ok = own < len(sequences)
-        slot = (place[ok] - starts[own[ok]]) // grain[ok]
-        pairs.append(np.stack([own[ok], item[ok], slot], axis=1))
-    own, item, slot = np.concatenate(pairs).T
+    # the sequence that holds the window, though the item's first symbol may lie before it
+    own = np.searchsorted(starts, hit, "right") - 1
+    slot = (place - starts[own]) // np.maximum(8, sizes[item] // 2)
     low = slot.min(initial=0)
     span = slot.max(initial=0) - low + 1
     code = np.unique((own * len(sizes) + item) * span + slot - low)

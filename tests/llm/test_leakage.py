@@ -103,3 +103,13 @@ def test_fifth_words_changed_alone_and_in_blocks():
     alone = {(o, i) for o, d in enumerate(docs) for _, i in lk.leaks([d], items)}
     assert len(want) > 100 and alone >= want
     assert set(lk.leaks(docs, items)) == alone == {(s + o, i) for s in range(0, 200, 7) for o, i in lk.leaks(docs[s : s + 7], items)}
+
+
+@pytest.mark.parametrize("first", [31, 35, 38])
+def test_tail_at_the_start_of_a_later_document(first):
+    rng = np.random.default_rng(6)
+    item = numbered(rng, 64)
+    items = lk.Items(lk.WORDS, [1], [item]).build()
+    other, leak = numbered(rng, 300), np.concatenate([item[first:], numbered(rng, 200)])
+    assert lk.leaks([leak], items) == [(0, 0)]
+    assert lk.leaks([other, leak, other], items) == [(1, 0)]
