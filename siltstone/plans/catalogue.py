@@ -580,6 +580,22 @@ def upsert_chunks(spark, d):
     return maintenance.upsert_chunks(old, rows.where(F.col("file_path").startswith("src/core/")).withColumn("origin", F.lit("new")))
 
 
+@query(f"""WITH cur AS (SELECT DISTINCT ON (file_path) file_path, lower(file_hash) AS newest FROM chunks WHERE file_path IS NOT NULL ORDER BY file_path, coalesce(updated_at, TIMESTAMPTZ '0001-01-01 00:00:00+00') DESC, lower(file_hash) DESC NULLS LAST),
+v AS (SELECT {_KEEP}, c.file_path IS NOT NULL AND lower(file_hash) IS NOT DISTINCT FROM newest AS is_new FROM chunks c LEFT JOIN cur USING (file_path)), changed AS (SELECT DISTINCT file_path FROM v WHERE NOT is_new AND file_path IS NOT NULL),
+new AS (SELECT {_KEEP} FROM v WHERE is_new AND file_path IN (SELECT file_path FROM changed)), old AS (SELECT {_KEEP} FROM v WHERE NOT is_new OR file_path NOT IN (SELECT file_path FROM changed))
+SELECT {_KEEP}, 'old' AS origin FROM old WHERE file_path IS NULL OR file_path NOT IN (SELECT file_path FROM new) UNION ALL SELECT {_KEEP}, 'new' AS origin FROM new""")
+def upsert_versions(spark, d):
+    """The older versions of changed files replaced by the newest, over the whole table."""
+    rows = chunks(spark, d).select("id", "file_path", "chunk_index", "file_hash", "updated_at")
+    newest = incremental.current_versions(rows).withColumnRenamed("file_hash", "newest")
+    is_new = F.col("file_path").isNotNull() & F.lower("file_hash").eqNullSafe(F.col("newest"))
+    v = rows.join(newest, "file_path", "left").withColumn("is_new", is_new)
+    changed = v.where(~F.col("is_new")).select("file_path").distinct().withColumn("changed", F.lit(True))
+    v = v.join(changed, "file_path", "left").withColumn("is_new", F.col("is_new") & F.col("changed").isNotNull())
+    of = lambda rows, origin: rows.select("id", "file_path", "chunk_index", "file_hash", F.lit(origin).alias("origin"))
+    return maintenance.upsert_chunks(of(v.where(~F.col("is_new")), "old"), of(v.where("is_new"), "new"))
+
+
 @query(f"SELECT {_KEEP} FROM chunks WHERE file_path NOT IN (SELECT path FROM file_events WHERE event_type = 'unlink' AND path IS NOT NULL)")
 def delete_files(spark, d):
     """Chunks of removed files dropped."""

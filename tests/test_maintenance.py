@@ -104,3 +104,13 @@ def test_empty_tables(spark):
 def test_keep_latest_ties(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "t int, k string")
     assert [r["k"] for r in observe.keep_latest(df, 2, ["t", "k"]).collect()] == ["b", "a"]
+
+
+def test_upsert_of_versions_takes_the_whole_table(spark, data):
+    from siltstone.plans import catalogue
+
+    table = spark.read.parquet(f"{data}/chunks.parquet")
+    out = catalogue.queries()["upsert_versions"](spark, data)
+    paths = lambda df: {r[0] for r in df.select("file_path").distinct().collect()}
+    assert paths(out) == paths(table) and {r[0] for r in out.select("origin").distinct().collect()} == {"old", "new"}
+    assert 0 < out.count() < table.count()
