@@ -14,8 +14,8 @@ def modified_since(events: DataFrame, since: str) -> DataFrame:
 
 
 def union_files(committed: DataFrame, working: DataFrame, untracked: DataFrame) -> DataFrame:
-    """Paths of the first two, each once, and all of the third, repeats included."""
-    return committed.select("path").union(working.select("path")).distinct().unionByName(untracked.select("path"))
+    """Paths of the first two, each once, and all of the third, repeats included; further columns of theirs stay and count for what is once."""
+    return committed.unionByName(working).distinct().unionByName(untracked)
 
 
 def within_size(files: DataFrame, body: str, max_kb: float) -> DataFrame:

@@ -61,9 +61,8 @@ def modified_since(spark, d):
 def union_files(spark, d):
     """Distinct union of two listings, then all of a third."""
     e = table(spark, d, "file_events")
-    of = lambda t: e.where(F.col("event_type") == t).select("path")
-    both = maintenance.union_files(of("add"), of("change"), of("unlink").limit(0)).withColumn("n", F.lit(1))
-    return both.unionByName(of("unlink").withColumn("n", F.lit(0)))
+    of = lambda t, n: e.where(F.col("event_type") == t).select("path", F.lit(n).alias("n"))
+    return maintenance.union_files(of("add", 1), of("change", 1), of("unlink", 0))
 
 
 @query("SELECT doc_id FROM documents WHERE strlen(text) / 1024.0 <= 1")

@@ -106,6 +106,12 @@ def test_keep_latest_ties(spark):
     assert [r["k"] for r in observe.keep_latest(df, 2, ["t", "k"]).collect()] == ["b", "a"]
 
 
+def test_union_keeps_further_columns_and_all_of_the_third(spark):
+    a, b, c = ([(p, n) for p in ps] for ps, n in (("xxy", 1), ("yz", 1), ("zzx", 0)))
+    out = maintenance.union_files(*(spark.createDataFrame(r, "path string, n int") for r in (a, b, c)))
+    assert rows(out, "path", "n") == [("x", 0), ("x", 1), ("y", 1), ("z", 0), ("z", 0), ("z", 1)]
+
+
 def test_upsert_of_versions_takes_the_whole_table(spark, data):
     from siltstone.plans import catalogue
 
