@@ -22,84 +22,146 @@ IDENTIFIER_PATTERNS = (
 
 # Words that name the same thing in code.
 SYNONYMS = {
-    line.split(":")[0]: line.split(":")[1].split()
-    for line in """\
-auth: authentication authorize login signin credential
-authentication: auth authorize login signin credential
-authorize: auth authentication permission access
-db: database sql query storage
-database: db sql query storage
-api: endpoint route handler controller
-handler: callback listener event api
-config: configuration settings options env
-cfg: config configuration settings options
-configuration: config cfg settings options
-settings: config cfg configuration options
-error: exception err fail throw
-exception: error err fail throw
-err: error exception fail
-test: spec testing unittest vitest jest
-spec: test testing unittest
-util: utility helper tool lib
-utility: util helper tool
-helper: util utility tool
-async: asynchronous promise await callback
-cb: callback handler listener
-callback: cb handler listener async
-http: request response fetch api
-req: request http fetch
-res: response http result
-request: req http fetch
-response: res http result
-cache: cached memoize store memory
-mem: memory cache buffer
-memory: mem cache store
-buf: buffer data bytes
-buffer: buf data bytes
-vector: embedding semantic similarity
-embedding: vector semantic similarity
-search: find query lookup match
-index: indexed indices catalog directory
-ctx: context scope env
-context: ctx scope
-msg: message payload data
-message: msg payload event
-str: string text chars
-string: str text chars
-num: number count int integer
-number: num count int
-len: length count size
-length: len count size
-val: value result data
-value: val result data
-idx: index position offset
-ptr: pointer reference ref
-ref: reference ptr pointer
-init: initialize setup start bootstrap
-initialize: init setup start
-setup: init initialize configure
-fn: function method handler
-func: function method handler
-function: fn func method
-method: fn func function
-conn: connection socket link
-connection: conn socket link
-pool: connection conn resources
-""".splitlines()
+    "auth": ["authentication", "authorize", "login", "signin", "credential"],
+    "authentication": ["auth", "authorize", "login", "signin", "credential"],
+    "authorize": ["auth", "authentication", "permission", "access"],
+    "db": ["database", "sql", "query", "storage"],
+    "database": ["db", "sql", "query", "storage"],
+    "api": ["endpoint", "route", "handler", "controller"],
+    "handler": ["callback", "listener", "event", "api"],
+    "config": ["configuration", "settings", "options", "env"],
+    "cfg": ["config", "configuration", "settings", "options"],
+    "configuration": ["config", "cfg", "settings", "options"],
+    "settings": ["config", "cfg", "configuration", "options"],
+    "error": ["exception", "err", "fail", "throw"],
+    "exception": ["error", "err", "fail", "throw"],
+    "err": ["error", "exception", "fail"],
+    "test": ["spec", "testing", "unittest", "vitest", "jest"],
+    "spec": ["test", "testing", "unittest"],
+    "util": ["utility", "helper", "tool", "lib"],
+    "utility": ["util", "helper", "tool"],
+    "helper": ["util", "utility", "tool"],
+    "async": ["asynchronous", "promise", "await", "callback"],
+    "cb": ["callback", "handler", "listener"],
+    "callback": ["cb", "handler", "listener", "async"],
+    "http": ["request", "response", "fetch", "api"],
+    "req": ["request", "http", "fetch"],
+    "res": ["response", "http", "result"],
+    "request": ["req", "http", "fetch"],
+    "response": ["res", "http", "result"],
+    "cache": ["cached", "memoize", "store", "memory"],
+    "mem": ["memory", "cache", "buffer"],
+    "memory": ["mem", "cache", "store"],
+    "buf": ["buffer", "data", "bytes"],
+    "buffer": ["buf", "data", "bytes"],
+    "vector": ["embedding", "semantic", "similarity"],
+    "embedding": ["vector", "semantic", "similarity"],
+    "search": ["find", "query", "lookup", "match"],
+    "index": ["indexed", "indices", "catalog", "directory"],
+    "ctx": ["context", "scope", "env"],
+    "context": ["ctx", "scope"],
+    "msg": ["message", "payload", "data"],
+    "message": ["msg", "payload", "event"],
+    "str": ["string", "text", "chars"],
+    "string": ["str", "text", "chars"],
+    "num": ["number", "count", "int", "integer"],
+    "number": ["num", "count", "int"],
+    "len": ["length", "count", "size"],
+    "length": ["len", "count", "size"],
+    "val": ["value", "result", "data"],
+    "value": ["val", "result", "data"],
+    "idx": ["index", "position", "offset"],
+    "ptr": ["pointer", "reference", "ref"],
+    "ref": ["reference", "ptr", "pointer"],
+    "init": ["initialize", "setup", "start", "bootstrap"],
+    "initialize": ["init", "setup", "start"],
+    "setup": ["init", "initialize", "configure"],
+    "fn": ["function", "method", "handler"],
+    "func": ["function", "method", "handler"],
+    "function": ["fn", "func", "method"],
+    "method": ["fn", "func", "function"],
+    "conn": ["connection", "socket", "link"],
+    "connection": ["conn", "socket", "link"],
+    "pool": ["connection", "conn", "resources"],
 }
 
 # Weight of a file by the end of its name; any other end weighs 1.
 FILE_TYPE_MULTIPLIERS = {
-    end: weight
-    for weight, ends in {
-        1.2: "ts tsx",
-        1.1: "py pyi kt kts cs cpp cc cxx rs vue svelte swift dart",
-        1.0: "mjs cjs js jsx java scala groovy fs fsx c go astro rb php m mm ex exs erl hs ml lua graphql gql prisma proto sql",
-        0.9: "h hpp hxx scss sass less rake hrl lhs mli sh bash zsh fish ps1 psm1 json jsonc toml mdx tf hcl",
-        0.8: "html htm css erb phtml yaml yml xml md rst",
-        0.7: "txt",
-    }.items()
-    for end in ends.split()
+    "ts": 1.2,
+    "tsx": 1.2,
+    "mjs": 1.0,
+    "cjs": 1.0,
+    "js": 1.0,
+    "jsx": 1.0,
+    "py": 1.1,
+    "pyi": 1.1,
+    "java": 1.0,
+    "kt": 1.1,
+    "kts": 1.1,
+    "scala": 1.0,
+    "groovy": 1.0,
+    "cs": 1.1,
+    "fs": 1.0,
+    "fsx": 1.0,
+    "c": 1.0,
+    "cpp": 1.1,
+    "cc": 1.1,
+    "cxx": 1.1,
+    "h": 0.9,
+    "hpp": 0.9,
+    "hxx": 0.9,
+    "go": 1.0,
+    "rs": 1.1,
+    "vue": 1.1,
+    "svelte": 1.1,
+    "astro": 1.0,
+    "html": 0.8,
+    "htm": 0.8,
+    "css": 0.8,
+    "scss": 0.9,
+    "sass": 0.9,
+    "less": 0.9,
+    "rb": 1.0,
+    "rake": 0.9,
+    "erb": 0.8,
+    "php": 1.0,
+    "phtml": 0.8,
+    "swift": 1.1,
+    "m": 1.0,
+    "mm": 1.0,
+    "dart": 1.1,
+    "ex": 1.0,
+    "exs": 1.0,
+    "erl": 1.0,
+    "hrl": 0.9,
+    "hs": 1.0,
+    "lhs": 0.9,
+    "ml": 1.0,
+    "mli": 0.9,
+    "lua": 1.0,
+    "sh": 0.9,
+    "bash": 0.9,
+    "zsh": 0.9,
+    "fish": 0.9,
+    "ps1": 0.9,
+    "psm1": 0.9,
+    "json": 0.9,
+    "jsonc": 0.9,
+    "yaml": 0.8,
+    "yml": 0.8,
+    "toml": 0.9,
+    "xml": 0.8,
+    "md": 0.8,
+    "mdx": 0.9,
+    "rst": 0.8,
+    "txt": 0.7,
+    "tf": 0.9,
+    "hcl": 0.9,
+    "graphql": 1.0,
+    "gql": 1.0,
+    "prisma": 1.0,
+    "proto": 1.0,
+    "sql": 1.0,
 }
 
 # Words left out of variants of a name.
@@ -204,3 +266,18 @@ storybook-static/** .storybook/public/** __snapshots__/**
 
 # Ends of file names that make a command a search in code.
 GREP_ENDS = "ts|tsx|js|jsx|mjs|cjs|py|pyi|go|rs|java|kt|kts|scala|cs|fs|c|cpp|cc|cxx|h|hpp|vue|svelte|astro|html|css|scss|rb|php|swift|dart|ex|exs|erl|hs|lua|sh|bash|sql|md|mdx|tf|graphql|proto"
+
+# Patterns of a search in code and of its pattern.
+GREP_FILE = rf"(?m)\.({GREP_ENDS})$"
+QUOTED_GREP = r"(?m)^[^>]*grep\s+[^|]*['\"][^'\"]+['\"][^|]*$"
+PIPED_GREP = r"\|\s*grep"
+GREP_PATTERN = r"grep\s+(?:-[a-zA-Z]+\s+)*[\"']([^\"']+)[\"']"
+
+# Patterns of commands that take files away, of breaks between arguments, of what is no argument.
+DELETE_PATTERNS = (r"(?:^|\s)(?:rm|rmdir)\s+(?:-[rf]+\s+)?([^\n]+)", r"git\s+mv\s+([^\n]+)")
+ARGUMENT_BREAK = r"[&|;\s]+"
+NO_ARGUMENT = r"^[{}|$&<>`]"
+
+# Characters that mean something in a keyword query, and how many terms a query has at most.
+SPECIAL = r"""[:"()'*+\-^~]"""
+MAX_QUERY_TERMS = 20

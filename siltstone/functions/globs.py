@@ -55,11 +55,21 @@ def matches(path: Column, globs: list[str]) -> Column:
     return path.rlike(rx) if rx else F.lit(False)
 
 
-def should_index(path: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
-    """Whether a path is indexed: not excluded, and included. No include globs, nothing is. Null paths give null."""
+def should_index(path: Column, include: list[str] | None = None, exclude: list[str] | None = None, blacklist: list[str] | None = None, whitelist: list[str] | None = None) -> Column:
+    """Whether a path is indexed: included, not excluded, and without a part of ``blacklist``. No include globs, nothing is. Null paths give null.
+
+    ``blacklist`` has entries as the blacklist keeps them, parts of paths or globs; a path with a part of
+    ``whitelist`` isn't held back by them.
+    """
     include = fixed.INCLUDE_GLOBS if include is None else include
     exclude = fixed.EXCLUDE_GLOBS if exclude is None else exclude
-    return ~matches(path, exclude) & matches(path, include)
+    out = matches(path, exclude)
+    if blacklist:
+        # entries are written with slashes around them, which the first and the last name of a relative path lack
+        whole = F.concat(F.lit("/"), path, F.lit("/"))
+        listed = blacklisted(whole, blacklist, []) | matches(path, blacklist_to_globs(blacklist))
+        out = out | (listed & ~blacklisted(whole, whitelist or [], []))
+    return ~out & matches(path, include)
 
 
 def blacklisted(path: Column, blacklist: list[str] | None = None, whitelist: list[str] | None = None) -> Column:

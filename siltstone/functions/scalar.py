@@ -23,20 +23,43 @@ def _code_points(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
 
 
+def _over_units(text: Column, start: int, step) -> Column:
+    """``step`` over the UTF-16 units of a text: of a code point beyond the basic plane, its two halves one after the other."""
+    high, low = lambda c: F.lit(0xD7C0) + F.shiftright(c, 10), lambda c: F.lit(0xDC00) + c.bitwiseAND(F.lit(0x3FF).cast("bigint"))
+    return F.aggregate(_code_points(text), F.lit(start).cast("bigint"), lambda h, c: F.when(c > 65535, step(step(h, high(c)), low(c))).otherwise(step(h, c)))
+
+
 def djb2a(text: Column) -> Column:
-    """DJB2a of the code points, 32 bits unsigned. Null gives null, the empty text 5381."""
-    h = F.aggregate(_code_points(text), F.lit(5381).cast("bigint"), lambda h, c: (h * F.lit(33)).bitwiseAND(F.lit(U32)).bitwiseXOR(c))
+    """DJB2a of the UTF-16 units, 32 bits unsigned. Null gives null, the empty text 5381."""
+    h = _over_units(text, 5381, lambda h, c: (h * F.lit(33)).bitwiseAND(F.lit(U32)).bitwiseXOR(c))
     return F.when(text == "", F.lit(5381).cast("bigint")).otherwise(h)
 
 
 def file_hash(text: Column) -> Column:
-    """Two FNV-like halves over the code points as 16 hex digits. For parity; real change detection takes sha2."""
-    one = F.aggregate(_code_points(text), F.lit(0x811C9DC5).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(U32)))
-    two = F.aggregate(_code_points(text), F.lit(0x84222325).cast("bigint"), lambda h, c: (h * F.lit(FNV_PRIME)).bitwiseAND(F.lit(U32)).bitwiseXOR(F.shiftrightunsigned(c, 8)))
+    """Two FNV-like halves over the UTF-16 units as 16 hex digits. For parity; real change detection takes sha2."""
+    one = _over_units(text, 0x811C9DC5, lambda h, c: (h.bitwiseXOR(c) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(U32)))
+    two = _over_units(text, 0x84222325, lambda h, c: (h * F.lit(FNV_PRIME)).bitwiseAND(F.lit(U32)).bitwiseXOR(F.shiftrightunsigned(c, 8)))
     digits = lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")
     return F.when(text == "", F.lit("84222325811c9dc5")).otherwise(F.concat(digits(two), digits(one)))
 
 
+def utf16_units(text: str) -> list[int]:
+    """The UTF-16 units of a text, outside of a plan."""
+    raw = text.encode("utf-16-be", "surrogatepass")
+    return [raw[i] << 8 | raw[i + 1] for i in range(0, len(raw), 2)]
+
+
+def options_hash(options: dict) -> int:
+    """A number for a set of options, whatever their order: DJB2a from 0 over sorted keys, each before its value as text, 32 bits."""
+    h = 0
+    for key in sorted(options):
+        value = options[key]
+        shown = ("true" if value else "false") if isinstance(value, bool) else "null" if value is None else str(value)
+        for c in utf16_units(key) + utf16_units(shown):
+            h = (h * 33 & U32) ^ c
+    return h
+
+
 def estimate_tokens(text: Column) -> Column:
     """ceil(characters / 3)."""
     return F.ceil(F.length(text) / F.lit(float(CHARS_PER_TOKEN))).cast("long")
@@ -93,7 +116,8 @@ def placeholder_embedding(text: Column, dim: int) -> Column:
     for _ in range(dim):
         p = p * 16807 % m
         powers.append(p)
-    seed = (djb2a(text) % F.lit(m)).bitwiseOR(F.lit(1).cast("bigint"))
+    rest = djb2a(text) % F.lit(m)
+    seed = F.when(rest == 0, F.lit(1).cast("bigint")).otherwise(rest)
     row = F.array(*(F.lit(p).cast("bigint") for p in powers))
     raw = let(seed, lambda s: F.transform(row, lambda p: (((s * p) % F.lit(m)) / F.lit(float(m)) * 2 - 1).cast("float")))
     return let(raw, lambda r: F.transform(l2_normalize(r), lambda x: x.cast("float")))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import fixed
 
-SPECIAL = r"""[:"()'*+\-^~]"""
-MAX_QUERY_TERMS = 20
+SPECIAL, MAX_QUERY_TERMS = fixed.SPECIAL, fixed.MAX_QUERY_TERMS
 
 
 def fts_tokens(text: Column) -> Column:
@@ -78,6 +77,15 @@ def expand_query(query: str) -> list[str]:
     return list(out)
 
 
+def expand_columns(word: Column) -> Column:
+    """``expand_query`` of a column of single words, as a distinct array; the table of synonyms is a map in the expression."""
+    synonyms = F.create_map(*(x for k, v in fixed.SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
+    low, none = F.lower(word), F.array().cast("array<string>")
+    parts = split_camel(word)
+    long = F.filter(F.transform(parts, F.lower), lambda p: F.length(p) > 2)
+    return F.array_distinct(F.concat(F.array(low), F.coalesce(F.element_at(synonyms, low), none), long, variant_columns(parts)))
+
+
 def code_terms(query: str) -> list[str]:
     """Words of a query that may be identifiers."""
     return list(dict.fromkeys(w for w in re.findall(r"\b[a-zA-Z_$][\w$]*\b", query) if len(w) > 2 and w.lower() not in fixed.KEYWORDS))
@@ -102,31 +110,37 @@ def prefix_query(query: str) -> str:
     return ("" if not words else (" AND " if len(words) <= 6 else " OR ").join(f"{w}*" for w in words))
 
 
-_GREP_FILE = rf"(?m)\.({fixed.GREP_ENDS})$"
+def prefix_query_column(query: Column) -> Column:
+    """``prefix_query`` of a column. Null gives null."""
+    words = F.filter(F.split(F.regexp_replace(query, SPECIAL, " "), r"\s+"), lambda w: F.length(w) >= 2)
+    stars = F.transform(words, lambda w: F.concat(w, F.lit("*")))
+    return F.when(F.size(words) <= 6, F.array_join(stars, " AND ")).otherwise(F.array_join(stars, " OR "))
+
+
+def shared_identifiers(names: Column, wanted: list[str]) -> Column:
+    """How many of ``wanted`` are among blank-separated names, whatever the case; each counts once. Null names hold none."""
+    have = F.regexp_extract_all(F.lower(F.coalesce(names, F.lit(""))), F.lit("[a-z0-9_$]+"), F.lit(0))
+    return F.size(F.array_intersect(have, F.array(*(F.lit(w.lower()) for w in wanted)).cast("array<string>")))
 
 
 def is_code_grep(command: Column) -> Column:
     """Whether a shell command is a search in code that an index could answer."""
-    file_end = command.rlike(_GREP_FILE)
-    quoted = command.rlike(r"(?m)^[^>]*grep\s+[^|]*['\"][^'\"]+['\"][^|]*$")
-    blocked = command.contains("git grep") | command.rlike(r"\|\s*grep") | command.contains(">") | (command.contains("-l") & ~file_end)
-    return ~blocked & (file_end | quoted)
+    file_end = command.rlike(fixed.GREP_FILE)
+    blocked = command.contains("git grep") | command.rlike(fixed.PIPED_GREP) | command.contains(">") | (command.contains("-l") & ~file_end)
+    return ~blocked & (file_end | command.rlike(fixed.QUOTED_GREP))
 
 
 def grep_pattern(command: Column) -> Column:
     """The quoted pattern of a grep command, or null."""
-    found = F.regexp_extract(command, r"grep\s+(?:-[a-zA-Z]+\s+)*[\"']([^\"']+)[\"']", 1)
+    found = F.regexp_extract(command, fixed.GREP_PATTERN, 1)
     return F.when(found != "", found)
 
 
 def deleted_paths(command: Column) -> Column:
     """Distinct arguments of rm, rmdir, git rm and git mv in a shell command."""
-    args = F.flatten(F.array(
-        F.regexp_extract_all(command, F.lit(r"(?:^|\s)(?:rm|rmdir)\s+(?:-[rf]+\s+)?([^\n]+)"), F.lit(1)),
-        F.regexp_extract_all(command, F.lit(r"git\s+mv\s+([^\n]+)"), F.lit(1)),
-    ))
-    parts = F.flatten(F.transform(args, lambda a: F.split(a, r"[&|;\s]+")))
-    return F.array_distinct(F.filter(parts, lambda p: (p != "") & ~p.startswith("-") & ~p.rlike(r"^[{}|$&<>`]")))
+    args = F.flatten(F.array(*(F.regexp_extract_all(command, F.lit(p), F.lit(1)) for p in fixed.DELETE_PATTERNS)))
+    parts = F.flatten(F.transform(args, lambda a: F.split(a, fixed.ARGUMENT_BREAK)))
+    return F.array_distinct(F.filter(parts, lambda p: (p != "") & ~p.startswith("-") & ~p.rlike(fixed.NO_ARGUMENT)))
 
 
 # Porter's stemmer (M. F. Porter, "An algorithm for suffix stripping", 1980)

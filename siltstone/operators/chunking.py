@@ -140,19 +140,24 @@ def chunk_file(text: str | None, path: str | None, max_tokens: int = 512, overla
     return out
 
 
-def chunk_files(files: DataFrame, key: str, path: str, body: str, max_tokens: int = 512, overlap_tokens: int = 32, context_limit: int | None = None, by_size_only: bool = False) -> DataFrame:
-    """(key, chunk_index, start_line, end_line, text) of all files. Filling depends on the lines before, so it runs in Arrow batches of Python."""
+def chunk_files(
+    files: DataFrame, key: str, path: str, body: str, max_tokens: int = 512, overlap_tokens: int = 32, context_limit: int | None = None, by_size_only: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, the columns ``keep``, chunk_index, start_line, end_line, text) of all files. Filling depends on the lines before, so it runs in Arrow batches of Python."""
+    names = [key, *keep, "chunk_index", "start_line", "end_line", "text"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, chars = effective_limit(max_tokens, context_limit)
         for pdf in batches:
             rows = []
-            for k, p, t in zip(pdf["key"], pdf["path"], pdf["body"]):
+            for p, t, *mine in pdf.itertuples(index=False, name=None):
                 found = chunk_lines(t.split("\n"), tokens, overlap_tokens, chars) if by_size_only and t else chunk_file(t, p, max_tokens, overlap_tokens, context_limit)
-                rows += [(k, i, s, e, x) for i, (x, s, e) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "start_line", "end_line", "text"])
+                rows += [(*mine, i, s, e, x) for i, (x, s, e) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=names)
 
-    return files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(body).alias("body")).mapInPandas(cut, f"{key} long, chunk_index int, start_line int, end_line int, text string")
+    given = files.select(F.col(path).alias("_path"), F.col(body).alias("_body"), key, *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(key, *keep).schema) + ", chunk_index int, start_line int, end_line int, text string"
+    return given.mapInPandas(cut, schema)
 
 
 def invalid_chunks(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 import urllib.request
 from collections.abc import Callable
@@ -43,6 +44,15 @@ class HttpEmbedder:
         with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=self.timeout) as r:
             return json.load(r)
 
+    def ping(self) -> bool:
+        """Whether the service answers ``GET {base}/models``."""
+        headers = {"Authorization": f"Bearer {self.key}"} if self.key else {}
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{self.base}/models", headers=headers), timeout=min(5, self.timeout)) as r:
+                return r.status == 200
+        except (OSError, ValueError):
+            return False
+
     def __call__(self, texts: list[str]) -> list[list[float]]:
         for attempt in range(self.retries):
             try:
@@ -53,7 +63,7 @@ class HttpEmbedder:
             except (OSError, ValueError, KeyError):
                 if attempt + 1 == self.retries:
                     raise
-                self.wait(backoff_ms(attempt) / 1000)
+                self.wait(backoff_ms(attempt, random.random()) / 1000)
         raise AssertionError
 
 
@@ -96,10 +106,10 @@ def embed_placeholder(rows: DataFrame, body: str, dim: int) -> DataFrame:
 def placeholder_vector(text: str, dim: int) -> list[float]:
     """The same for one query, outside of a plan."""
     h = 5381
-    for c in text:
-        h = (h * 33 & scalar.U32) ^ ord(c)
+    for c in scalar.utf16_units(text):
+        h = (h * 33 & scalar.U32) ^ c
     m = 2147483647
-    x, raw = (h % m) | 1, []
+    x, raw = h % m or 1, []
     for _ in range(dim):
         x = x * 16807 % m
         raw.append(float(np.float32(x / m * 2 - 1)))

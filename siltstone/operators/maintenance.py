@@ -1,8 +1,8 @@
-"""Keeping an index in step with its files: changes, upserts, deletes, orphans, snapshots."""
+"""Keeping an index in step with its files: changes, upserts, deletes, orphans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalar
@@ -51,15 +51,16 @@ def delete_files(stored: DataFrame, paths: DataFrame) -> DataFrame:
 def plan_sync(events: DataFrame, now: DataFrame, stored: DataFrame, max_kb: float = 500.0) -> DataFrame:
     """(file_path, action): what a batch of changes asks for, one row per path.
 
-    ``events`` has path, event_type and ts, ``now`` file_path, file_hash and size of existing
-    files, ``stored`` file_path and file_hash. The last event of a path counts; of equal times
-    the type later in the alphabet. unlink or a missing file: delete. Larger than ``max_kb``:
-    too_big. The stored hash: unchanged. Otherwise: upsert. Repeated rows of ``now`` or
-    ``stored`` don't repeat the result.
+    ``events`` has path, event_type and ts; ``now`` file_path, file_hash and size in bytes of the
+    existing files as they are (``incremental.current_files``); ``stored`` file_path and file_hash of
+    what was committed last (``incremental.committed_manifest``). The last event of a path counts; of
+    equal times the type later in the alphabet. unlink or a missing file: delete. Larger than
+    ``max_kb``: too_big. The stored hash: unchanged, a null hash never. Otherwise: upsert. One row
+    per path in ``now`` and ``stored``; rows that repeat don't repeat the result.
     """
     last = events.where(F.col("path").isNotNull() & F.col("event_type").isNotNull()).groupBy("path").agg(F.max(F.struct("ts", "event_type")).alias("e")).select(F.col("path").alias("file_path"), F.col("e.event_type").alias("event_type"))
-    files = now.groupBy("file_path").agg(F.max(F.struct("size", "file_hash")).alias("f")).select("file_path", F.col("f.size").alias("size"), F.col("f.file_hash").alias("new_hash"), F.lit(True).alias("there"))
-    old = stored.groupBy("file_path").agg(F.max("file_hash").alias("old_hash"))
+    files = now.select("file_path", F.col("file_hash").alias("new_hash"), "size", F.lit(True).alias("there")).distinct()
+    old = stored.select("file_path", F.col("file_hash").alias("old_hash")).distinct()
     action = (
         F.when((F.col("event_type") == "unlink") | F.col("there").isNull(), "delete").when(F.col("size") / 1024.0 > max_kb, "too_big")
         .when(F.col("new_hash") == F.col("old_hash"), "unchanged").otherwise("upsert")
@@ -84,48 +85,6 @@ def pending_vectors(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("vector_pending")).select("id").distinct()
 
 
-class SnapshotStore:
-    """A table as versioned Parquet folders and a pointer to the current one.
-
-    A version is written as a whole before the pointer moves, so readers see the old or the new
-    table and never a part of one; an interrupted rebuild leaves the old version in place.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-
-    def version(self) -> int:
-        """Number of the current version, 0 if there is none."""
-        found = [int(s.getPath().getName().split(".")[1]) for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("CURRENT.")]
-        return max(found, default=0)
-
-    def write(self, table: DataFrame) -> int:
-        """Write a new version and point to it; older versions are kept until ``vacuum``."""
-        version = self.version() + 1
-        table.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        self._fs.create(self._path(f"{self.root}/CURRENT.{version}"), False).close()
-        return version
-
-    def read(self, version: int | None = None) -> DataFrame:
-        version = version or self.version()
-        if not version:
-            raise FileNotFoundError(f"no version in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v{version}")
-
-    def clear(self) -> int:
-        """A new version without rows."""
-        return self.write(self.read().limit(0))
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the newest ``keep`` versions."""
-        for v in range(1, self.version() - keep + 1):
-            for name in (f"v{v}", f"CURRENT.{v}"):
-                self._fs.delete(self._path(f"{self.root}/{name}"), True)
-
-
 def file_rows(files: DataFrame, path: str, body: str) -> DataFrame:
     """(file_path, file_hash, size) of texts, as a listing for the functions above."""
     return files.select(F.col(path).alias("file_path"), scalar.file_hash(F.col(body)).alias("file_hash"), F.octet_length(body).cast("long").alias("size"))

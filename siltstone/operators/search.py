@@ -1,7 +1,7 @@
-"""Vector, keyword, literal and fused search over a table of chunks, as lazy plans.
+"""Vector, keyword, literal and fused search, as lazy plans.
 
-The chunk table has id, file_path, chunk_index, chunk_text, start_line, end_line, embedding and
-identifiers. Scores are computed in the scan and reduced to slim rows (id, score) before
+Exact vector search and literal search take any table of chunks; keyword and fused search take a
+``SearchIndex`` (``operators/index.py``). Scores are reduced to slim rows (id, score) before
 anything is shuffled; text is fetched for the few best ids at the end. A repeated id counts
 once. Scores are rounded before they are ranked, and ties go to the smaller id, so that results
 don't depend on the layout. Null texts match nothing; unusable vectors take no part.
@@ -16,10 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed, scalar, text
-from siltstone.session import materialised
 
-K1, B = 1.2, 0.75
-LEAST_IDF = 1e-6
 RRF_K = 60
 DECIMALS = 6
 
@@ -56,104 +53,6 @@ def vector_search(chunks: DataFrame, query: list[float], k: int, threshold: floa
     return knn(chunks, query, 2 * k, path_prefix).where(F.col("similarity") >= threshold).where(F.col("rank") <= k)
 
 
-def knn_lsh(chunks: DataFrame, query: list[float], k: int, tables: int = 8, width: float = 2.0, seed: int = 3) -> DataFrame:
-    """(id, similarity, rank): approximate nearest neighbours by random projections of unit vectors.
-
-    Unit vectors at distance d have the cosine 1 - d^2 / 2, so the Euclidean neighbours are the
-    cosine's. For one query the exact scan costs about the same; this pays where buckets are kept.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = chunks.where(scalar.usable_vector(F.col("embedding"), len(query))).select("id", array_to_vector(scalar.l2_normalize(F.col("embedding"))).alias("v")).dropDuplicates(["id"])
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
-    size = sum(x * x for x in query) ** 0.5
-    found = model.approxNearestNeighbors(unit, Vectors.dense([x / size for x in query]), k, distCol="d")
-    scored = found.select("id", F.round(1 - F.col("d") * F.col("d") / 2, DECIMALS).alias("similarity"))
-    return scored.withColumn("rank", _rank([F.desc("similarity"), F.col("id")]))
-
-
-def postings(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    """Inverted index (term, id, tf, dl): words of path, text and identifiers, by default unstemmed.
-
-    All words of a chunk stand in one row, so after the rows are put together by id the counts
-    need no second shuffle.
-    """
-    rows = chunks.select("id", "file_path", "chunk_text", "identifiers").dropDuplicates(["id"])
-    words = rows.select("id", text.index_tokens(F.col("file_path"), F.col("chunk_text"), F.col("identifiers")).alias("w"))
-    tf = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    if stem:
-        tf = tf.mapInPandas(_stemmed, "id long, dl int, term string")
-    return tf.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
-
-
-def _stemmed(batches):
-    from functools import lru_cache
-
-    stem = lru_cache(100_000)(text.porter_stem)
-    for pdf in batches:
-        yield pdf.assign(term=[stem(t) for t in pdf["term"]])
-
-
-def _phrase_counts(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(id, dl, tf0, tf1, ...): words of each chunk and how often each phrase stands in it."""
-    words = text.index_tokens(F.col("file_path"), F.col("chunk_text"), F.col("identifiers"))
-    joined = F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))
-    rows = chunks.select("id", words.alias("w")).select("id", F.size("w").alias("dl"), joined.alias("j"))
-    counts = []
-    for i, p in enumerate(phrases):
-        pattern = " " + "  ".join(p) + " "
-        counts.append(((F.length("j") - F.length(F.replace("j", F.lit(pattern), F.lit("")))) / F.lit(len(pattern))).cast("int").alias(f"tf{i}"))
-    slim = rows.select("id", "dl", *counts)
-    names = ["dl", *(f"tf{i}" for i in range(len(phrases)))]
-    return slim.groupBy("id").agg(*(F.max(c).alias(c) for c in names))
-
-
-def bm25(chunks: DataFrame, query: str, k: int, path_prefix: str | None = None) -> DataFrame:
-    """(id, similarity, rank): the k best chunks for any of the query's phrases.
-
-    BM25 with k1 = 1.2, b = 0.75 over path, text and identifiers, idf floored at 1e-6, unstemmed;
-    counts and lengths of all chunks go into the statistics whatever the prefix. Chunks without
-    a phrase are no hits; a query without words finds nothing.
-    """
-    phrases = [w for p in text.query_phrases(query) if (w := text.phrase_words(p))]
-    phrases = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
-    if not phrases:
-        return chunks.select("id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    counted = materialised(_phrase_counts(chunks, phrases))  # a few numbers per chunk, for the statistics and for the scores
-    n = len(phrases)
-    stats = counted.where("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(n)))
-    one = stats.first()  # a single row of at most 22 numbers
-    docs, mean = int(one["docs"] or 0), float(one["mean"] or 1.0)
-    import math
-
-    def part(i: int) -> Column:
-        df = int(one[f"df{i}"] or 0)
-        idf = max(math.log((docs - df + 0.5) / (df + 0.5)), LEAST_IDF)
-        tf = F.col(f"tf{i}").cast("double")
-        return F.lit(idf) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean)))
-
-    hits = counted.where(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(n))))
-    if path_prefix is not None:
-        hits = hits.join(_restrict(chunks, path_prefix).select("id").distinct(), "id", "left_semi")
-    scored = hits.select("id", F.round(reduce(lambda a, b: a + b, map(part, range(n))), DECIMALS).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "id").limit(k).withColumn("rank", _rank([F.desc("similarity"), F.col("id")]))
-
-
-def bm25_stemmed(index: DataFrame, words: list[str], k: int) -> DataFrame:
-    """(id, similarity, rank) from a stemmed index (``postings(stem=True)``): single words, stemmed."""
-    terms = [text.porter_stem(w) for w in dict.fromkeys(words)]
-    size = index.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean")).first()
-    hit = index.where(F.col("term").isin(terms))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most a row per term of the query
-    tf = F.col("tf").cast("double")
-    idf = F.greatest(F.log((F.lit(float(size["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(size["mean"] or 1.0))))
-    scored = hit.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(score), DECIMALS).alias("similarity"))
-    return scored.orderBy(F.desc("similarity"), "id").limit(k).withColumn("rank", _rank([F.desc("similarity"), F.col("id")]))
-
-
 def context_preview(body: Column, query: str, around: int = 2) -> Column:
     """Lines that hold the query, with ``around`` lines before and after; gaps as a line of dots; the whole text if no line does."""
     low = F.lit(query.lower())
@@ -170,53 +69,80 @@ def context_preview(body: Column, query: str, around: int = 2) -> Column:
 def literal_search(chunks: DataFrame, query: str, k: int = 20, path_part: str | None = None) -> DataFrame:
     """(id, file_path, start_line, end_line, similarity, preview): chunks that hold the query, whatever the case.
 
-    The path restriction means "contains". In order of path and line, then id.
+    The path restriction means "contains". In order of path and line, then id. Texts are searched in the
+    scan; only ids and places are put together and ordered, and the k texts are fetched at the end.
     """
     rows = chunks.where(F.contains(F.lower("chunk_text"), F.lit(query.lower())))
     if path_part is not None:
         rows = rows.where(F.col("file_path").contains(path_part))
-    first = rows.select("id", "file_path", "start_line", "end_line", "chunk_text").dropDuplicates(["id"]).orderBy("file_path", "start_line", "id").limit(k)
-    return first.select("id", "file_path", "start_line", "end_line", F.lit(1.0).alias("similarity"), context_preview(F.col("chunk_text"), query).alias("preview"))
+    places = rows.select("id", "file_path", "start_line").groupBy("id").agg(F.min(F.struct("file_path", "start_line")).alias("p")).select("id", "p.file_path", "p.start_line")
+    first = places.orderBy("file_path", "start_line", "id").limit(k)
+    found = hydrate(first.select("id"), chunks).orderBy("file_path", "start_line", "id")
+    return found.select("id", "file_path", "start_line", "end_line", F.lit(1.0).alias("similarity"), context_preview(F.col("chunk_text"), query).alias("preview"))
 
 
-def fuse(vector: DataFrame, words: DataFrame, wv: float = 0.4, wb: float = 0.3) -> DataFrame:
-    """Full outer combination of two ranked lists by (file_path, start_line).
+def fuse(hits: DataFrame, wv: float = 0.4, wb: float = 0.3) -> DataFrame:
+    """Two ranked lists, put together by id, combined by (file_path, start_line).
 
-    Both need id, file_path, start_line and rank. Of several rows of a list with the same key the
-    worst rank counts; the payload is the last of the vector list, or else the first of the
-    other. Gives file_path, start_line, id, vector_rank, word_rank, rrf.
+    ``hits`` (of bounded size) has id, file_path, start_line, vector_rank and word_rank, either null
+    where a list doesn't hold the chunk. Of several rows of a list with the same key the worst rank
+    counts; the row is the last of the vector list, or else the first of the other. Gives ``hits``'
+    columns with the ranks that count, and rrf. With no vector hit at all the rows stay as they are.
     """
-    key = ["file_path", "start_line"]
-    v = vector.groupBy(*key).agg(F.max("rank").alias("vector_rank"), F.max_by("id", "rank").alias("v_id"))
-    b = words.groupBy(*key).agg(F.max("rank").alias("word_rank"), F.min_by("id", "rank").alias("b_id"))
-    both = v.join(b, key, "full_outer")
-    return both.select(*key, F.coalesce("v_id", "b_id").alias("id"), "vector_rank", "word_rank", scalar.rrf([F.col("vector_rank"), F.col("word_rank")], RRF_K, [wv, wb]).alias("rrf"))
+    none = F.max("vector_rank").over(Window.partitionBy()).isNull()
+    rest = [c for c in hits.columns if c not in ("vector_rank", "word_rank")]
+    marked = hits.withColumn("_own", F.when(none, F.col("id")))
+    g = marked.groupBy("file_path", "start_line", "_own").agg(
+        F.max("vector_rank").alias("vector_rank"), F.max("word_rank").alias("word_rank"),
+        F.max_by(F.struct(*rest), "vector_rank").alias("_v"), F.min_by(F.struct(*rest), "word_rank").alias("_b"),
+    )
+    r = F.coalesce("_v", "_b")
+    return g.select(*(r.getField(c).alias(c) for c in rest), "vector_rank", "word_rank", scalar.rrf([F.col("vector_rank"), F.col("word_rank")], RRF_K, [wv, wb]).alias("rrf"))
+
+
+def both_lists(index, query: str, query_vector: list[float], n: int, path_prefix: str | None, stemmed: bool = True, exact: bool = True) -> DataFrame:
+    """The n best of vector and keyword search by id, with their chunks: at most 2n rows."""
+    near = index.knn(query_vector, n, path_prefix, exact=exact).select("seg", "id", F.col("rank").alias("vector_rank"))
+    said = index.bm25(query, n, path_prefix, stemmed).select("seg", "id", F.col("rank").alias("word_rank"), F.col("similarity").alias("bm25_score"))
+    return index.fetch(near.join(said, ["seg", "id"], "full_outer"), "file_path", "start_line", "end_line", "chunk_text").drop("seg")
 
 
 def hybrid_search(
-    chunks: DataFrame, query: str, query_vector: list[float], k: int = 10, threshold: float = 0.35, path_prefix: str | None = None,
-    weights: tuple[float, float, float] = (0.4, 0.3, 0.3), identifier_boost: float = 1.5,
+    index, query: str, query_vector: list[float], k: int = 10, threshold: float = 0.35, path_prefix: str | None = None,
+    weights: tuple[float, float, float] = (0.4, 0.3, 0.3), identifier_boost: float = 1.5, stemmed: bool = True, exact: bool = True,
 ) -> DataFrame:
-    """(id, file_path, start_line, end_line, chunk_text, similarity, rank): fused search.
+    """(id, file_path, start_line, end_line, chunk_text, similarity, rank) of a ``SearchIndex``: fused search.
 
     Weighted reciprocal ranks of the 2k best of both lists, boosted by identifiers shared with
     the query and by the type of file, divided by the greatest score; below ``threshold``
-    nothing is shown. Equal scores go by vector rank, then word rank.
+    nothing is shown. Equal scores go by vector rank, then word rank. If no vector is found at
+    all, the keyword list is the result, with its own scores and whatever the threshold.
     """
-    near = hydrate(knn(chunks, query_vector, 2 * k, path_prefix), chunks, ("file_path", "start_line"))
-    said = hydrate(bm25(chunks, query, 2 * k, path_prefix), chunks, ("file_path", "start_line"))
-    fused = hydrate(fuse(near, said, weights[0], weights[1]).drop("file_path", "start_line"), chunks)
+    fused = fuse(both_lists(index, query, query_vector, 2 * k, path_prefix, stemmed, exact), weights[0], weights[1])
     wanted = text.identifiers_of(query)
     shared = F.size(F.array_intersect(text.extract_identifiers(F.col("chunk_text")), F.array(*(F.lit(w) for w in wanted)).cast("array<string>")))
     score = F.col("rrf") * scalar.identifier_boost(shared, identifier_boost) * scalar.file_type_multiplier(F.col("file_path")) * F.lit(weights[2])
-    scored = fused.withColumn("score", score)
-    best = F.max("score").over(Window.partitionBy())
-    result = scored.withColumn("similarity", F.round(F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0)), DECIMALS)).where(F.col("similarity") >= threshold)
+    one = Window.partitionBy()
+    scored = fused.withColumn("score", score).withColumn("best", F.max("score").over(one)).withColumn("none", F.max("vector_rank").over(one).isNull())
+    relative = F.round(F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(F.lit(0.0)), DECIMALS)
+    result = scored.withColumn("similarity", F.when(F.col("none"), F.col("bm25_score")).otherwise(relative)).where(F.col("none") | (F.col("similarity") >= threshold))
     order = [F.desc("similarity"), F.col("vector_rank").asc_nulls_last(), F.col("word_rank").asc_nulls_last(), F.col("id")]
     ranked = result.withColumn("rank", _rank(order)).where(F.col("rank") <= k)
     return ranked.select("id", "file_path", "start_line", "end_line", "chunk_text", "similarity", "rank")
 
 
+def keyword_search(index, query: str, k: int, path_prefix: str | None = None, stemmed: bool = True) -> DataFrame:
+    """(id, file_path, start_line, end_line, chunk_text, similarity, rank): keyword search alone; a query that expands to nothing is taken by its prefixes."""
+    found = index.bm25(query, k, path_prefix, stemmed) if text.query_phrases(query) else index.prefix_bm25(query, k, path_prefix)
+    return index.fetch(found, "file_path", "start_line", "end_line", "chunk_text").drop("seg")
+
+
+def vector_search_index(index, query_vector: list[float], k: int, threshold: float, path_prefix: str | None = None, exact: bool = True) -> DataFrame:
+    """(id, file_path, start_line, end_line, chunk_text, similarity, rank): of the 2k nearest those above the threshold, at most k."""
+    near = index.knn(query_vector, 2 * k, path_prefix, exact=exact).where((F.col("similarity") >= threshold) & (F.col("rank") <= k))
+    return index.fetch(near, "file_path", "start_line", "end_line", "chunk_text").drop("seg")
+
+
 def preview(body: Column, tokens: int = 150) -> Column:
     """Beginning of a chunk, its first declaration in front if it doesn't begin with one."""
     lines = F.split(body, "\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import fixed, globs, scalar, text, tokenizers
 from siltstone.operators import chunking, embed, incremental, maintenance, observe, search
+from siltstone.operators.index import SearchIndex, index_of
 from siltstone.session import table
 from siltstone.streaming import events as ev
 
@@ -49,6 +50,11 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks")
 
 
+def indexed(spark: SparkSession, d: str) -> SearchIndex:
+    """The kept index of the chunks; the first query over them builds it."""
+    return index_of(spark, f"{d}/chunks.parquet", DIM)
+
+
 # ---- sources and filters
 
 @query(f"SELECT DISTINCT path FROM file_events WHERE lower(event_type) IN ('add', 'change') AND ts > TIMESTAMPTZ '{SINCE}+00' AND path IS NOT NULL")
@@ -107,29 +113,48 @@ def pending_vectors(spark, d):
  list_filter(string_split(chunk_text, chr(10)), lambda s: regexp_matches(s, '{fixed.DECLARATION}'))[1] AS d FROM one WHERE chunk_text IS NOT NULL)
 SELECT id, substr(CASE WHEN f IS NOT NULL AND regexp_matches(f, '{fixed.DECLARATION}') THEN t WHEN d IS NULL THEN t ELSE trim(d) || chr(10) || '...' || chr(10) || t END, 1, 450) AS preview FROM l""")
 def preview(spark, d):
-    """previews of all chunks."""
-    rows = chunks(spark, d).select("id", "chunk_text").where(F.col("chunk_text").isNotNull()).dropDuplicates(["id"])
-    return rows.select("id", search.preview(F.col("chunk_text")).alias("preview"))
+    """previews of all chunks, made in the scan; ids are put together afterwards."""
+    rows = chunks(spark, d).select("id", "chunk_text").where(F.col("chunk_text").isNotNull() & F.col("id").isNotNull())
+    return rows.select("id", search.preview(F.col("chunk_text")).alias("preview")).dropDuplicates(["id"])
+
+
+#: Commands made from the log: searches in several forms, some of which an index can't answer.
+_SEARCHES = ("grep -rn \"{t}\" {p}", "grep -l '{t}' {p}", "cat {p} | grep \"{t}\"", "git grep \"{t}\" -- {p}", "grep -i \"{t}\" src > {p}", "grep {t} {p}", "ls {p}")
+_REMOVALS = ("rm -rf {p}", "rm {p} ./other.ts && ls", "rmdir {p}", "git rm {p}", "git mv {p} moved/{p}", "touch {p}")
+
+
+def _made(form: str) -> str:
+    return "concat('" + form.replace("'", "''").replace("{t}", "', event_type, '").replace("{p}", "', path, '") + "')"
+
 
+def _filled(form: str):
+    return F.replace(F.replace(F.lit(form), F.lit("{t}"), F.col("event_type")), F.lit("{p}"), F.col("path"))
 
-_COMMANDS = "concat('grep -rn \"', event_type, '\" ', path)"
 
+def _commands(spark, d, forms):
+    """Each form with type and path of each event, distinct; nulls give none."""
+    rows = table(spark, d, "file_events").where(F.col("event_type").isNotNull() & F.col("path").isNotNull())
+    return rows.select(F.explode(F.array(*map(_filled, forms))).alias("command")).distinct()
 
-@query(rf"""SELECT DISTINCT c AS command, NOT (contains(c, 'git grep') OR regexp_matches(c, '\|\s*grep') OR contains(c, '>') OR (contains(c, '-l') AND NOT regexp_matches(c, '(?m)\.({fixed.GREP_ENDS})$')))
- AND (regexp_matches(c, '(?m)\.({fixed.GREP_ENDS})$') OR regexp_matches(c, '(?m)^[^>]*grep\s+[^|]*[''"][^''"]+[''"][^|]*$')) AS is_search, regexp_extract(c, 'grep\s+(?:-[a-zA-Z]+\s+)*["'']([^"'']+)["'']', 1) AS pattern
- FROM (SELECT 'grep -rn "' || event_type || '" ' || path AS c FROM file_events WHERE event_type IS NOT NULL AND path IS NOT NULL)""")
+
+def _commands_sql(forms) -> str:
+    return f"SELECT DISTINCT unnest([{', '.join(map(_made, forms))}]) AS c FROM file_events WHERE event_type IS NOT NULL AND path IS NOT NULL"
+
+
+@query(rf"""SELECT c AS command, NOT (contains(c, 'git grep') OR regexp_matches(c, '\|\s*grep') OR contains(c, '>') OR (contains(c, '-l') AND NOT regexp_matches(c, '(?m)\.({fixed.GREP_ENDS})$')))
+ AND (regexp_matches(c, '(?m)\.({fixed.GREP_ENDS})$') OR regexp_matches(c, '(?m)^[^>]*grep\s+[^|]*[''"][^''"]+[''"][^|]*$')) AS is_search, nullif(regexp_extract(c, 'grep\s+(?:-[a-zA-Z]+\s+)*["'']([^"'']+)["'']', 1), '') AS pattern
+ FROM ({_commands_sql(_SEARCHES)})""")
 def grep_parse(spark, d):
     """grep commands and their patterns, made from the event log."""
-    c = F.concat(F.lit('grep -rn "'), F.col("event_type"), F.lit('" '), F.col("path"))
-    rows = table(spark, d, "file_events").select(c.alias("command")).where(F.col("command").isNotNull()).distinct()
-    return rows.select("command", text.is_code_grep(F.col("command")).alias("is_search"), text.grep_pattern(F.col("command")).alias("pattern"))
+    return _commands(spark, d, _SEARCHES).select("command", text.is_code_grep(F.col("command")).alias("is_search"), text.grep_pattern(F.col("command")).alias("pattern"))
 
 
-@query("SELECT DISTINCT path FROM file_events WHERE event_type = 'unlink' AND path <> '' AND NOT starts_with(path, '-') AND NOT regexp_matches(path, '[&|;\\s]') AND NOT regexp_matches(path, '^[{}|$&<>`]')")
+@query(rf"""WITH c AS ({_commands_sql(_REMOVALS)}), a AS (SELECT c, unnest(list_concat(regexp_extract_all(c, '(?:^|\s)(?:rm|rmdir)\s+(?:-[rf]+\s+)?([^\n]+)', 1), regexp_extract_all(c, 'git\s+mv\s+([^\n]+)', 1))) AS a FROM c),
+p AS (SELECT DISTINCT c, unnest(string_split_regex(a, '[&|;\s]+')) AS path FROM a)
+SELECT c AS command, path FROM p WHERE path <> '' AND NOT starts_with(path, '-') AND NOT regexp_matches(path, '^[{{}}|$&<>`]')""")
 def deleted_paths(spark, d):
-    """paths of rm commands, made from the event log."""
-    c = F.concat(F.lit("rm -rf "), F.col("path"))
-    return table(spark, d, "file_events").where(F.col("event_type") == "unlink").select(F.explode(text.deleted_paths(c)).alias("path")).distinct()
+    """paths of rm, rmdir, git rm and git mv commands, made from the event log."""
+    return _commands(spark, d, _REMOVALS).select("command", F.explode(text.deleted_paths(F.col("command"))).alias("path"))
 
 
 # ---- joins and set operations
@@ -148,22 +173,18 @@ def orphan_files(spark, d):
     return maintenance.orphans(chunks(spark, d), tracked)
 
 
-_ENTRIES = r"""e AS (SELECT substr(key, 6) AS file_path, lower(regexp_extract(value, '(?i)hash"?\s*[:=]\s*"?([0-9a-fA-F]+)', 1)) AS file_hash FROM sync_state WHERE key LIKE 'file:%' AND regexp_matches(value, '(?i)run"?\s*[:=]\s*"?\d'))"""
-
-
-@query(f"WITH {_ENTRIES} SELECT c.file_path, c.file_hash FROM (SELECT DISTINCT file_path, file_hash FROM chunks) c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_path = c.file_path AND e.file_hash = c.file_hash)")
+@query(f"WITH {incremental.MANIFEST_SQL} SELECT c.file_path, c.file_hash FROM (SELECT DISTINCT file_path, lower(file_hash) AS file_hash FROM chunks) c WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.file_path = c.file_path AND m.h = c.file_hash)")
 def changed_files(spark, d):
-    """F8: versions whose hash was never recorded."""
-    now = chunks(spark, d).select("file_path", "file_hash").distinct()
-    return maintenance.changed_files(now, incremental.file_entries(table(spark, d, "sync_state")))
+    """F8: stored versions whose hash isn't the one last committed."""
+    now = chunks(spark, d).select("file_path", F.lower("file_hash").alias("file_hash")).distinct()
+    return maintenance.changed_files(now, incremental.committed_manifest(table(spark, d, "sync_state")))
 
 
-@query(f"WITH {ONE}, w AS (SELECT id, regexp_extract_all(coalesce(identifiers, ''), '[a-z0-9_$]+') AS i FROM one) SELECT id, len(list_intersect(list_distinct(i), ['value', 'index', 'cache', 'load'])) AS matches FROM w")
+@query(f"WITH {ONE}, w AS (SELECT id, regexp_extract_all(lower(coalesce(identifiers, '')), '[a-z0-9_$]+') AS i FROM one) SELECT id, len(list_intersect(list_distinct(i), ['value', 'index', 'cache', 'load'])) AS matches FROM w")
 def identifier_matches(spark, d):
     """Identifiers shared with a query."""
-    rows = chunks(spark, d).select("id", "identifiers").dropDuplicates(["id"])
-    found = F.regexp_extract_all(F.coalesce("identifiers", F.lit("")), F.lit("[a-z0-9_$]+"), F.lit(0))
-    return rows.select("id", F.size(F.array_intersect(found, F.array(*(F.lit(w) for w in ("value", "index", "cache", "load"))))).alias("matches"))
+    rows = chunks(spark, d).where(F.col("id").isNotNull()).select("id", text.shared_identifiers(F.col("identifiers"), ["value", "index", "cache", "load"]).alias("matches"))
+    return rows.groupBy("id").agg(F.max("matches").alias("matches"))
 
 
 # ---- aggregates
@@ -233,7 +254,9 @@ def mean_pool(spark, d):
 
 # ---- scalar functions
 
-_DJB = "list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: xor((h * 33) & 4294967295, c))"
+#: UTF-16 units of a text.
+_UNITS = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55232 + (unicode(c)::BIGINT >> 10), 56320 + (unicode(c)::BIGINT & 1023)] ELSE [unicode(c)::BIGINT] END))"
+_DJB = f"list_reduce(list_prepend(5381::BIGINT, {_UNITS}), lambda h, c: xor((h * 33) & 4294967295, c))"
 
 
 @query(f"SELECT doc_id, CASE WHEN text = '' THEN 5381 ELSE {_DJB.format('text')} END AS h FROM documents WHERE text IS NOT NULL")
@@ -242,23 +265,28 @@ def djb2a_hash(spark, d):
     return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", scalar.djb2a(F.col("text")).alias("h"))
 
 
-@query("""WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) AS c FROM documents WHERE text <> '')
+@query(f"""WITH c AS (SELECT doc_id, {_UNITS.format('text')} AS c FROM documents WHERE text <> '')
 SELECT doc_id, printf('%08x', list_reduce(list_prepend(2216829733::BIGINT, c), lambda h, c: xor((h * 16777619) & 4294967295, c >> 8))) || printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, c), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS h FROM c""")
 def file_hash(spark, d):
     """X2, over whole texts."""
     return table(spark, d, "documents").where(F.col("text") != "").select("doc_id", scalar.file_hash(F.col("text")).alias("h"))
 
 
-_POWERS = [pow(16807, i + 1, 2147483647) for i in range(8)]
+#: Length of the reference vectors.
+_LONG_DIM = 768
+_POWERS = [pow(16807, i + 1, 2147483647) for i in range(_LONG_DIM)]
 
 
-@query(f"""WITH s AS (SELECT doc_id, (({_DJB.format('text')}) % 2147483647) | 1 AS seed FROM documents WHERE text <> ''),
-v AS (SELECT doc_id, list_transform({_POWERS}::BIGINT[], lambda p: ((seed * p) % 2147483647 / 2147483647.0::DOUBLE * 2 - 1)::FLOAT) AS v FROM s)
-SELECT doc_id, unnest(range(8))::INT AS i, unnest(list_transform(v, lambda x: round((x::DOUBLE / sqrt(list_sum(list_transform(v, lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE, 5))) AS x FROM v""")
+@query(f"""WITH s AS (SELECT doc_id, ({_DJB.format('text')}) % 2147483647 AS r FROM documents WHERE text <> ''), n AS (SELECT doc_id, CASE WHEN r = 0 THEN 1 ELSE r END AS seed FROM s),
+v AS (SELECT doc_id, list_transform({_POWERS}::BIGINT[], lambda p: ((seed * p) % 2147483647 / 2147483647.0::DOUBLE * 2 - 1)::FLOAT) AS v FROM n),
+z AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda y: y::DOUBLE * y::DOUBLE))) AS z FROM v)
+SELECT doc_id, len(v)::INT AS size, round(v[1] / z, 5) AS first, round(v[768] / z, 5) AS last, md5(array_to_string(list_transform(v, lambda x: round((x / z)::FLOAT::DOUBLE * 10000)::BIGINT), ',')) AS digest FROM z""")
 def placeholder_embedding(spark, d):
-    """Vectors made from hashes of whole texts, eight numbers each."""
-    rows = table(spark, d, "documents").where(F.col("text") != "").select("doc_id", scalar.placeholder_embedding(F.col("text"), 8).alias("v"))
-    return rows.select("doc_id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
+    """Vectors made from hashes of whole texts: length, ends, and a digest of all numbers to four decimals."""
+    rows = table(spark, d, "documents").where(F.col("text") != "").select("doc_id", scalar.placeholder_embedding(F.col("text"), _LONG_DIM).alias("v"))
+    digest = F.md5(F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string")), ",").cast("binary"))
+    end = lambda i: F.round(F.element_at("v", i).cast("double"), 5)
+    return rows.select("doc_id", F.size("v").alias("size"), end(1).alias("first"), end(-1).alias("last"), digest.alias("digest"))
 
 
 @query("SELECT vec_id, unnest(range(len(embedding)))::INT AS i, unnest(list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 9))) AS x FROM embeddings")
@@ -314,23 +342,20 @@ def identifier_variants(spark, d):
 _SYN = ", ".join(f"'{k}': {_list(v)}" for k, v in fixed.SYNONYMS.items())
 
 
-@query(f"""WITH w AS ({_NAMES}), s AS (SELECT name, lower(name) AS l, MAP {{{_SYN}}} AS m FROM w)
-SELECT name, array_to_string(list_sort(list_distinct(list_concat([l], coalesce(m[l], []), list_filter(list_transform({_CAMEL.format('name')}, lambda p: lower(p)), lambda p: length(p) > 2)))), '|') AS terms FROM s""")
+@query(f"""WITH w AS ({_NAMES}), s AS (SELECT name, lower(name) AS l, MAP {{{_SYN}}} AS m, list_transform({_CAMEL.format('name')}, lambda p: lower(p)) AS p FROM w),
+k AS (SELECT *, list_filter(p, lambda x: NOT list_contains({_list(fixed.VARIANT_STOPWORDS)}, x)) AS k FROM s),
+u AS (SELECT *, CASE WHEN len(k) >= 2 THEN k ELSE p END AS u FROM k), t AS (SELECT *, list_transform(u, lambda x: upper(substr(x, 1, 1)) || substr(x, 2)) AS t FROM u)
+SELECT name, array_to_string(list_sort(list_distinct(list_concat([l], coalesce(m[l], []), list_filter(p, lambda x: length(x) > 2),
+ CASE WHEN len(p) >= 2 THEN [array_to_string(u, ' '), u[1] || array_to_string(t[2:], ''), array_to_string(u, '_'), u[1] || t[2], u[-2] || t[-1]] ELSE [] END))), '|') AS terms FROM t""")
 def expand_query(spark, d):
-    """Names with their synonyms and parts, by a table of synonyms joined as a map."""
-    syn = F.create_map(*(x for k, v in fixed.SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
-    low = F.lower("name")
-    parts = F.filter(F.transform(text.split_camel(F.col("name")), F.lower), lambda p: F.length(p) > 2)
-    found = F.concat(F.array(low), F.coalesce(F.element_at(syn, low), F.array().cast("array<string>")), parts)
-    return _names(spark, d).select("name", F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("terms"))
+    """All names with their synonyms, parts and variants."""
+    return _names(spark, d).select("name", F.array_join(F.array_sort(text.expand_columns(F.col("name"))), "|").alias("terms"))
 
 
 @query("SELECT item_id, CASE WHEN len(w) = 0 THEN '' WHEN len(w) <= 6 THEN array_to_string(list_transform(w, lambda x: x || '*'), ' AND ') ELSE array_to_string(list_transform(w, lambda x: x || '*'), ' OR ') END AS q FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(prompt, '[:\"()''*+\\-^~]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2) AS w FROM eval_items)")
 def fts_prefix_query(spark, d):
     """Prefix queries of all prompts."""
-    words = F.filter(F.split(F.regexp_replace("prompt", text.SPECIAL, " "), r"\s+"), lambda w: F.length(w) >= 2)
-    stars = F.transform(words, lambda w: F.concat(w, F.lit("*")))
-    return table(spark, d, "eval_items").select("item_id", F.when(F.size(words) <= 6, F.array_join(stars, " AND ")).otherwise(F.array_join(stars, " OR ")).alias("q"))
+    return table(spark, d, "eval_items").select("item_id", text.prefix_query_column(F.col("prompt")).alias("q"))
 
 
 _FOUND = " ".join(["list_concat("] + [f"regexp_extract_all(chunk_text, '{p.replace(chr(39), chr(39) * 2)}', 1), " for p in fixed.IDENTIFIER_PATTERNS]).rstrip(", ") + ")"
@@ -339,8 +364,8 @@ _FOUND = " ".join(["list_concat("] + [f"regexp_extract_all(chunk_text, '{p.repla
 @query(f"WITH {ONE} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform({_FOUND}, lambda x: lower(x)), lambda x: length(x) > 1 AND NOT list_contains({_list(fixed.KEYWORDS)}, x)))), '|') AS identifiers FROM one WHERE chunk_text IS NOT NULL")
 def extract_identifiers(spark, d):
     """Identifiers of all chunks."""
-    rows = chunks(spark, d).select("id", "chunk_text").where(F.col("chunk_text").isNotNull()).dropDuplicates(["id"])
-    return rows.select("id", F.array_join(F.array_sort(text.extract_identifiers(F.col("chunk_text"))), "|").alias("identifiers"))
+    rows = chunks(spark, d).select("id", "chunk_text").where(F.col("chunk_text").isNotNull() & F.col("id").isNotNull())
+    return rows.select("id", F.array_join(F.array_sort(text.extract_identifiers(F.col("chunk_text"))), "|").alias("identifiers")).dropDuplicates(["id"])
 
 
 _MULT = ", ".join(f"'{k}': {v}" for k, v in fixed.FILE_TYPE_MULTIPLIERS.items())
@@ -404,7 +429,7 @@ _LINES = f"{ONE}, l AS (SELECT id, lower(string_split(file_path, '.')[-1]) AS e,
 @query(f"WITH {_LINES} SELECT id, line_no::INT AS line_no, kind FROM k WHERE kind IS NOT NULL")
 def boundaries(spark, d):
     """Where something begins, in all chunks."""
-    return chunking.boundaries(chunks(spark, d).dropDuplicates(["id"]), "id", "file_path", "chunk_text")
+    return chunking.boundaries(chunks(spark, d).where(F.col("id").isNotNull()), "id", "file_path", "chunk_text").distinct()
 
 
 _SEGMENTS = f"""WITH {_LINES}, g AS (SELECT id, line_no, line, greatest(sum(CASE WHEN kind IN ('function', 'class', 'interface') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_no) - 1, 0) AS segment FROM k),
@@ -414,14 +439,16 @@ s AS (SELECT id, segment::INT AS segment, min(line_no)::INT AS start_line, max(l
 @query(f"{_SEGMENTS} SELECT id, segment, start_line, end_line, md5(text) AS text FROM s WHERE regexp_matches(text, '\\S')")
 def semantic_chunks(spark, d):
     """Chunks cut before their functions, classes and interfaces."""
-    s = chunking.segments(chunks(spark, d).dropDuplicates(["id"]), "id", "file_path", "chunk_text")
-    return s.select("id", "segment", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("text"))
+    s = chunking.segments(chunks(spark, d).where(F.col("id").isNotNull()), "id", "file_path", "chunk_text")
+    return s.select("id", "segment", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("text")).distinct()
 
 
 @query()
 def token_chunks(spark, d):
-    """Documents cut by size with overlapping lines."""
-    return chunking.chunk_files(table(spark, d, "documents").withColumn("path", F.lit("a.txt")), "doc_id", "path", "text", 128, 32, 512)
+    """Chunks cut at their units, what is too large by size with overlapping lines, as files of their own; documents by size alone."""
+    code = chunking.chunk_files(chunks(spark, d).where(F.col("id").isNotNull()), "id", "file_path", "chunk_text", 128, 32, 512).distinct()
+    prose = chunking.chunk_files(table(spark, d, "documents").withColumn("path", F.lit(None).cast("string")), "doc_id", "path", "text", 128, 32, 512, by_size_only=True)
+    return code.withColumn("kind", F.lit("chunk")).unionByName(prose.withColumnRenamed("doc_id", "id").withColumn("kind", F.lit("document")))
 
 
 @query("SELECT DISTINCT id, CASE WHEN start_line < 0 THEN 'negative start' WHEN end_line < start_line THEN 'end before start' WHEN NOT coalesce(regexp_matches(chunk_text, '\\S'), false) THEN 'blank text' END AS problem FROM chunks WHERE start_line < 0 OR end_line < start_line OR NOT coalesce(regexp_matches(chunk_text, '\\S'), false)")
@@ -440,8 +467,8 @@ def knn_exact(spark, d):
 
 @query()
 def knn_approx(spark, d):
-    """V2: nearest chunks by random projections."""
-    return search.knn_lsh(chunks(spark, d), VECTOR, 20)
+    """Nearest chunks from the kept index, out of the cells next to the query."""
+    return indexed(spark, d).knn(VECTOR, 20, exact=False).drop("seg")
 
 
 @query(f"WITH {ONE}, {KNN} SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id)::INT AS rank FROM knn WHERE starts_with(file_path, 'src/') QUALIFY rank <= 10")
@@ -465,31 +492,49 @@ def postings(spark, d):
 
 _PHRASES = list(dict.fromkeys(tuple(w) for p in text.query_phrases(QUERY) if (w := text.phrase_words(p))))
 _PATTERNS = [" " + "  ".join(p) + " " for p in _PHRASES]
-_BM = f"""j AS (SELECT id, file_path, start_line, list_filter(string_split_regex(lower(concat_ws(' ', file_path, chunk_text, identifiers)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM one),
-jj AS (SELECT id, file_path, start_line, len(w) AS dl, ' ' || array_to_string(w, '  ') || ' ' AS j FROM j),
-ph AS (SELECT unnest({_list(_PATTERNS)}) AS p), tf AS (SELECT id, p, dl, (length(j) - length(replace(j, p, ''))) // length(p) AS tf FROM jj, ph),
+_WORDS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _bm_sql(words: str, patterns: list[str]) -> str:
+    """Ranked keyword search for phrases; ``words`` turns the words of a column into what is compared. No phrase spans two columns."""
+    columns = [words.replace("{0}", _WORDS.format(c)) for c in ("file_path", "chunk_text", "identifiers")]
+    joined = " || '|' || ".join(f"' ' || array_to_string({c}, '  ') || ' '" for c in columns)
+    return f"""jj AS (SELECT id, file_path, start_line, {' + '.join(f'len({c})' for c in columns)} AS dl, {joined} AS j FROM one),
+ph AS (SELECT unnest({_list(patterns)}) AS p), tf AS (SELECT id, p, dl, (length(j) - length(replace(j, p, ''))) // length(p) AS tf FROM jj, ph),
 st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM jj WHERE dl > 0), df AS (SELECT p, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY p),
 bs AS (SELECT id, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS similarity, sum(tf) AS hits FROM tf JOIN df USING (p), st GROUP BY id),
 bm AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id)::INT AS rank FROM bs WHERE hits > 0)"""
 
 
+_BM = _bm_sql("{0}", _PATTERNS)
+
+
 @query(f"WITH {ONE}, {_BM} SELECT * FROM bm WHERE rank <= 20")
 def bm25_search(spark, d):
     """Keyword search by phrases."""
-    return search.bm25(chunks(spark, d), QUERY, 20)
+    return indexed(spark, d).bm25(QUERY, 20, stemmed=False).drop("seg")
 
 
 @query(f"WITH {ONE}, {_BM} SELECT id, similarity, rank, file_path, start_line, 'keyword search' AS note FROM bm JOIN one USING (id) WHERE rank <= 10")
 def fts_only(spark, d):
     """Keyword search alone, with a note."""
-    c = chunks(spark, d)
-    return search.hydrate(search.bm25(c, QUERY, 10), c, ("file_path", "start_line")).withColumn("note", F.lit("keyword search"))
+    found = search.keyword_search(indexed(spark, d), QUERY, 10, stemmed=False)
+    return found.select("id", "similarity", "rank", "file_path", "start_line", F.lit("keyword search").alias("note"))
 
 
-@query()
+#: Words of one family, written down by hand: what a stemmer has to bring together.
+_FAMILIES = {
+    "const": "const consts", "value": "value values valued valuing valus", "val": "val vals", "load": "load loads loaded loading", "loadindex": "loadindex", "index": "index indexes indexed indexing", "cache": "cache caches cached caching",
+    "result": "result results resulted resulting", "data": "data datas", "memoize": "memoize memoizes memoized memoizing", "store": "store stores stored storing", "memory": "memory memories",
+}
+_FORMS = {w: f for f, ws in _FAMILIES.items() for w in ws.split()}
+_STEMMED = list(dict.fromkeys(" " + "  ".join(_FORMS[w] for w in p) + " " for p in _PHRASES))
+
+
+@query(f"""WITH {ONE}, {_bm_sql("list_transform({0}, lambda w: coalesce((MAP {" + ", ".join(f"'{w}': '{f}'" for w, f in _FORMS.items()) + "})[w], w))", _STEMMED)} SELECT * FROM bm WHERE rank <= 20""")
 def bm25_stemmed(spark, d):
-    """B1, B2 with Porter's stemmer."""
-    return search.bm25_stemmed(search.postings(chunks(spark, d), stem=True), ["loading", "indexes", "cached"], 20)
+    """Keyword search by phrases of stems, from the kept index."""
+    return indexed(spark, d).bm25(QUERY, 20).drop("seg")
 
 
 @query(f"""WITH {ONE}, h AS (SELECT id, file_path, start_line, end_line, chunk_text FROM one WHERE contains(lower(chunk_text), '{LITERAL}') ORDER BY file_path, start_line, id LIMIT 20),
@@ -510,9 +555,7 @@ f AS (SELECT coalesce(v_id, b_id) AS id, vector_rank, word_rank, coalesce(0.4::D
 @query(f"WITH {ONE}, {KNN}, {_BM}, {_FUSED} SELECT id, vector_rank::INT AS vector_rank, word_rank::INT AS word_rank, round(rrf, 9) AS rrf FROM f")
 def rrf_fusion(spark, d):
     """Two ranked lists in a full outer join."""
-    c = chunks(spark, d)
-    key = ("file_path", "start_line")
-    f = search.fuse(search.hydrate(search.knn(c, VECTOR, 20), c, key), search.hydrate(search.bm25(c, QUERY, 20), c, key))
+    f = search.fuse(search.both_lists(indexed(spark, d), QUERY, VECTOR, 20, None, stemmed=False))
     return f.select("id", "vector_rank", "word_rank", F.round("rrf", 9).alias("rrf"))
 
 
@@ -526,7 +569,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, vector_rank NULLS L
 @query(f"{_HYBRID} SELECT id, file_path, start_line, end_line, similarity, rank FROM r WHERE rank <= 10")
 def hybrid_search(spark, d):
     """Fused search."""
-    return search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10).drop("chunk_text")
+    return search.hybrid_search(indexed(spark, d), QUERY, VECTOR, 10, stemmed=False).drop("chunk_text")
 
 
 def _rerank_sql() -> str:
@@ -544,7 +587,7 @@ SELECT id, rerank_score, row_number() OVER (ORDER BY rerank_score DESC, rank)::I
 @query(_rerank_sql())
 def heuristic_rerank(spark, d):
     """The fused results in a new order."""
-    return search.heuristic_rerank(search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10), QUERY).select("id", "rerank_score", "new_rank")
+    return search.heuristic_rerank(search.hybrid_search(indexed(spark, d), QUERY, VECTOR, 10, stemmed=False), QUERY).select("id", "rerank_score", "new_rank")
 
 
 def length_scorer(query: str, texts: list[str]) -> list[float]:
@@ -553,16 +596,21 @@ def length_scorer(query: str, texts: list[str]) -> list[float]:
     return [sum(w in t.lower() for w in words) / (1 + len(t)) ** 0.5 for t in texts]
 
 
-@query()
+@query(f"""{_HYBRID}, t AS (SELECT id, rank, substr(chunk_text, 1, 1536) AS t FROM r WHERE rank <= 10),
+q AS (SELECT id, rank, round(1 / (1 + exp(-({" + ".join(f"contains(lower(t), '{w}')::INT" for w in sorted(set(QUERY.lower().split())))}) / sqrt(1 + length(t)))), 6) AS rerank_score FROM t)
+SELECT id, rerank_score, row_number() OVER (ORDER BY rerank_score DESC, rank)::INT AS new_rank FROM q""")
 def cross_rerank(spark, d):
     """R2: the fused results by a pair scorer."""
-    return search.cross_rerank(search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10), QUERY, length_scorer).select("id", "rerank_score", "new_rank")
+    return search.cross_rerank(search.hybrid_search(indexed(spark, d), QUERY, VECTOR, 10, stemmed=False), QUERY, length_scorer).select("id", "rerank_score", "new_rank")
 
 
-@query()
+@query(f"""{_HYBRID}, m AS (SELECT rank, file_path, start_line || '-' || end_line AS lines, printf('%.3f', similarity) AS similarity, list_filter(string_split(chunk_text, chr(10)), lambda s: length(trim(s)) > 0)[1] AS f,
+ list_filter(string_split(chunk_text, chr(10)), lambda s: regexp_matches(s, '{fixed.DECLARATION}'))[1] AS d, chunk_text AS t FROM r WHERE rank <= 10),
+p AS (SELECT rank, {{'file': file_path, 'lines': lines, 'similarity': similarity, 'preview': substr(CASE WHEN f IS NOT NULL AND regexp_matches(f, '{fixed.DECLARATION}') THEN t WHEN d IS NULL THEN t ELSE trim(d) || chr(10) || '...' || chr(10) || t END, 1, 450)}} AS m FROM m)
+SELECT to_json({{'query': '{QUERY}', 'mode': 'hybrid', 'matches': list(m ORDER BY rank)}})::VARCHAR AS json FROM p""")
 def to_json_results(spark, d):
     """Results as JSON."""
-    return search.as_json(search.hybrid_search(chunks(spark, d), QUERY, VECTOR, 10), QUERY, "hybrid")
+    return search.as_json(search.hybrid_search(indexed(spark, d), QUERY, VECTOR, 10, stemmed=False), QUERY, "hybrid")
 
 
 # ---- maintenance and streams
@@ -570,20 +618,11 @@ def to_json_results(spark, d):
 _KEEP = "id, file_path, chunk_index, file_hash"
 
 
-@query(f"""WITH old AS (SELECT {_KEEP} FROM chunks WHERE starts_with(file_path, 'src/')), new AS (SELECT {_KEEP} FROM chunks WHERE starts_with(file_path, 'src/core/'))
-SELECT {_KEEP}, 'old' AS origin FROM old WHERE file_path NOT IN (SELECT file_path FROM new WHERE file_path IS NOT NULL) UNION ALL SELECT {_KEEP}, 'new' AS origin FROM new""")
-def upsert_chunks(spark, d):
-    """Files replaced as a whole."""
-    rows = chunks(spark, d).select("id", "file_path", "chunk_index", "file_hash")
-    old = rows.where(F.col("file_path").startswith("src/")).withColumn("origin", F.lit("old"))
-    return maintenance.upsert_chunks(old, rows.where(F.col("file_path").startswith("src/core/")).withColumn("origin", F.lit("new")))
-
-
 @query(f"""WITH cur AS (SELECT DISTINCT ON (file_path) file_path, lower(file_hash) AS newest FROM chunks WHERE file_path IS NOT NULL ORDER BY file_path, coalesce(updated_at, TIMESTAMPTZ '0001-01-01 00:00:00+00') DESC, lower(file_hash) DESC NULLS LAST),
 v AS (SELECT {_KEEP}, c.file_path IS NOT NULL AND lower(file_hash) IS NOT DISTINCT FROM newest AS is_new FROM chunks c LEFT JOIN cur USING (file_path)), changed AS (SELECT DISTINCT file_path FROM v WHERE NOT is_new AND file_path IS NOT NULL),
 new AS (SELECT {_KEEP} FROM v WHERE is_new AND file_path IN (SELECT file_path FROM changed)), old AS (SELECT {_KEEP} FROM v WHERE NOT is_new OR file_path NOT IN (SELECT file_path FROM changed))
 SELECT {_KEEP}, 'old' AS origin FROM old WHERE file_path IS NULL OR file_path NOT IN (SELECT file_path FROM new) UNION ALL SELECT {_KEEP}, 'new' AS origin FROM new""")
-def upsert_versions(spark, d):
+def upsert_chunks(spark, d):
     """The older versions of changed files replaced by the newest, over the whole table."""
     rows = chunks(spark, d).select("id", "file_path", "chunk_index", "file_hash", "updated_at")
     newest = incremental.current_versions(rows).withColumnRenamed("file_hash", "newest")
@@ -602,22 +641,24 @@ def delete_files(spark, d):
     return maintenance.delete_files(chunks(spark, d).select("id", "file_path", "chunk_index", "file_hash"), gone)
 
 
-@query(f"""WITH {_ENTRIES}, l AS (SELECT path AS file_path, event_type FROM file_events WHERE path IS NOT NULL AND event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC NULLS LAST, event_type DESC) = 1),
-n AS (SELECT file_path, max(length(chunk_text)) AS size FROM chunks GROUP BY file_path), nh AS (SELECT c.file_path, n.size, max(c.file_hash) AS h FROM chunks c JOIN n ON c.file_path = n.file_path AND length(c.chunk_text) = n.size GROUP BY ALL), o AS (SELECT file_path, max(file_hash) AS h FROM e GROUP BY file_path)
-SELECT l.file_path, CASE WHEN event_type = 'unlink' OR nh.file_path IS NULL THEN 'delete' WHEN nh.size / 1024.0 > 4 THEN 'too_big' WHEN nh.h = o.h THEN 'unchanged' ELSE 'upsert' END AS action FROM l LEFT JOIN nh USING (file_path) LEFT JOIN o USING (file_path)""")
+@query(f"""WITH {incremental.MANIFEST_SQL}, l AS (SELECT path AS file_path, event_type FROM file_events WHERE path IS NOT NULL AND event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC NULLS LAST, event_type DESC) = 1),
+b AS (SELECT DISTINCT c.file_path, c.id, strlen(coalesce(c.chunk_text, '')) AS bytes FROM chunks c JOIN cur ON c.file_path = cur.file_path AND lower(c.file_hash) IS NOT DISTINCT FROM cur.h),
+n AS (SELECT file_path, sum(bytes) AS size FROM b GROUP BY file_path)
+SELECT l.file_path, CASE WHEN event_type = 'unlink' OR n.file_path IS NULL THEN 'delete' WHEN n.size / 1024.0 > 16 THEN 'too_big' WHEN cur.h = m.h THEN 'unchanged' ELSE 'upsert' END AS action
+FROM l LEFT JOIN n USING (file_path) LEFT JOIN cur USING (file_path) LEFT JOIN manifest m USING (file_path)""")
 def incremental_sync(spark, d):
-    """K7, K2, F8: what a batch of events asks for."""
-    now = chunks(spark, d).select("file_path", "file_hash", F.length("chunk_text").alias("size"))
-    return maintenance.plan_sync(table(spark, d, "file_events"), now, incremental.file_entries(table(spark, d, "sync_state")), 4)
+    """K7, K2, F8: what a batch of events asks for, of each file's newest version against the committed hash."""
+    now = incremental.current_files(chunks(spark, d))
+    return maintenance.plan_sync(table(spark, d, "file_events"), now, incremental.committed_manifest(table(spark, d, "sync_state")), 16)
 
 
-@query(f"""WITH {_ENTRIES}, n AS (SELECT DISTINCT file_path, file_hash FROM chunks WHERE file_path IS NOT NULL)
-SELECT DISTINCT file_path, 'reindex' AS action FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.file_path = n.file_path AND e.file_hash = n.file_hash)
-UNION ALL SELECT DISTINCT file_path, 'delete' AS action FROM e WHERE file_path NOT IN (SELECT file_path FROM n)""")
+@query(f"""WITH {incremental.MANIFEST_SQL}
+SELECT file_path, 'reindex' AS action FROM cur WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.file_path = cur.file_path AND m.h = cur.h)
+UNION ALL SELECT DISTINCT file_path, 'delete' AS action FROM manifest WHERE file_path NOT IN (SELECT file_path FROM cur)""")
 def diff_sync(spark, d):
-    """K8: differences between what exists and what is stored."""
-    now = chunks(spark, d).where(F.col("file_path").isNotNull()).select("file_path", "file_hash").distinct()
-    return maintenance.diff_sync(now, incremental.file_entries(table(spark, d, "sync_state")))
+    """K8: differences between what exists and what was committed."""
+    now = incremental.current_versions(chunks(spark, d))
+    return maintenance.diff_sync(now, incremental.committed_manifest(table(spark, d, "sync_state")))
 
 
 _CLEAN = "c AS (SELECT lower(trim(event_type)) AS event_type, regexp_replace(regexp_replace(path, '\\\\', '/', 'g'), '^(?:\\./)+', '') AS path, ts FROM file_events WHERE lower(trim(event_type)) IN ('add', 'change', 'unlink') AND path IS NOT NULL AND path <> '' AND ts IS NOT NULL)"

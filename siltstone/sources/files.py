@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed, globs
+from siltstone.sources.shared import Folder
 
 CHUNK_SCHEMA = (
     "id long, file_path string, chunk_index int, chunk_text string, start_line int, end_line int, embedding array<float>, "
@@ -17,8 +19,8 @@ CHUNK_SCHEMA = (
 EMPTY = "path string, size long, modified_at timestamp, text string"
 
 
-def read_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_kb: float = 500.0, modified_after: str | None = None) -> DataFrame:
-    """(path, size, modified_at, text) of the files below ``root`` that the globs allow, paths relative to it.
+def read_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_kb: float = 500.0, modified_after: str | None = None, blacklist: list[str] | None = None, whitelist: list[str] | None = None) -> DataFrame:
+    """(path, size, modified_at, text) of the files below ``root`` that globs and lists allow, paths relative to it.
 
     Size, time and path are known before a file is read, so files left out cost no read. An empty
     or missing folder gives no row.
@@ -33,12 +35,12 @@ def read_tree(spark: SparkSession, root: str, include: list[str] | None = None,
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
             return spark.createDataFrame([], EMPTY)
         raise
-    full = F.regexp_replace(F.col("path"), r"^file:/+", "/")
-    rel = F.regexp_replace(full, "^" + __import__("re").escape(base if base.startswith("/") else str(Path(base).resolve())) + "/+", "")
+    # paths come back with their file system's address in front, whatever form the root was given in
+    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(re.sub(r"^file:/+", "/", Folder(spark, base).path())) + "/+", "")
     rows = found.where(F.col("length") <= max_kb * 1024).select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), "content")
-    keep = globs.should_index(F.col("path"), include, exclude)
+    keep = globs.should_index(F.col("path"), include, exclude, blacklist, whitelist)
     seen = rows.where(keep).select("path", "size", "modified_at", F.decode("content", "UTF-8").alias("text"))
-    hidden = _hidden_names(base.removeprefix("file://"))
+    hidden = _hidden_names(base.removeprefix("file://")) if spark.sparkContext.master.startswith("local") else []
     return seen.unionByName(_read_hidden(spark, base.removeprefix("file://"), hidden, max_kb, modified_after).where(keep)) if hidden else seen
 
 
@@ -81,6 +83,27 @@ def list_tracked(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
 
 
+def git_tracked(spark: SparkSession, root: str, timeout: float = 30) -> DataFrame:
+    """(path): the files that git tracks below a local folder; none if it is no repository or there is no git."""
+    import subprocess
+
+    try:
+        out = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, timeout=timeout, check=True).stdout
+    except (OSError, subprocess.SubprocessError):
+        return list_tracked(spark, [])
+    return list_tracked(spark, [p for p in out.decode("utf-8", "replace").split("\0") if p])
+
+
+def git_blob(root: str, path: str, ref: str = "HEAD", timeout: float = 30) -> str | None:
+    """The text of a file at a commit, or None if it isn't there."""
+    import subprocess
+
+    try:
+        return subprocess.run(["git", "-C", root, "show", f"{ref}:{path}"], capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 def first_available(*sources) -> DataFrame:
     """The first of several ways to list files that gives any row; the last one if none does."""
     for make in sources:
@@ -90,6 +113,7 @@ def first_available(*sources) -> DataFrame:
     return df
 
 
+# Settings unless told otherwise.
 DEFAULTS = {
     "embedding": {"dimensions": 768, "batch_size": 32, "context_limit": 512, "query_prefix": "", "document_prefix": "", "enabled": True},
     "chunking": {"max_tokens": 512, "overlap_tokens": 32},
@@ -153,28 +177,24 @@ def set_setting(settings: dict, key: str, value) -> dict:
 
 
 class StateFile:
-    """A small key-value store in one JSON file; each change replaces the file as a whole."""
+    """A small key-value store in one JSON file of any file system; each change replaces the file as a whole."""
 
-    def __init__(self, path: str):
-        self.path = Path(path)
+    def __init__(self, spark: SparkSession, path: str):
+        folder, _, self.name = path.rpartition("/")
+        self.folder = Folder(spark, folder or ".")
+        self.folder.make()
 
     def all(self) -> dict:
-        return json.loads(self.path.read_text()) if self.path.exists() else {}
+        return json.loads(self.folder.read(self.name) or "{}")
 
     def get(self, key: str, default=None):
         return self.all().get(key, default)
 
     def set(self, **values) -> None:
-        new = {**self.all(), **values}
-        tmp = self.path.with_suffix(".tmp")
-        tmp.write_text(json.dumps(new))
-        tmp.replace(self.path)
+        self.folder.write(self.name, json.dumps({**self.all(), **values}))
 
     def clear(self, *keys: str) -> None:
-        kept = {k: v for k, v in self.all().items() if k not in keys}
-        tmp = self.path.with_suffix(".tmp")
-        tmp.write_text(json.dumps(kept))
-        tmp.replace(self.path)
+        self.folder.write(self.name, json.dumps({k: v for k, v in self.all().items() if k not in keys}))
 
 
 def append_metric(spark: SparkSession, folder: str, name: str, value: float) -> None:

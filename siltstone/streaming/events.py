@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import Folder
+
 GAP = "500 milliseconds"
 #: Waiting events at which a batch is closed early.
 FLUSH_AT = 500
@@ -83,35 +85,88 @@ def stream_bursts(events: DataFrame, gap: str = GAP, late: str = "10 minutes") -
 
 
 def flush_by_count(events: DataFrame, at: int = FLUSH_AT, gap_ms: int = 500) -> DataFrame:
-    """(group, batch, events): per group a batch is closed at ``at`` events or after ``gap_ms`` without one.
+    """(group, batch, event_type, path): the events of each group in batches, closed at ``at`` events or after ``gap_ms`` without one.
 
     ``events`` is a stream with a column ``group`` (for instance a hash of the folder, so that
-    groups spread over tasks) and a path. State is the waiting paths, at most ``at`` of them.
+    groups spread over tasks), event_type and path. An event is waiting once per type and path. A batch comes out whole, added files
+    first, then changed, then removed ones. State is the waiting events, fewer than ``at``, and the batch's number.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, waiting = state.get if state.exists else (0, [])
-        waiting = list(waiting)
+        count, types, paths = state.get if state.exists else (0, [], [])
+        waiting = dict.fromkeys(zip(types, paths))
         out = []
+
+        def flush() -> None:
+            nonlocal count
+            out.extend((key[0], count, t, p) for t, p in sorted(waiting, key=lambda e: (ORDER.get(e[0], len(ORDER)), e[1])))
+            count += 1
+            waiting.clear()
+
         if state.hasTimedOut:
             if waiting:
-                out.append((key[0], count, len(waiting)))
-            state.remove()
+                flush()
         else:
             for pdf in batches:
-                for p in pdf["path"]:
-                    if p not in waiting:
-                        waiting.append(p)
-                    if len(waiting) >= at:
-                        out.append((key[0], count, len(waiting)))
-                        count, waiting = count + 1, []
-            state.update((count, waiting))
-            if waiting:
-                state.setTimeoutDuration(gap_ms)
-        yield pd.DataFrame(out, columns=["group", "batch", "events"])
+                for event in zip(pdf["event_type"], pdf["path"]):
+                    if event[1] is not None:
+                        waiting[event] = None
+                        if len(waiting) >= at:
+                            flush()
+        state.update((count, [t for t, _ in waiting], [p for _, p in waiting]))
+        if waiting:
+            state.setTimeoutDuration(gap_ms)
+        yield pd.DataFrame(out, columns=["group", "batch", "event_type", "path"])
+
+    return events.groupBy("group").applyInPandasWithState(
+        step, "group long, batch long, event_type string, path string", "count long, types array<string>, paths array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def listing_events(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(event_type, path, ts): what happened between two listings (path, size, modified_at): add, change, unlink.
+
+    One row per path in each; null paths are left out. A removed file's time is that of the comparison.
+    """
+    a = before.where(F.col("path").isNotNull()).select("path", F.struct("size", "modified_at").alias("a"))
+    b = now.where(F.col("path").isNotNull()).select("path", F.struct("size", "modified_at").alias("b"))
+    kind = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "unlink").when(~F.col("a").eqNullSafe(F.col("b")), "change")
+    both = a.join(b, "path", "full_outer").select(kind.alias("event_type"), "path", F.coalesce(F.col("b.modified_at"), F.current_timestamp()).alias("ts"))
+    return both.where(F.col("event_type").isNotNull())
+
+
+class Watcher:
+    """Watches a tree by listing it again: each ``poll`` writes what changed as a file of events for ``read_events``.
+
+    ``listing()`` gives (path, size, modified_at) of the files that count. The last listing is kept in
+    ``folder`` and replaced after the events are written, so a poll that broke off tells its events again
+    rather than never. The first poll only takes the listing down.
+    """
 
-    return events.groupBy("group").applyInPandasWithState(step, "group long, batch long, events long", "count long, waiting array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def __init__(self, spark: SparkSession, folder: str, listing: Callable[[], DataFrame]):
+        self.spark, self.at, self.listing = spark, Folder(spark, folder), listing
+        self.at.make("events")
+        self.counts: dict[str, int] = dict.fromkeys(ORDER, 0)
+
+    @property
+    def events(self) -> str:
+        """The folder that ``read_events`` reads."""
+        return self.at.path("events")
+
+    def poll(self) -> dict[str, int]:
+        """Events of each type since the last poll."""
+        last = max((int(n) for n in self.at.names("listings")), default=0)
+        self.listing().select("path", "size", "modified_at").write.mode("overwrite").parquet(self.at.path(f"listings/{last + 1}"))
+        found = dict.fromkeys(ORDER, 0)
+        if last:
+            of = lambda n: self.spark.read.parquet(self.at.path(f"listings/{n}"))
+            changed = listing_events(of(last), of(last + 1))
+            changed.coalesce(1).write.mode("append").parquet(self.events)
+            found |= {r["event_type"]: r["n"] for r in changed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+            self.at.delete(f"listings/{last}")
+        self.counts = {t: self.counts[t] + n for t, n in found.items()}
+        return found
 
 
 def progress(done: int, total: int, width: int = 10) -> tuple[int, str]:
