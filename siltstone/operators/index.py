@@ -25,6 +25,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +46,19 @@ TRAIN_ROWS = 32768
 SEGMENTS = 8
 CHUNK_COLUMNS = ("id", "file_path", "chunk_index", "chunk_text", "start_line", "end_line", "embedding", "file_hash", "identifiers", "updated_at", "vector_pending")
 
-_POSTINGS = "bucket int, salt int, stem string, term string, id long, dl int, positions array<int>"
+_DOCS = "bucket int, id long, file_path string, chunk_index int, chunk_text string, start_line int, end_line int, embedding array<float>, file_hash string, identifiers string, updated_at timestamp, vector_pending boolean"
+_POSTINGS = "bucket int, stem string, term string, id long, dl int, positions array<int>"
 
 
 def bucket_of(value: Column | str) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
 
 
+def bucket_number(value: str) -> int:
+    """``bucket_of`` of one text, outside of a plan."""
+    return ((xxhash.xxh64_intdigest(value.encode(), 42) + 2**63) % 2**64 - 2**63) % BUCKETS
+
+
 def one_per_id(chunks: DataFrame, order: str = "updated_at") -> DataFrame:
     """One row of each id, the latest, of equally late ones the one with the greater path; null ids are left out."""
     rest = [c for c in chunks.columns if c != "id"]
@@ -185,7 +192,7 @@ class SearchIndex:
         return rows.join(self._read("dead", "of int, id long").select(F.col("of").alias("seg"), "id").distinct(), ["seg", "id"], "left_anti")
 
     def _docs(self) -> DataFrame:
-        return self._read("docs", "bucket int, id long, file_path string, chunk_index int, chunk_text string, start_line int, end_line int, embedding array<float>, file_hash string, identifiers string, updated_at timestamp, vector_pending boolean")
+        return self._read("docs", _DOCS)
 
     def read(self) -> DataFrame:
         """The chunks of the current version."""
@@ -231,10 +238,11 @@ class SearchIndex:
     def _write_segment(self, chunks: DataFrame, seg: int, cells: int) -> tuple[int, int]:
         """Write the tables of a segment with the cells of segment ``cells``; (chunks with a word, their words)."""
         docs, postings, vectors = (self.at.path(f"segments/{seg}/{t}") for t in ("docs", "postings", "vectors"))
-        have = [F.col(c) if c in chunks.columns else F.lit(None).alias(c) for c in CHUNK_COLUMNS]
+        types = dict(part.split(" ", 1) for part in _DOCS.split(", "))
+        have = [(F.col(c) if c in chunks.columns else F.lit(None)).cast(types[c]).alias(c) for c in CHUNK_COLUMNS]
         rows = one_per_id(chunks.select(*have)).withColumn("bucket", bucket_of("id"))
         rows.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(docs)
-        rows = self.spark.read.parquet(docs)
+        rows = self.spark.read.schema(_DOCS).parquet(docs)
         post = positions_of(rows).withColumn("bucket", bucket_of("stem")).withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
         post.repartition("bucket", "salt").sortWithinPartitions("bucket", "stem", "term", "id").drop("salt").write.mode("overwrite").partitionBy("bucket").parquet(postings)
         if cells == seg:
@@ -333,56 +341,53 @@ class SearchIndex:
     def prefix_bm25(self, query: str, k: int, path_prefix: str | None = None) -> DataFrame:
         """(seg, id, similarity, rank) for words that begin like the query's: all of up to six words, any of more. For queries that expand to nothing."""
         words = [w.lower() for w in re.split(r"[^\w]+", text.prefix_query(query).replace(" AND ", " ").replace(" OR ", " ")) if w]
-        rows = self._read("postings", _POSTINGS.replace("salt int, ", ""))
+        rows = self._read("postings", _POSTINGS)
         if not words:
             return rows.select("seg", "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
         groups = [F.col("term").startswith(w) | F.col("stem").startswith(w) for w in words]
         hits = self._live(rows.where(reduce(lambda a, b: a | b, groups)))
-        counted = hits.groupBy("seg", "id").agg(F.max("dl").alias("dl"), *(F.coalesce(F.sum(F.when(g, F.size("positions"))), F.lit(0)).cast("int").alias(f"tf{i}") for i, g in enumerate(groups)))
+        counted = hits.groupBy("seg", "id").agg(F.max("dl").alias("dl"), *(F.coalesce(F.sum(F.when(g, F.size("positions"))), F.lit(0)).cast("double").alias(f"tf{i}") for i, g in enumerate(groups)))
         if len(words) <= 6:
             counted = counted.where(reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(words)))))
         return self._scored(counted, len(words), k, path_prefix)
 
     def _phrases(self, phrases: list[list[str]], k: int, path_prefix: str | None, column: str) -> DataFrame:
         phrases = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
-        rows = self._read("postings", _POSTINGS.replace("salt int, ", ""))
+        rows = self._read("postings", _POSTINGS)
         if not phrases:
             return rows.select("seg", "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
         words = list(dict.fromkeys(w for p in phrases for w in p))
         stems = sorted({text.porter_stem(w) if column == "term" else w for w in words})
-        # the buckets of the query's stems, reckoned by the same expression that laid them out
-        buckets = sorted({r[0] for r in self.spark.createDataFrame([(s,) for s in stems], "s string").select(bucket_of("s")).collect()})
+        buckets = sorted({bucket_number(s) for s in stems})
         hits = rows.where(F.col("bucket").isin(buckets) & F.col("stem").isin(stems))
         hits = self._live(hits if column == "stem" else hits.where(F.col("term").isin(words)))
-        # places of each word in a chunk; a chunk's own words, so no list is longer than its text
-        of = {w: f"w{i}" for i, w in enumerate(words)}
-        places = hits.groupBy("seg", "id").agg(F.max("dl").alias("dl"), *(F.flatten(F.collect_list(F.when(F.col(column) == w, F.col("positions")))).alias(c) for w, c in of.items()))
-
-        def moved(places: str, by: int) -> Column:
-            return F.transform(places, lambda x: x - by)
-
-        def count(p: list[str]) -> Column:
+        # how often each word stands in a chunk and, of words of longer phrases, where: a chunk's own words, so no list is longer than its text
+        at = {w: i for i, w in enumerate(words)}
+        inner = {w for p in phrases if len(p) > 1 for w in p}
+        is_ = {w: f"{column} = '{w}'" for w in words}  # words hold letters and digits only
+        counts = [F.expr(f"coalesce(sum(CASE WHEN {is_[w]} THEN size(positions) END), 0) AS n{i}") for w, i in at.items()]
+        places = [F.expr(f"flatten(collect_list(CASE WHEN {is_[w]} THEN positions END)) AS w{at[w]}") for w in words if w in inner]
+        found = hits.groupBy("seg", "id").agg(F.max("dl").alias("dl"), *counts, *places)
+
+        def count(p: list[str]) -> str:
             if len(p) == 1:
-                return F.size(of[p[0]])
-            return F.size(reduce(F.array_intersect, (moved(of[w], i) for i, w in enumerate(p))))
+                return f"n{at[p[0]]}"
+            return "size(" + reduce(lambda a, b: f"array_intersect({a}, {b})", (f"transform(w{at[w]}, x -> x - {i})" for i, w in enumerate(p))) + ")"
 
-        counted = places.select("seg", "id", "dl", *(count(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
+        counted = found.select("seg", "id", "dl", *(F.expr(f"cast({count(p)} AS double) AS tf{i}") for i, p in enumerate(phrases)))
         return self._scored(counted, len(phrases), k, path_prefix)
 
     def _scored(self, counted: DataFrame, n: int, k: int, path_prefix: str | None) -> DataFrame:
         state = self.state()
         docs, mean = float(state["docs"]), state["words"] / max(1, state["docs"]) or 1.0
-        df = counted.agg(F.array(*(F.count(F.when(F.col(f"tf{i}") > 0, 1)) for i in range(n))).alias("df")).select("df").scalar()
-        rows = counted.where(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(n)))).withColumn("df", df)
-
-        def part(i: int) -> Column:
-            have, tf = F.get("df", F.lit(i)).cast("double"), F.col(f"tf{i}").cast("double")
-            idf = F.greatest(F.log((F.lit(docs) - have + 0.5) / (have + 0.5)), F.lit(LEAST_IDF))
-            return idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean)))
-
+        # dl is asked for here too, so that statistics and scores read one shuffle of the hits
+        df = counted.agg(F.expr("array(" + ", ".join(f"count_if(tf{i} > 0 AND dl IS NOT NULL)" for i in range(n)) + ") AS df")).select("df").scalar()
+        rows = counted.where(" OR ".join(f"tf{i} > 0" for i in range(n))).withColumn("df", df)
+        part = "greatest(ln(({docs!r}D - df[{i}] + 0.5D) / (df[{i}] + 0.5D)), {least!r}D) * tf{i} * {k1!r}D / (tf{i} + {K1!r}D * ({rest!r}D + {B!r}D * dl / {mean!r}D))"
+        total = " + ".join(part.format(i=i, docs=docs, mean=mean, least=LEAST_IDF, k1=K1 + 1, K1=K1, B=B, rest=1 - B) for i in range(n))
         if path_prefix is not None:
             rows = rows.join(self._docs().where(F.col("file_path").startswith(path_prefix)).select("seg", "id"), ["seg", "id"], "left_semi")
-        scored = rows.select("seg", "id", F.round(reduce(lambda a, b: a + b, map(part, range(n))), DECIMALS).alias("similarity"))
+        scored = rows.select("seg", "id", F.round(F.expr(total), DECIMALS).alias("similarity"))
         return self._best(scored, k)
 
 

@@ -67,7 +67,7 @@ class Folder:
             if self.exists(old):
                 raise OSError(f"{self.path(new)} is there already")
             return
-        if not self._fs.rename(self._at(old), self._at(new)):
+        if not (self.exists(old) and self._fs.rename(self._at(old), self._at(new))):
             raise OSError(f"can't move {self.path(old)} to {self.path(new)}")
 
     def delete(self, name: str) -> None:

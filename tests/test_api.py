@@ -39,12 +39,61 @@ def test_engine(spark, tree, tmp_path):
     assert {r["file_path"] for r in e.index_overview()[1].collect()} == {".hidden/c.ts", "src/a.ts", "src/n.ts"}
     e.collect_garbage(files.list_tracked(spark, ["src/a.ts"]))
     assert e.status()["index"]["files"] == 1
-    assert e.performance("metrics").count() == 1
+    assert e.performance("metrics").where("name = 'reindex_ms'").count() == 1 and e.performance("report")["cache"]["hits"] == 1
     e.settings["embedding"]["enabled"] = False
     assert e.search("alpha")[0] == "bm25-only"
     assert e.terminate() is False
 
 
+def test_lists_act_on_indexing(spark, tree, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/index", {"embedding": {"dimensions": 8}})
+    e.blacklist("add", "/src/")
+    assert e.reindex(f"file://{tree}", confirm=True)["files"] == 1
+    e.whitelist("add", "a.ts")
+    assert e.reindex(str(tree), confirm=True)["files"] == 2
+    again = Engine(spark, f"file://{tmp_path}/index", {"embedding": {"dimensions": 8}})
+    assert "/src/" in again.blacklist()
+    new = spark.createDataFrame([("src/z.ts", "let z = 1"), ("lib/z.ts", "let z = 1"), ("lib/big.ts", "x" * 600_000), ("lib/none.ts", None)], "path string, text string")
+    v = again.apply_changes(new)
+    assert {r["file_path"] for r in again.store.read().collect()} == {".hidden/c.ts", "src/a.ts", "lib/z.ts"}
+    assert again.apply_changes(new) == v  # stored as it is
+    assert again.apply_batch(spark.createDataFrame([("unlink", "lib/z.ts"), ("add", "lib/y.ts"), ("change", "gone.ts")], "event_type string, path string"), lambda p: p.where("path = 'lib/y.ts'").selectExpr("path", "'let y = 2' AS text")) > v
+    assert {r["file_path"] for r in again.store.read().collect()} == {".hidden/c.ts", "src/a.ts", "lib/y.ts"}
+    e.state.set(sync_status="in_progress", sync_started_at=0)  # its driver was lost
+    assert again.reindex(str(tree), confirm=True)["success"]
+    e.state.set(sync_status="in_progress", sync_started_at=9e12)
+    assert not again.reindex(str(tree), confirm=True)["success"]
+
+
+def test_pending_vectors_are_tried_again(spark, tree, tmp_path):
+    flag = tmp_path / "up"
+
+    def make():
+        def model(texts):
+            if not flag.exists():
+                raise RuntimeError("down")
+            return [[1.0, float(len(t))] for t in texts]
+
+        return model
+
+    e = Engine(spark, str(tmp_path / "index"), {"embedding": {"dimensions": 2}}, embed_query=lambda q: [1.0, 0.0], model=make)
+    e.reindex(str(tree), confirm=True)
+    n = e.store.read().count()
+    assert e.retry_pending() == n and len(e.failed) == 3
+    flag.write_text("")
+    assert e.retry_pending() == 0 and e.failed == [] and e.store.read().count() == n
+    assert e.similar([1.0, 5.0], 2).count() == 2
+
+
+def test_git_listing(spark, tree):
+    import subprocess
+
+    assert files.git_tracked(spark, str(tree)).count() == 0 and files.git_blob(str(tree), "src/a.ts") is None
+    for args in (["init", "-q"], ["add", "src"], ["-c", "user.email=a@b", "-c", "user.name=n", "commit", "-qm", "x"]):
+        subprocess.run(["git", "-C", str(tree), *args], check=True)
+    assert {r[0] for r in files.git_tracked(spark, str(tree)).collect()} == {"src/a.ts", "src/b.py"} and files.git_blob(str(tree), "src/b.py").startswith("def gamma")
+
+
 def test_lists_and_settings(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "i"))
     n = len(e.blacklist())
@@ -58,7 +107,7 @@ def test_lists_and_settings(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(ValueError):
         files.load_settings(str(tmp_path / "bad.json"))
-    st = files.StateFile(str(tmp_path / "st.json"))
+    st = files.StateFile(spark, str(tmp_path / "st.json"))
     st.set(a=1, b=2)
     st.clear("a")
     assert st.get("a") is None and st.get("b") == 2

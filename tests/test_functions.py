@@ -134,3 +134,52 @@ def test_tables_have_no_doubles():
 def test_placeholder_is_unit(s):
     v = embed.placeholder_vector(s, 8)
     assert sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
+
+
+def reference_vector(text, dim):
+    """The formula written out: a Lehmer sequence from the hash of the UTF-16 units, 1 only in place of 0."""
+    import struct
+
+    h = 5381
+    for (u,) in struct.iter_unpack(">H", text.encode("utf-16-be")):
+        h = ((h * 33) ^ u) & 0xFFFFFFFF
+    rng, out = h % 2147483647, []
+    if rng == 0:
+        rng = 1
+    for _ in range(dim):
+        rng = rng * 16807 % 2147483647
+        out.append(struct.unpack("f", struct.pack("f", rng / 2147483647 * 2 - 1))[0])
+    size = sum(x * x for x in out) ** 0.5
+    return [x / size for x in out]
+
+
+def test_placeholder_vectors_are_the_formulas(spark):
+    from siltstone.functions import scalar
+    from siltstone.operators import embed
+
+    texts = ["hello world", "test string", "abc", "", "a\U0001f600b", "é中"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [(r["v"], r["h"]) for r in df.select(scalar.placeholder_embedding(F.col("t"), 5).alias("v"), scalar.djb2a(F.col("t")).alias("h")).collect()]
+    for t, (v, _) in zip(texts, got):
+        want = reference_vector(t, 5)
+        assert max(abs(a - b) for a, b in zip(v, want)) < 1e-6 and max(abs(a - b) for a, b in zip(embed.placeholder_vector(t, 5), want)) < 1e-6
+    assert got[0][1] == 4173747013 and got[0][1] % 2147483647 % 2 == 0  # an even seed stays even
+    raw = [4173747013 % 2147483647 * pow(16807, i, 2147483647) % 2147483647 / 2147483647 * 2 - 1 for i in (1, 2)]
+    assert abs(got[0][0][0] / got[0][0][1] - raw[0] / raw[1]) < 1e-5
+
+
+def test_options_hash():
+    from siltstone.functions.scalar import options_hash
+
+    h = 0
+    for c in "a1btrue":
+        h = (h * 33 & 0xFFFFFFFF) ^ ord(c)
+    assert options_hash({"b": True, "a": 1}) == options_hash({"a": 1, "b": True}) == h != options_hash({"a": 2, "b": True})
+
+
+def test_expanding_columns_is_expanding_queries(spark):
+    from siltstone.functions import text
+
+    words = ["getUserById", "auth", "x", "HTTPServer", "load_index", "of_the"]
+    got = {r["w"]: set(r["e"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text.expand_columns(F.col("w")).alias("e")).collect()}
+    assert got == {w: set(text.expand_query(w)) for w in words}

@@ -55,14 +55,61 @@ def test_runner_survives_failures(spark, tmp_path):
     assert run.output().count() == 4
 
 
+def listing(spark, *rows):
+    return spark.createDataFrame(list(rows), "path string, size long, checksum string")
+
+
 def test_runner_between_output_and_commit(spark, tmp_path):
     run = incremental.IncrementalRunner(spark, str(tmp_path / "m"))
-    listing = spark.createDataFrame([("p", 1, "x")], "path string, size long, checksum string")
-    listing.write.parquet(f"{run.root}/staged")
-    run._write_note("b1")
-    listing.union(listing).write.parquet(f"{run.root}/out/batch=b1")  # output of a try that broke off before the commit
-    assert run.run(listing, lambda df: df) == "b1"
+    one = listing(spark, ("p", 1, "x"))
+    run._stage(one, "b1", 1)
+    one.union(one).write.parquet(f"{run.root}/out/batch=b1")  # output of a try that broke off before the commit
+    assert run.run(one, lambda df: df) == "b1"
     assert run.output().count() == 1
+    run.at.write("note.json", '{"batch": "b1", "staged": "staged/none", "number": 1}')  # committed, but the note stayed
+    assert run.run(one, lambda df: df) is None and run.output().count() == 1
+
+
+def test_runner_takes_content_that_comes_back(spark, tmp_path):
+    run = incremental.IncrementalRunner(spark, str(tmp_path / "m"))
+    for k, c in enumerate("ABA"):
+        assert run.run(listing(spark, ("p", 1, c), ("q", 1, "same")), lambda df: df), k
+        assert run.run(listing(spark, ("p", 1, c), ("q", 1, "same")), lambda df: df) is None
+    assert run.output().where("path = 'p'").count() == 3 and run.output().where("path = 'q'").count() == 1
+    assert run.run(listing(spark, (None, 1, "x")), lambda df: df) is None
+
+
+def test_runner_loses_no_input_that_is_missing_in_the_retry(spark, tmp_path):
+    run = incremental.IncrementalRunner(spark, str(tmp_path / "m"))
+    both = listing(spark, ("a", 1, "x"), ("b", 1, "y"))
+
+    def fails(df):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        run.run(both, fails)
+    assert run.run(listing(spark, ("a", 1, "x")), lambda df: df)
+    assert rows(run.output(), "path") == [("a",)] and rows(run.pending(both), "path") == [("b",)]
+    assert run.run(both, lambda df: df) and rows(run.output(), "path") == [("a",), ("b",)]
+    with pytest.raises(RuntimeError):
+        run.run(listing(spark, ("c", 1, "x")), fails)
+    assert run.run(listing(spark), lambda df: df) is None and not run.at.exists("note.json")
+
+
+def test_moves_that_fail_raise(spark, tmp_path):
+    from siltstone.sources.shared import Folder
+
+    f = Folder(spark, str(tmp_path))
+    f.write("a", "1")
+    f.write("a", "2")
+    assert f.read("a") == "2" and f.read("none") is None
+    f.move("a", "b")
+    f.move("a", "b")  # done already
+    f.write("a", "3")
+    with pytest.raises(OSError):
+        f.move("a", "b")
+    with pytest.raises(OSError):
+        f.move("zzz", "c")
 
 
 def test_upsert_and_delete(spark):
@@ -80,16 +127,14 @@ def test_plan_sync(spark):
     assert rows(maintenance.plan_sync(e, now, stored), "file_path", "action") == [("a", "unchanged"), ("b", "delete"), ("c", "upsert"), ("d", "too_big")]
 
 
-def test_snapshots(spark, tmp_path):
-    s = maintenance.SnapshotStore(spark, str(tmp_path / "t"))
-    with pytest.raises(FileNotFoundError):
-        s.read()
-    s.write(spark.range(3).toDF("id"))
-    s.write(s.read().where("id > 0"))
-    assert s.read().count() == 2 and s.read(1).count() == 3
-    s.clear()
-    s.vacuum(1)
-    assert s.version() == 3 and s.read().count() == 0
+def test_plan_takes_the_newest_version_and_the_committed_hash(spark):
+    """An edit that makes a file shorter, a failed and an undone entry with the new hash."""
+    c = spark.createDataFrame([("a", "old", "2026-01-01", 1, "x" * 5000), ("a", "NEW", "2026-01-02", 2, "é"), ("a", "NEW", "2026-01-02", 2, "é"), ("b", "h", None, 3, None)], "file_path string, file_hash string, updated_at string, id long, chunk_text string").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    assert rows(incremental.current_files(c), "file_path", "file_hash", "size") == [("a", "new", 2), ("b", "h", 0)]
+    state = spark.createDataFrame([("run:3", '{"status": "rolled_back"}'), ("file:a", '{"hash":"old","run":1,"state":"done"}'), ("file:a", '{"hash":"new","run":2,"state":"failed"}'), ("file:a", '{"hash":"new","run":3,"state":"done"}'), ("file:b", '{"hash":"h","run":1,"state":"done"}')], "key string, value string")
+    e = spark.createDataFrame([("a", "change", "2026-01-03"), ("b", "change", "2026-01-03")], "path string, event_type string, ts string")
+    assert rows(maintenance.plan_sync(e, incremental.current_files(c), incremental.committed_manifest(state)), "file_path", "action") == [("a", "upsert"), ("b", "unchanged")]
+    assert incremental.current_files(c.limit(0)).count() == 0
 
 
 def test_empty_tables(spark):
@@ -116,7 +161,7 @@ def test_upsert_of_versions_takes_the_whole_table(spark, data):
     from siltstone.plans import catalogue
 
     table = spark.read.parquet(f"{data}/chunks.parquet")
-    out = catalogue.queries()["upsert_versions"](spark, data)
+    out = catalogue.queries()["upsert_chunks"](spark, data)
     paths = lambda df: {r[0] for r in df.select("file_path").distinct().collect()}
     assert paths(out) == paths(table) and {r[0] for r in out.select("origin").distinct().collect()} == {"old", "new"}
     assert 0 < out.count() < table.count()

@@ -65,4 +65,18 @@ def test_stream_bursts_and_flush(spark, tmp_path):
     grouped = ev.read_events(spark, folder).withColumn("group", F.lit(0).cast("long"))
     f = ev.flush_by_count(grouped, at=2).writeStream.format("memory").queryName("flushes").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     f.awaitTermination(90)
-    assert spark.table("flushes").where("events = 2").count() >= 1
+    got = [tuple(r) for r in spark.table("flushes").orderBy("batch").collect()]
+    assert [r[2:] for r in got if r[1] == 0] == [("add", "a.ts"), ("change", "a.ts")] and all(r[0] == 0 for r in got)
+
+
+def test_watcher_tells_what_happened(spark, tmp_path):
+    state = [[("a", 1, "2026-01-01"), ("b", 1, "2026-01-01"), (None, 1, None)], [("a", 2, "2026-01-02"), ("c", 1, None)], [("a", 2, "2026-01-02"), ("c", 1, None)]]
+    w = ev.Watcher(spark, str(tmp_path / "w"), lambda: spark.createDataFrame(state[0], "path string, size long, modified_at string").withColumn("modified_at", F.col("modified_at").cast("timestamp")))
+    assert w.poll() == {"add": 0, "change": 0, "unlink": 0}
+    state.pop(0)
+    assert w.poll() == {"add": 1, "change": 1, "unlink": 1}
+    state.pop(0)
+    assert w.poll() == {"add": 0, "change": 0, "unlink": 0} and w.counts["unlink"] == 1
+    seen = []
+    ev.apply_batches(ev.read_events(spark, w.events), lambda df, i: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp")).awaitTermination(90)
+    assert seen == [("add", "c"), ("change", "a"), ("unlink", "b")]
