@@ -54,13 +54,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder, so that what reads it twice computes it once; as it is if there is no such folder."""
-    try:
-        ensure_checkpoint_dir(df.sparkSession)
-    except RuntimeError:
-        return df
-    return df.checkpoint(eager=True)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, by the hash of ``key`` in as many parts as there are cores if it is read in fewer: for work on rows that costs far more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, deleted when the application ends; read it as often as needed.
+
+    Smaller than a checkpoint, and filters and columns reach its scan.
+    """
+    import uuid
+
+    from siltstone.sources.shared import Folder
+
+    folder = Folder(df.sparkSession, f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    folder.delete_at_exit()
+    df.write.parquet(folder.path())
+    return df.sparkSession.read.schema(df.schema).parquet(folder.path())
 
 
 def bounded_rows(df: DataFrame, bound: int) -> list | None:

@@ -70,5 +70,9 @@ class Folder:
         if not (self.exists(old) and self._fs.rename(self._at(old), self._at(new))):
             raise OSError(f"can't move {self.path(old)} to {self.path(new)}")
 
+    def delete_at_exit(self) -> None:
+        """Delete the folder when the application ends."""
+        self._fs.deleteOnExit(self._at(""))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
