@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 #: Part of an item that has to be there.
 PART = 0.4
 #: Items handled in one pass over the corpus.
@@ -449,7 +451,7 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all evaluation items."""
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+    return find_leaks(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
 
 
 SQL: dict[str, str] = {}

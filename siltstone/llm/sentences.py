@@ -1,11 +1,14 @@
 """Problem 9: sentence boundaries across languages and scripts.
 
 A text falls into blocks: paragraphs, headings, list items; fenced code is left out. Within
-a block each mark that may end a sentence is a candidate, and semi-Markov dynamic programming
-chooses the spans between candidates with the best total score. The score of a span is taken
-from the whole span: its closing word (abbreviations, initials, ellipses), the word that opens
-the next, whether quotations and brackets are balanced in it, and its length. In Thai blanks
-and line breaks separate sentences.
+a block every mark that may end a sentence is a candidate, and semi-Markov dynamic programming
+chooses the spans between candidates with the best total score. A span's score adds up how its
+last word closes (marks, abbreviations, initials, ellipses), how its first word opens (words
+that open sentences, small letters, what goes on), whether it begins or ends inside a quotation
+or bracket, whether it holds a word at all, and its length. The programme is exact for blocks of
+any length: a span's score depends on its length only up to MIDDLE characters, so near
+predecessors are tried one by one and of all farther ones the running best is kept. In Thai
+blanks and line breaks separate sentences.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 # Abbreviations by what follows them, in lower case, without the last full stop.
 # They end no sentence, whatever follows.
 NEVER = frozenset("e.g i.e cf incl viz resp z.b d.h u.u bzw vgl sog inkl zzgl einschl p.ej p.ex par.ex ex c-à-d напр т.е см ср vs al".split())
@@ -64,9 +69,12 @@ _OPEN_CLOSE = {"«": "»", "‹": "›", "「": "」", "『": "』", "（": "）
 _CLOSE_OPEN = {v: k for k, v in _OPEN_CLOSE.items()}
 _SPACE = regex.compile(r"[\s​‌‍⁠﻿]+")
 
-#: Spans that the dynamic programme looks back over, in candidates. Blocks between two certain ends never hold so many.
-LOOK_BACK = 64
-
+#: What speaks against an end so strongly that nothing makes up for it.
+NEVER_SCORE = -40.0
+#: Length in characters up to which a span is as good as any; from there on each further one costs LONG.
+SHORT, MIDDLE, LONG = 4, 400, 2e-5
+#: A span that begins or ends inside a quotation or bracket, or holds no word.
+UNBALANCED, WORDLESS, TINY = -8.0, -8.0, -0.3
 
 def _rstrip(text: str, start: int, end: int) -> int:
     while end > start and (text[end - 1].isspace() or text[end - 1] in "​‌‍⁠﻿"):
@@ -110,11 +118,14 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out if text[s:e].strip()]
 
 
-def _depths(t: str) -> list[int]:
-    """Open quotations and brackets before each character; those never closed don't count."""
-    change = [0] * (len(t) + 2)
+_PAIRS = regex.compile(r"[\"“”„‘’'«»‹›「」『』（）()\[\]【】《》{}]")
+
+
+def _depths(t: str, places: list[int]) -> list[int]:
+    """Open quotations and brackets before each of ``places`` (ascending); those never closed don't count."""
+    change: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    for m in regex.finditer(r"[\"“”„‘’'«»‹›「」『』（）()\[\]【】《》{}]", t):
+    for m in _PAIRS.finditer(t):
         ch, i = m.group(), m.start()
         want = None
         if ch == '"':
@@ -149,30 +160,40 @@ def _depths(t: str) -> list[int]:
             if ch == '"':
                 stack.append(('"', i))
             continue
-        opened = stack[at][1]
+        change += [(stack[at][1] + 1, 1), (i + 1, -1)]
         del stack[at:]  # what was opened inside and not closed is dropped
-        change[opened + 1] += 1
-        change[i + 1] -= 1
-    depth, out = 0, []
-    for c in change[: len(t) + 1]:
-        depth += c
+    if not change:
+        return [0] * len(places)
+    change.sort()
+    out, depth, k = [], 0, 0
+    for p in places:
+        while k < len(change) and change[k][0] <= p:
+            depth += change[k][1]
+            k += 1
         out.append(depth)
     return out
 
 
+_HEAD = regex.compile(r"(\p{L}{1,3})\.\s?$")
+_PART = regex.compile(r"(\p{L}{1,3})\.")
+_LETTERS = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_REQUOTED = regex.compile(r"\s*\n(?:\s*>)+\s*")
+_SOLID = regex.compile(r"[^\s​﻿]+")
+
+
 def _closing_word(t: str, end: int) -> str:
     """The word before a full stop, in lower case, with its inner stops and the part before a blank of 'z. B'."""
     m = _LAST.search(t[max(0, end - 24) : end])
     word = m.group().lower().strip("-$") if m else ""
     if len(word) <= 2:
-        head = regex.search(r"(\p{L}{1,3})\.\s?$", t[max(0, end - 30) : end - len(word)])
+        head = _HEAD.search(t[max(0, end - 30) : end - len(word)])
         if head and (both := f"{head.group(1).lower()}.{word}") in _DOUBLE:
             word = both
     return word
 
 
-def _end_score(t: str, m, nxt: int) -> float:
-    """How well a sentence may end with the match ``m``, the next one beginning at ``nxt``."""
+def _border_score(t: str, m, nxt: int) -> float:
+    """How well the match ``m`` closes a span, and what follows at ``nxt`` opens the next: abbreviations close by what opens behind them."""
     mark, close = m.group("mark"), m.group("close")
     opening = _FIRST.match(t, nxt)
     word = opening.group() if opening else ""
@@ -182,19 +203,19 @@ def _end_score(t: str, m, nxt: int) -> float:
     face = bool(m.group("face").strip())
     core = mark.strip()
     if ch in ",;:、，；：—–-)]}»”」』":
-        return -9.0
+        return NEVER_SCORE
     score = 2.0
     if close.strip():
         if small:
-            return -9.0
+            return NEVER_SCORE
         quote = any(c in "」』”’\"" for c in close)
         if not spaced and quote and _CJK.match(ch):
-            return -9.0  # the running sentence goes on behind the quotation
+            return NEVER_SCORE  # the running sentence goes on behind the quotation
         score += 0.5
     if core and all(c in "….‥" for c in core) and not set(core) <= {"."}:
-        return -9.0 if small or _CJK.match(ch) else 1.0 + face
+        return NEVER_SCORE if small or _CJK.match(ch) else 1.0 + face
     if core.startswith("..") or core.endswith(".."):
-        return -9.0 if small and not face else 1.5
+        return NEVER_SCORE if small and not face else 1.5
     if core[-1:] in _FULL or any(c in "!?！？؟‽⁇⁈⁉۔" for c in core):
         if small and not face:
             score -= 1.5
@@ -202,24 +223,24 @@ def _end_score(t: str, m, nxt: int) -> float:
     # full stops
     last = _closing_word(t, m.start("mark"))
     tail = last.rsplit(".", 1)[-1]
-    part = regex.match(r"(\p{L}{1,3})\.", t[nxt : nxt + 4])
+    part = _PART.match(t, nxt, min(len(t), nxt + 4))
     if part and f"{tail}.{part.group(1).lower()}" in _DOUBLE:
-        return -9.0
+        return NEVER_SCORE
     for w in (last, tail):
         if w in NEVER:
-            return -9.0
+            return NEVER_SCORE
     if last in MAYBE or (tail in MAYBE and last.count(".") == 1 and len(tail) > 2):
-        return -9.0 if small or ch.isdigit() else 1.5 if word.lower() in OPENERS or not ch.isupper() else 0.7
+        return NEVER_SCORE if small or ch.isdigit() else 1.5 if word.lower() in OPENERS or not ch.isupper() else 0.7
     if last in TITLES and (ch.isupper() or ch.islower()):
-        return -9.0
+        return NEVER_SCORE
     if last in REFERENCES and (ch.isdigit() or small or last in ("abb", "bd", "ca", "approx", "env")):
-        return -9.0
+        return NEVER_SCORE
     if len(last) == 1 and last.isalpha():
-        return -9.0 if t[m.start("mark") - 1].isupper() or small or ch.isdigit() else 0.5  # an initial
-    if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", last):
-        return -9.0 if small or ch.isdigit() else 0.7
+        return NEVER_SCORE if t[m.start("mark") - 1].isupper() or small or ch.isdigit() else 0.5  # an initial
+    if _LETTERS.fullmatch(last):
+        return NEVER_SCORE if small or ch.isdigit() else 0.7
     if small and last.isdigit() and not face:
-        return -9.0  # an ordinal
+        return NEVER_SCORE  # an ordinal
     if small and not face:
         score -= 0.8
     elif word.lower() in OPENERS:
@@ -227,28 +248,34 @@ def _end_score(t: str, m, nxt: int) -> float:
     return score
 
 
-def _length_score(n: int) -> float:
-    """Spans of a few characters and very long ones are less likely."""
-    return -0.3 if n < 4 else -0.002 * max(0, n - 400) / 100
-
-
-def sentence_ends(text: str | None) -> list[int]:
-    """Ends of the sentences of ``text``, in code points, ascending. None and blank texts have none."""
+def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of ``text``, in code points, ascending, without markers of headings and items. None and blank texts have none."""
     if not text or text.isspace():
         return []
-    ends: list[int] = []
+    out: list[tuple[int, int]] = []
     for a, b in blocks(text):
         t = text[a:b]
-        if len(_THAI.findall(t)) * 2 > len(_LETTER.findall(t)):
-            ends += [a + e for e in _thai_ends(t)]
-        else:
-            ends += [a + e for e in _block_ends(t)]
-    return ends
+        thai = _THAI.search(t) and len(_THAI.findall(t)) * 2 > len(_LETTER.findall(t))
+        before = 0
+        for e in _thai_ends(t) if thai else _block_ends(t):
+            s = _LEADING.match(t, before).end()
+            out.append((a + min(s, e), a + e))
+            before = e
+    return out
+
+
+#: What may stand between two sentences of a block.
+_LEADING = regex.compile(r"(?:[\s​‌‍⁠﻿]+|\n(?:[ \t]*>)+)*")
+
+
+def sentence_ends(text: str | None) -> list[int]:
+    """Ends of the sentences of ``text``, in code points, ascending."""
+    return [e for _, e in sentence_spans(text)]
 
 
 def _thai_ends(t: str) -> list[int]:
     out: list[int] = []
-    for m in regex.finditer(r"[^\s​﻿]+", t):
+    for m in _SOLID.finditer(t):
         if out and not _LETTER.search(m.group()):
             out[-1] = m.end()  # faces, marks and numbers belong to what stands before them
         elif _WORDLIKE.search(m.group()):
@@ -258,9 +285,10 @@ def _thai_ends(t: str) -> list[int]:
 
 def _block_ends(t: str) -> list[int]:
     last = _rstrip(t, 0, len(t))
-    if not _WORDLIKE.search(t, 0, last):
+    word = _WORDLIKE.search(t, 0, last)
+    if not word:
         return []
-    cands: list[tuple[int, float]] = []
+    borders: dict[int, float] = {}
     for m in _END.finditer(t, 0, last):
         end = m.end()
         if end >= last:
@@ -268,48 +296,64 @@ def _block_ends(t: str) -> list[int]:
         nxt = end
         s = _SPACE.match(t, nxt)
         if s:
-            q = regex.match(r"\s*\n(?:\s*>)+\s*", t[nxt:last])
-            nxt = nxt + q.end() if q else s.end()
+            q = _REQUOTED.match(t, nxt, last)
+            nxt = q.end() if q else s.end()
         if nxt >= last:
             continue
         core = m.group("mark").strip()
-        if not core or not _WORDLIKE.search(t, 0, m.start()):
+        if not core or word.start() >= m.start():
             continue
         # a mark between letters or digits ends nothing, save a full-width one
         if nxt == end and core[-1] not in _FULL and not (core[-1] in "…؟" or _CJK.match(t[nxt])):
             continue
         if nxt == end and core[-1] == "." and not m.group("face"):
             continue
-        score = _end_score(t, m, nxt)
-        if score > -9:
-            cands.append((end, score))
+        borders[end] = _border_score(t, m, nxt)
     for m in _FACE_END.finditer(t, 0, last):
-        if m.end() < last and not t[m.end() :].lstrip()[:1].islower():
-            cands.append((m.end(), 0.5))
-    if not cands:
+        follow = _SPACE.match(t, m.end())
+        if m.end() < last and not t[follow.end() if follow else m.end() :][:1].islower():
+            borders.setdefault(m.end(), 0.5)
+    if not borders:
         return [last]
-    depth = _depths(t)
-    cands = sorted(dict(cands).items())
-    cands.append((last, 0.0))
-    best, back = [0.0] + [0.0] * len(cands), [0] * (len(cands) + 1)
-    starts = [0] + [c[0] for c in cands]
-    for j in range(1, len(cands) + 1):
-        end, own = cands[j - 1]
-        top = None
-        for i in range(max(0, j - LOOK_BACK), j):
-            s = starts[i]
-            score = best[i] + own + _length_score(end - s)
-            # a mark of a closing quotation lies before its end: the depth behind it counts
-            if depth[s] != depth[end]:
-                score -= 8.0
-            if not _WORDLIKE.search(t, s, end):
-                score -= 8.0
-            if top is None or score > top:
+    ends = sorted(borders)
+    return best_spans(t, [0, *ends, last], [0.0, *(borders[e] for e in ends), 0.0])
+
+
+def best_spans(t: str, places: list[int], border: list[float]) -> list[int]:
+    """The ends of the spans of best total score that cover ``t`` from the first of ``places`` to the last.
+
+    Exact: of predecessors farther away than MIDDLE only best + LONG * place matters, whose running
+    maximum is kept; nearer ones are tried one by one, and there are no more of them than MIDDLE.
+    """
+    n = len(places)
+    depth = _depths(t, places)
+    inside = [UNBALANCED if d else 0.0 for d in depth]
+    # where the first word behind each place begins
+    first, at = [0] * n, len(t)
+    for k in range(n - 1, -1, -1):
+        m = _WORDLIKE.search(t, places[k], places[k + 1] if k + 1 < n else len(t))
+        at = m.start() if m else at
+        first[k] = at
+    best, back = [0.0] * n, [0] * n
+    far, far_at, k = float("-inf"), 0, 0  # best + LONG * place of the predecessors farther away than MIDDLE
+    for j in range(1, n):
+        end, top, own = places[j], float("-inf"), border[j] + inside[j]
+        while places[k] < end - MIDDLE:
+            value = best[k] + inside[k] + LONG * places[k]
+            # a far predecessor has a word before this end unless all of its span is marks
+            if value >= far and first[k] < end:
+                far, far_at = value, k
+            k += 1
+        if far > float("-inf"):
+            top, back[j] = far - LONG * (end - MIDDLE), far_at
+        for i in range(k, j):
+            score = best[i] + inside[i] + (TINY if end - places[i] < SHORT else 0.0) + (WORDLESS if first[i] >= end else 0.0)
+            if score >= top:
                 top, back[j] = score, i
-        best[j] = top
-    out, j = [], len(cands)
+        best[j] = top + own
+    out, j = [], n - 1
     while j:
-        out.append(starts[j])
+        out.append(places[j])
         j = back[j]
     return out[::-1]
 
@@ -319,13 +363,7 @@ _SCHEMA = "doc_id long, sentence_index int, start_char int, end_char int, senten
 
 def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            before = 0
-            for k, end in enumerate(sentence_ends(text)):
-                start = before + len(text[before:end]) - len(text[before:end].lstrip())
-                rows.append((doc, k, start, end, text[start:end]))
-                before = end
+        rows = [(doc, k, a, b, text[a:b]) for doc, text in zip(pdf["doc_id"], pdf["text"]) for k, (a, b) in enumerate(sentence_spans(text))]
         yield pd.DataFrame(rows, columns=["doc_id", "sentence_index", "start_char", "end_char", "sentence"])
 
 
@@ -333,15 +371,16 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     """One row per sentence: doc_id, sentence_index, start_char, end_char, sentence.
 
     ``documents`` needs doc_id and text. Null and blank texts give no row. Each row is handled
-    by itself: no shuffle, and a text of any length is one record of one task. ``start_char``
-    is behind the sentence before, so markers of headings and items stand in the text given.
+    by itself: no shuffle, and a text of any length is one record of one task. Markers of headings
+    and items, and fenced code, are in no sentence.
     """
     return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(_sentences, _SCHEMA)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of all sentences of all documents."""
-    return split_sentences(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "end_char")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return split_sentences(spread(documents, "doc_id")).select("doc_id", "end_char")
 
 
 SQL: dict[str, str] = {}

@@ -73,3 +73,56 @@ def test_table(spark):
     got = sorted((str(r["doc_id"]), r["start_char"], r["end_char"], r["sentence"]) for r in sn.split_sentences(df).collect())
     assert got == [("1", 0, 4, "One."), ("1", 0, 4, "One."), ("1", 5, 9, "Two."), ("1", 5, 9, "Two."), ("None", 0, 8, "Null id.")]
     assert sn.split_sentences(df.limit(0)).count() == 0
+
+
+def brute(t, places, border):
+    """All ways to cut, scored as the programme does."""
+    import itertools
+
+    depth = sn._depths(t, places)
+    best = None
+    for n in range(len(places) - 1):
+        for inner in itertools.combinations(range(1, len(places) - 1), n):
+            cut = [0, *inner, len(places) - 1]
+            score = sum(border[j] + (sn.UNBALANCED if depth[j] else 0) + (sn.UNBALANCED if depth[i] else 0) for i, j in zip(cut, cut[1:]))
+            for i, j in zip(cut, cut[1:]):
+                size = places[j] - places[i]
+                score += (sn.TINY if size < sn.SHORT else 0) - sn.LONG * max(0, size - sn.MIDDLE) + (0 if sn._WORDLIKE.search(t, places[i], places[j]) else sn.WORDLESS)
+            if best is None or score > best[0] + 1e-9:
+                best = score, [places[j] for j in cut[1:]]
+    return best
+
+
+def test_programme_is_exact():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        t = "".join(rng.choice(["ab ", "x. ", "(", ")", "! ", "word " * rng.choice([1, 60])]) for _ in range(14)) + "end"
+        places = sorted({0, len(t), *(rng.randrange(1, len(t)) for _ in range(7))})
+        border = [0.0] + [rng.choice([-3.0, -0.5, 0.7, 2.0, sn.NEVER_SCORE]) for _ in places[2:]] + [0.0]
+        want = brute(t, places, border)
+        got = sn.best_spans(t, places, border)
+        cut = [0, *(places.index(e) for e in got)]
+        depth = sn._depths(t, places)
+        score = sum(border[j] + (sn.UNBALANCED if depth[j] else 0) + (sn.UNBALANCED if depth[i] else 0) for i, j in zip(cut, cut[1:]))
+        for i, j in zip(cut, cut[1:]):
+            size = places[j] - places[i]
+            score += (sn.TINY if size < sn.SHORT else 0) - sn.LONG * max(0, size - sn.MIDDLE) + (0 if sn._WORDLIKE.search(t, places[i], places[j]) else sn.WORDLESS)
+        assert abs(score - want[0]) < 1e-6
+
+
+@pytest.mark.parametrize("n", [3, 12, 100, 3000])
+def test_quotations_of_any_length_stay_whole(n):
+    t = 'He said "' + "This is it. " * n + 'Then we go." Nobody moved.'
+    assert sn.sentence_ends(t) == [len(t) - len(" Nobody moved."), len(t)]
+
+
+def test_long_paragraphs():
+    t = "Every line ends here. " * 20_000
+    assert len(sn.sentence_ends(t)) == 20_000
+
+
+def test_spans_have_no_markers_and_no_code():
+    t = "# A heading\n\n- First item. It goes on.\n- Second\n\n```\ncode. Not here.\n```\n\n> Quoted one. And\n> two lines."
+    assert [t[a:b] for a, b in sn.sentence_spans(t)] == ["A heading", "First item.", "It goes on.", "Second", "Quoted one.", "And\n> two lines."]
