@@ -13,7 +13,7 @@ def queries() -> dict:
         "p5_found": origin.p5_found,
         "p6_found": neighbours.p6_found, "p6_neighbours": neighbours.p6_neighbours,
         "p7_found": leakage.p7_found, "p9_found": sentences.p9_found,
-        "p8_mixture": mixture.p8_mixture, "p8_shares": mixture.p8_shares,
+        "p8_mixture": mixture.p8_mixture, "p8_shares": mixture.p8_shares, "p8_filled": mixture.p8_filled, "p8_filled_shares": mixture.p8_filled_shares,
     }
 
 

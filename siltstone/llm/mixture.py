@@ -25,8 +25,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER_FOLDER = "/opt/tokenizers"
 #: Pattern that byte-level vocabularies of this kind are split with (a fixed value of theirs).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Size of a block in tokens.
+#: Size of a block in tokens, unless the mixture is so small that its smallest source would have fewer than LEAST_BLOCKS of them.
 BLOCK_TOKENS = 512
+LEAST_BLOCKS = 32
 #: Rows or slots that are ranked together, about.
 BUCKET = 4096
 GOLDEN = 0.6180339887498949
@@ -48,17 +49,13 @@ def encoder(path: str):
 
 
 def with_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens): source trimmed and in lower case, size in tokens; a null text has none.
-
-    Runs of more than a few thousand characters without a break are counted in parts of that
-    length, since byte-pair merging takes time quadratic in them.
-    """
+    """(doc_id, source, tokens): source trimmed and in lower case, size of the whole text in tokens; a null text has none."""
     path = vocabulary or os.path.join(TOKENIZER_FOLDER, VOCABULARY)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
-            tokens = [0 if t is None else sum(len(enc.encode_ordinary(t[i : i + 100_000])) for i in range(0, len(t), 100_000)) for t in pdf["text"]]
+            tokens = [0 if t is None else len(enc.encode_ordinary(t)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": tokens})
 
     return documents.select("doc_id", normal_source("source").alias("source"), "text").mapInPandas(count, "doc_id long, source string, tokens long")
@@ -70,13 +67,20 @@ def normal_source(col: str):
     return F.when(s != "", s)
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
+def block_size(order: list[dict], most: int = BLOCK_TOKENS) -> int:
+    """Tokens of a block: shares are met to about a block, so the scarcest source gets LEAST_BLOCKS of them or more."""
+    takes = [r["take"] for r in order if r["take"] > 0]
+    return max(1, min([most, *(int(t // LEAST_BLOCKS) for t in takes)]))
+
+
+def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> list[dict]:
     """For each source of ``targets``: documents, tokens available, weight, share and tokens to take.
 
     One row per source, gathered by the driver (the list of sources is part of the order, not of
     the data). Sources without tokens get nothing and the others share their weight. Without
-    ``total_tokens`` the mixture is the largest that meets all shares exactly; with it, sources
-    that would exceed ``max_repeats`` are filled up to that and the rest is shared among the others.
+    ``total_tokens`` the mixture is the largest that meets all shares; with it (a number, or "all" for as
+    many as the live sources hold), sources that would exceed ``max_repeats`` are filled up to that
+    and the rest is shared among the others: their shares fall short, and they are ``capped``.
     """
     t = targets.select(normal_source("source").alias("source"), F.col("target_weight").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("r"))
     t = t.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("w").alias("w"), F.max("r").alias("r"))
@@ -90,7 +94,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     weight = sum(r["w"] for r in live)
     for r in rows:
         r["target_share"] = r["w"] / weight if r in live else 0.0
-        r["take"] = 0.0
+        r["take"], r["capped"] = 0.0, False
     if not live:
         return rows
     if total_tokens is None:
@@ -98,7 +102,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
         for r in live:
             r["take"] = size * r["target_share"]
         return rows
-    left, open_ = float(total_tokens), list(live)
+    left, open_ = float(sum(r["tokens"] for r in live) if total_tokens == "all" else total_tokens), list(live)
     while open_:
         weight = sum(r["w"] for r in open_)
         full = [r for r in open_ if left * r["w"] / weight >= r["most"]]
@@ -107,7 +111,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
                 r["take"] = left * r["w"] / weight
             break
         for r in full:
-            r["take"] = float(r["most"])
+            r["take"], r["capped"] = float(r["most"]), True
         left -= sum(r["most"] for r in full)
         open_ = [r for r in open_ if r not in full]
     return rows
@@ -168,30 +172,33 @@ def schedule(spark: SparkSession, order: list[dict], block_tokens: int = BLOCK_T
     return ranked.join(F.broadcast(most), "source").where(F.col("block") < F.col("most")).select("slot", "source", "block")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, block_tokens: int | None = None, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares).
 
     mixture: slot, source, block, pass, doc_id, part - the documents of each slot's block and how
-    many tokens of each belong to it. shares: source, target_share, actual_share, tokens, documents,
-    repeats - of every source of ``targets``, reached with the mixture. Sources in ``documents``
+    many tokens of each belong to it. shares: source, target_share, actual_share, tokens, available, documents,
+    max_repeats, repeats, capped - of every source of ``targets``, reached with the mixture. Sources in ``documents``
     without a target and null sources take no part; a null text has no tokens and takes none.
     """
     from siltstone.session import cut_lineage
 
     sizes = cut_lineage(with_tokens(documents, vocabulary))
     order = plan(sizes, targets, total_tokens)
+    block_tokens = block_tokens or block_size(order)
     spark = documents.sparkSession
     mixture = schedule(spark, order, block_tokens).join(blocks(sizes, order, block_tokens), ["source", "block"])
     mixture = mixture.select("slot", "source", "block", "pass", "doc_id", "part")
-    planned = spark.createDataFrame([(r["source"], r["target_share"], r["docs"], r["r"]) for r in order], "source string, target_share double, documents long, max_repeats int")
+    planned = spark.createDataFrame([(r["source"], r["target_share"], r["tokens"], r["docs"], r["r"], r["capped"]) for r in order], "source string, target_share double, available long, documents long, max_repeats int, capped boolean")
     used = mixture.groupBy("source").agg(F.sum("part").alias("tokens"), (F.max("pass") + 1).alias("repeats"))
     shares = planned.join(used, "source", "left").fillna(0, ["tokens", "repeats"])
     whole = shares.groupBy().agg(F.sum("tokens").alias("t")).select(F.col("t").cast("double")).scalar()
-    return mixture, shares.select("source", F.round("target_share", 6).alias("target_share"), F.round(F.coalesce(F.col("tokens") / F.nullif(whole, F.lit(0.0)), F.lit(0.0)), 6).alias("actual_share"), "tokens", "documents", "max_repeats", "repeats")
+    return mixture, shares.select("source", F.round("target_share", 6).alias("target_share"), F.round(F.coalesce(F.col("tokens") / F.nullif(whole, F.lit(0.0)), F.lit(0.0)), 6).alias("actual_share"), "tokens", "available", "documents", "max_repeats", "repeats", "capped")
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
+    from siltstone.session import spread
+
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), "doc_id"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,4 +211,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(*_tables(spark, sf_dir))[1]
 
 
+def p8_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture as large as the documents of all sources together: scarce sources at their cap, the rest by weight."""
+    return mix(*_tables(spark, sf_dir), total_tokens="all")[0]
+
+
+def p8_filled_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of that mixture."""
+    return mix(*_tables(spark, sf_dir), total_tokens="all")[1]
+
+
 SQL: dict[str, str] = {}

@@ -4,7 +4,8 @@ A hierarchy of separators (section, paragraph, line, sentence, word, character)
 from the top: the piece under construction is filled greedily up to the limit and cut at
 the last boundary of the highest level that leaves it reasonably full; if a level has no
 such boundary the next one is taken. Each following piece starts with the last two lines
-of the one before, as far as the limit allows. Pieces are slices of the text: leaving out
+of the one before, as far as the limit allows; behind a cut inside a long line it starts with the
+line's last words instead, and without words with its last characters. Pieces are slices of the text: leaving out
 the repeated part, they join to the text again.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 CHARS_PER_TOKEN = 3
 MAX_TOKENS = 512
 OVERLAP_LINES = 2
+#: Share of a piece that is repeated where no whole line can be.
+PART = 16
 #: A cut of a level counts if it leaves the piece at least this full.
 FILL = 0.5
 
@@ -51,11 +54,12 @@ def _cut(levels: list[list[int]], start: int, end: int) -> int:
     return end
 
 
-def _overlap(text: str, lines: list[int], before: int, cut: int, lines_kept: int, limit: int) -> int:
-    """Where the next piece starts so that it repeats up to ``lines_kept`` whole lines before ``cut``.
+def _overlap(text: str, lines: list[int], words: list[int], before: int, cut: int, lines_kept: int, limit: int) -> int:
+    """Where the next piece starts so that it repeats up to ``lines_kept`` lines before ``cut``, of which the last may be cut itself.
 
     The limit allows lines beside which the next line fits too (or, if that is very long, half a
-    piece of new text). All of the piece before, which began at ``before``, is never repeated.
+    piece of new text). If no line fits, the last PART of a piece is repeated, from the beginning of
+    a word if there is one. All of the piece before, which began at ``before``, is never repeated.
     """
     k = bisect_right(lines, cut - 1)  # starts of lines before the cut
     end = text.find("\n", cut)
@@ -64,7 +68,11 @@ def _overlap(text: str, lines: list[int], before: int, cut: int, lines_kept: int
         at = lines[k - n] if k >= n else 0
         if k >= n - 1 and before < at < cut and cut - at + need <= limit:
             return at
-    return cut
+    if not lines_kept:
+        return cut
+    least = max(before + 1, cut - limit // PART, lines[k - lines_kept] if k >= lines_kept else 0)
+    j = bisect_right(words, least - 1)
+    return min(words[j], cut) if j < len(words) and words[j] < cut else min(least, cut)
 
 
 def split_spans(text: str, limit: int = MAX_TOKENS * CHARS_PER_TOKEN, overlap_lines: int = OVERLAP_LINES) -> list[tuple[int, int, int]]:
@@ -83,18 +91,18 @@ def split_spans(text: str, limit: int = MAX_TOKENS * CHARS_PER_TOKEN, overlap_li
             return out
         cut = _cut(levels, new, start + limit)
         out.append((start, new, cut))
-        # Only a cut between lines has whole lines before it; a cut inside a long line repeats nothing.
-        start = _overlap(text, lines, start, cut, overlap_lines, limit) if text[cut - 1] == "\n" else cut
+        start = _overlap(text, lines, levels[4], start, cut, overlap_lines, limit)
         new = cut
 
 
-_PIECES = "id long, piece_index int, piece_text string, start_char int, new_char int, end_char int, start_line int, end_line int"
+_PIECES = "piece_index int, piece_text string, start_char int, new_char int, end_char int, start_line int, end_line int"
 
 
 def _pieces(batches: Iterator[pd.DataFrame], limit: int, overlap_lines: int) -> Iterator[pd.DataFrame]:
+    """Rows (text, first line, further columns) to their pieces, the further columns in front."""
     for pdf in batches:
         rows = []
-        for id_, text, first in zip(pdf["id"], pdf["chunk_text"], pdf["start_line"]):
+        for text, first, *mine in pdf.itertuples(index=False, name=None):
             base = None if pd.isna(first) else int(first)
             for k, (a, new, b) in enumerate(split_spans(text, limit, overlap_lines)):
                 # the line break at a cut belongs to neither piece's text
@@ -103,11 +111,17 @@ def _pieces(batches: Iterator[pd.DataFrame], limit: int, overlap_lines: int) ->
                 if base is not None:
                     s = base + text.count("\n", 0, a)
                     e = s + shown.count("\n")
-                rows.append((id_, k, shown, a, new, b, s, e))
-        out = pd.DataFrame(rows, columns=["id", "piece_index", "piece_text", "start_char", "new_char", "end_char", "start_line", "end_line"])
+                rows.append((*mine, k, shown, a, new, b, s, e))
+        out = pd.DataFrame(rows, columns=[*pdf.columns[2:], "piece_index", "piece_text", "start_char", "new_char", "end_char", "start_line", "end_line"])
         yield out.astype({"start_line": "Int32", "end_line": "Int32"})
 
 
+def _cut_rows(big: DataFrame, keep: list[str], max_tokens: int, overlap_lines: int) -> DataFrame:
+    given = big.select("chunk_text", F.col("start_line").cast("int").alias("start_line"), *keep)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.select(*keep).schema) + ", " + _PIECES
+    return given.mapInPandas(lambda it: _pieces(it, max_tokens * CHARS_PER_TOKEN, overlap_lines), schema)
+
+
 def is_oversized(text, max_tokens: int = MAX_TOKENS):
     """ceil(characters / 3) above the limit, characters being code points of the whole text."""
     return F.ceil(F.length(text) / F.lit(float(CHARS_PER_TOKEN))) > max_tokens
@@ -121,45 +135,55 @@ def split_oversized(chunks: DataFrame, max_tokens: int = MAX_TOKENS, overlap_lin
     not oversized; a null start_line gives null lines. Repeated ids count once. Only oversized
     rows leave the JVM or are shuffled.
     """
-    limit = max_tokens * CHARS_PER_TOKEN
-    big = chunks.where(is_oversized(F.col("chunk_text"), max_tokens) & F.col("id").isNotNull()).select("id", "chunk_text", F.col("start_line").cast("int").alias("start_line"))
-    return big.dropDuplicates(["id"]).mapInPandas(lambda it: _pieces(it, limit, overlap_lines), _PIECES)
+    big = chunks.where(is_oversized(F.col("chunk_text"), max_tokens) & F.col("id").isNotNull()).select("id", "chunk_text", "start_line")
+    return _cut_rows(big.dropDuplicates(["id"]), ["id"], max_tokens, overlap_lines)
 
 
-def running_index(df: DataFrame, keys: list[str], order: list[str], block: str, name: str, width: int = 256) -> DataFrame:
-    """Rank from 0 of each row within ``keys`` by ``order``, without one task per key.
+def running_start(df: DataFrame, keys: list[str], order: list[str], block: str, count: str, name: str, width: int = 256) -> DataFrame:
+    """Sum of ``count`` over the rows before each row within ``keys`` by ``order``, without one task per key.
 
-    ``block`` is the non-negative integer column that leads ``order``. Rows are counted by
-    blocks of ``width`` of its values; the few block counts are summed up to offsets, and rows
-    are ranked only inside their block. A key with a third of all rows thus spreads over many
-    tasks.
+    ``block`` is the non-negative integer column that leads ``order``. Counts are summed up by blocks
+    of ``width`` of its values; the few block sums are summed up to offsets, and rows are summed
+    only inside their block. A key with a third of all rows thus spreads over many tasks.
     """
     from pyspark.sql import Window
 
     blocked = df.withColumn("_block", F.floor(F.coalesce(F.col(block), F.lit(0)) / width))
-    counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    counts = blocked.groupBy(*keys, "_block").agg(F.sum(count).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_block") == F.col("_b")]
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = blocked.join(offsets, on)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    return joined.withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("int")).select(*df.columns, name)
+    return joined.withColumn(name, (F.col("_before") + F.coalesce(F.sum(count).over(inside), F.lit(0))).cast("int")).select(*df.columns, name)
 
 
 def rechunk(chunks: DataFrame, max_tokens: int = MAX_TOKENS, overlap_lines: int = OVERLAP_LINES) -> DataFrame:
     """All chunks with none above the limit, ``chunk_index`` running anew within each file version.
 
-    A version is a path and a hash. Chunks within the limit stay as they are (piece_index 0).
+    A version is a path and a hash. Chunks within the limit stay as they are (piece_index 0). Texts
+    are shuffled once, by id; the running numbers are made of slim rows that say how many pieces
+    each chunk gives, and come back to the texts by id.
     """
     from siltstone.llm.dedupe import one_row_per_id
 
-    rows = one_row_per_id(chunks.select("id", "file_path", "file_hash", "chunk_index", "chunk_text", "start_line", "end_line"))
-    pieces = split_oversized(rows, max_tokens, overlap_lines).select("id", "piece_index", "piece_text", "start_line", "end_line")
-    where = rows.where(is_oversized(F.col("chunk_text"), max_tokens)).select("id", "file_path", "file_hash", "chunk_index")
-    cut = where.join(pieces, "id").select("id", "file_path", "file_hash", F.col("chunk_index").alias("old_index"), "piece_index", F.col("piece_text").alias("chunk_text"), "start_line", "end_line")
-    small = rows.where(~F.coalesce(is_oversized(F.col("chunk_text"), max_tokens), F.lit(False)))
-    kept = small.select("id", "file_path", "file_hash", F.col("chunk_index").alias("old_index"), F.lit(0).alias("piece_index"), "chunk_text", "start_line", "end_line")
-    return running_index(kept.unionByName(cut), ["file_path", "file_hash"], ["old_index", "id", "piece_index"], "old_index", "chunk_index")
+    limit = max_tokens * CHARS_PER_TOKEN
+
+    @F.pandas_udf("int")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(split_spans(t, limit, overlap_lines)) for t in texts], dtype="int32")
+
+    names = ["id", "file_path", "file_hash", "chunk_index", "chunk_text", "start_line", "end_line"]
+    rows = one_row_per_id(chunks.select(*names, *(["updated_at"] if "updated_at" in chunks.columns else []))).select(*names)
+    big = F.coalesce(is_oversized(F.col("chunk_text"), max_tokens), F.lit(False))
+    slim = ["id", "file_path", "file_hash", "chunk_index"]
+    counted = rows.where(~big).select(*slim, F.lit(1).alias("n")).unionByName(rows.where(big).select(*slim, pieces("chunk_text").alias("n")))
+    first = running_start(counted, ["file_path", "file_hash"], ["chunk_index", "id"], "chunk_index", "n", "first").select("id", "first")
+    placed = rows.join(first, "id")
+    kept = placed.where(~big).select("id", "file_path", "file_hash", F.col("chunk_index").alias("old_index"), F.lit(0).alias("piece_index"), "chunk_text", "start_line", "end_line", F.col("first").alias("chunk_index"))
+    cut = _cut_rows(placed.where(big).withColumnRenamed("chunk_index", "old_index"), ["id", "file_path", "file_hash", "old_index", "first"], max_tokens, overlap_lines)
+    cut = cut.select("id", "file_path", "file_hash", "old_index", "piece_index", F.col("piece_text").alias("chunk_text"), "start_line", "end_line", (F.col("first") + F.col("piece_index")).cast("int").alias("chunk_index"))
+    return kept.unionByName(cut)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

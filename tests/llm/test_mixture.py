@@ -65,3 +65,25 @@ def test_token_counts(spark):
     d = spark.createDataFrame([(1, "hello world", "s"), (2, None, "s"), (3, "a" * 250_000, "s")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["tokens"] for r in mx.with_tokens(d).collect()}
     assert got[2] == 0 and 0 < got[1] <= 4 and got[3] > 1000
+
+
+def test_long_texts_are_counted_whole(spark):
+    import os
+
+    text = "ab cd, " * 20_000 + "xy" * 120_000
+    got = mx.with_tokens(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()["tokens"]
+    assert got == len(mx.encoder(os.path.join(mx.TOKENIZER_FOLDER, mx.VOCABULARY)).encode_ordinary(text))
+
+
+def test_shares_of_the_tables(spark):
+    from siltstone.llm import catalogue
+
+    by = {r["source"]: r for r in catalogue.queries()["p8_shares"](spark, "/root/testdata/sf0.01").collect()}
+    assert all(abs(r["target_share"] - r["actual_share"]) < 0.003 and r["repeats"] <= r["max_repeats"] for r in by.values())
+    full = {r["source"]: r for r in catalogue.queries()["p8_filled_shares"](spark, "/root/testdata/sf0.01").collect()}
+    live = [r for r in full.values() if r["target_share"] > 0]
+    assert sum(r["tokens"] for r in live) == pytest.approx(sum(r["available"] for r in live), rel=0.01)
+    for r in live:
+        assert r["tokens"] <= r["available"] * r["max_repeats"] and (r["capped"] or r["actual_share"] >= r["target_share"] - 0.003)
+        if r["capped"]:
+            assert r["tokens"] >= 0.95 * r["available"] * r["max_repeats"]

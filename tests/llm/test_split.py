@@ -26,7 +26,20 @@ def test_natural_places():
         assert text[b - 1] == "\n"
     words = "word " * 100
     assert {words[b - 1] for _, _, b in split.split_spans(words, 52, 2)[:-1]} == {" "}
-    assert split.split_spans("x" * 100, 30) == [(0, 0, 30), (30, 30, 60), (60, 60, 90), (90, 90, 100)]
+    assert split.split_spans("x" * 100, 32) == [(0, 0, 32), (30, 32, 62), (60, 62, 92), (90, 92, 100)]
+
+
+@pytest.mark.parametrize("text", ["word and more " * 600, "x" * 9000, "short\n" * 40 + "long line of words " * 400 + "\n" + "short\n" * 400, "a, b; " * 2000, "一二三。" * 3000])
+def test_every_piece_repeats_something(text):
+    spans = split.split_spans(text)
+    assert len(spans) > 1 and all(a < n for a, n, _ in spans[1:])
+    assert all(b - a <= 1536 for a, _, b in spans) and "".join(text[n:b] for _, n, b in spans) == text
+
+
+def test_a_cut_line_counts_as_one_of_the_two():
+    text = "\n".join(["a" * 100, "b" * 100, "word " * 500])
+    a, new, _ = split.split_spans(text, 300, 2)[1]
+    assert text[a:new] and len(text[a:new]) <= 150
 
 
 def test_overlap_is_two_lines():
@@ -52,13 +65,43 @@ def test_table(spark):
     assert split.split_oversized(df.limit(0)).count() == 0
 
 
-def test_running_index_over_blocks(spark):
-    rows = [("hot", i * 3, i) for i in range(700)] + [("a", 0, 1), ("a", 0, 2), (None, 5, 3)]
-    df = spark.createDataFrame(rows, "f string, ci int, id long")
-    got = split.running_index(df, ["f"], ["ci", "id"], "ci", "k", width=64).collect()
-    assert sorted(r["k"] for r in got if r["f"] == "hot") == list(range(700))
-    assert all(r["k"] == r["id"] for r in got if r["f"] == "hot")
-    assert sorted(r["k"] for r in got if r["f"] == "a") == [0, 1] and [r["k"] for r in got if r["f"] is None] == [0]
+def test_running_sums_over_blocks(spark):
+    rows = [("hot", i * 3, i, 1 + i % 3) for i in range(700)] + [("a", 0, 1, 4), ("a", 0, 2, 1), (None, 5, 3, 2)]
+    df = spark.createDataFrame(rows, "f string, ci int, id long, n int")
+    got = {(r["f"], r["id"]): r["k"] for r in split.running_start(df, ["f"], ["ci", "id"], "ci", "n", "k", width=64).collect()}
+    at = 0
+    for i in range(700):
+        assert got["hot", i] == at
+        at += 1 + i % 3
+    assert (got["a", 1], got["a", 2], got[None, 3]) == (0, 4, 0)
+
+
+def test_pieces_of_the_table(spark, data):
+    """What holds for the pieces of all chunks: limit, order, lines, overlap, and that they join to the texts."""
+    from siltstone.llm import catalogue
+
+    texts = {r["id"]: r for r in one_row_per_id(spark.read.parquet(f"{data}/chunks.parquet").drop("embedding")).collect()}
+    rows = catalogue.queries()["p4_pieces"](spark, data).collect()
+    assert {r["id"] for r in rows} == set(texts)
+    versions = {}
+    for r in rows:
+        versions.setdefault((r["file_path"], r["file_hash"]), []).append((r["chunk_index"], r["old_index"], r["id"], r["piece_index"]))
+    for v in versions.values():
+        v.sort()
+        assert [x[0] for x in v] == list(range(len(v))) and [x[1:] for x in v] == sorted(x[1:] for x in v)
+    pieces = {}
+    for r in split.split_oversized(spark.read.parquet(f"{data}/chunks.parquet")).collect():
+        pieces.setdefault(r["id"], []).append(r)
+    assert set(pieces) == {i for i, r in texts.items() if r["chunk_text"] and len(r["chunk_text"]) > 1536}
+    for i, ps in pieces.items():
+        text, lines = texts[i]["chunk_text"], texts[i]["chunk_text"].split("\n")
+        ps.sort(key=lambda p: p["piece_index"])
+        assert "".join(text[p["new_char"] : p["end_char"]] for p in ps) == text and all(p["start_char"] < p["new_char"] for p in ps[1:])
+        for p in ps:
+            assert len(p["piece_text"]) <= 1536
+            first, last = p["start_line"] - texts[i]["start_line"], p["end_line"] - texts[i]["start_line"]
+            shown = p["piece_text"].split("\n")
+            assert len(shown) == last - first + 1 and all(a.rstrip("\r") in b for a, b in zip(shown, lines[first : last + 1]))
 
 
 def test_rechunk(spark):
