@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.dedupe import one_row_per_id
+from siltstone.session import written
 
 #: Sum of the prior's pseudo-counts.
 STRENGTH = 500.0
+#: More terms than this are never broadcast.
+HOT_TERMS = 20_000
 _SPLIT = r"[^\p{L}\p{N}_]+"
 
 
@@ -28,21 +31,30 @@ def terms(text: Column, more: Column | None = None) -> Column:
 def term_scores(records: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("chunk_text", "identifiers"), strength: float = STRENGTH) -> DataFrame:
     """(id, term, tf, z): every term of every record with its count there and its z-score.
 
-    Repeated ids count once, here and in the collection's counts; null ids are dropped. Null and
-    empty texts have no terms. If the record is the whole collection, z compares it with the
-    prior alone. The text is shuffled once, by id; counting within a record needs no second
-    shuffle, and the collection's counts are summed on the map side, so a term of all records is
-    one row per task.
+    Repeated ids count once, here and in the collection's counts, the latest row by ``updated_at`` if
+    there is such a column; null ids are dropped. Null and empty texts have no terms. If the record
+    is the whole collection, z compares it with the prior alone.
+
+    The text is shuffled once, by id, and its terms are counted once and written down. The
+    collection's counts are summed on the map side. Terms with more than a HOT_TERMS-th of all rows
+    come back to the rows by a broadcast: there are fewer than HOT_TERMS of them, whatever the data.
+    The others, of which none is hot, are joined by term.
     """
-    rows = one_row_per_id(records.select(id_col, *text_cols), id_col)
+    more = [c for c in ("updated_at",) if c in records.columns and c not in text_cols]
+    rows = one_row_per_id(records.select(id_col, *text_cols, *more), id_col)
     words = rows.select(F.col(id_col).alias("id"), terms(F.col(text_cols[0]), F.concat_ws(" ", *text_cols[1:]) if len(text_cols) > 1 else None).alias("w"))
-    tf = words.select("id", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = tf.groupBy("term").agg(F.sum("tf").alias("total"))
-    size = counts.agg(F.sum("total").alias("size")).select(F.col("size").cast("double")).scalar()
-    y, n, whole = F.col("tf").cast("double"), F.col("n").cast("double"), F.col("total").cast("double")
-    joined = tf.join(counts, "term").withColumn("size", size)
-    alpha = F.lit(strength) * whole / F.col("size")
-    rest, n_rest = whole - y, F.col("size") - n
+    counted = words.select("id", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = written(counted, "terms")
+    counts = written(tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("rows")), "counts")
+    whole = counts.agg(F.sum("total").alias("size"), F.sum("rows").alias("rows")).first()  # one row
+    size, limit = float(whole["size"] or 0), (whole["rows"] or 0) / HOT_TERMS
+    hot = counts.where(F.col("rows") > limit).select("term", "total")
+    here = tf.join(F.broadcast(hot), "term", "left")
+    cold = here.where(F.col("total").isNull()).drop("total").join(counts.where(F.col("rows") <= limit).select("term", "total"), "term")
+    joined = here.where(F.col("total").isNotNull()).unionByName(cold)
+    y, n, whole_term, size = F.col("tf").cast("double"), F.col("n").cast("double"), F.col("total").cast("double"), F.lit(size)
+    alpha = F.lit(strength) * whole_term / size
+    rest, n_rest = whole_term - y, size - n
     others, rest_others = n + F.lit(strength) - y - alpha, n_rest + F.lit(strength) - rest - alpha
     odds = F.log((y + alpha) / others) - F.log((rest + alpha) / rest_others)
     # in a collection of a single term the odds have no denominator: such a term tells nothing

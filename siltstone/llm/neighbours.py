@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIM = 64
-#: Vectors that the partition and the codebooks are fitted on, at most.
-TRAIN_ROWS = 32768
+#: Vectors that the partition and the codebooks are fitted on: TRAIN_ROWS or, of more than 16 million vectors, eight for each cell, at most MOST_TRAIN.
+TRAIN_ROWS, PER_CELL, MOST_TRAIN = 32768, 8, 262144
 SUB = 2
 WORDS = 16
 #: Score from which parallel error counts (the threshold T of the score-aware weight).
@@ -175,8 +175,13 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _cells(n: int) -> int:
-    """About the square root of the number of vectors, a power of two from 1 to 8192."""
-    return int(min(8192, max(1, 2 ** round(np.log2(max(1.0, np.sqrt(n)))))))
+    """About the square root of the number of vectors, a power of two: 32768 for a thousand million, the most that the sample can tell apart."""
+    return int(min(MOST_TRAIN // PER_CELL, max(1, 2 ** round(np.log2(max(1.0, np.sqrt(n)))))))
+
+
+def train_rows(n: int) -> int:
+    """Vectors to fit on."""
+    return max(TRAIN_ROWS, PER_CELL * _cells(n))
 
 
 def default_probes(cells: int, min_cosine: float | None, symmetric: bool = False) -> int:
@@ -193,8 +198,8 @@ def default_probes(cells: int, min_cosine: float | None, symmetric: bool = False
 
 
 def build_index(reps: DataFrame, n: int, dim: int = DIM) -> Index:
-    """Fit on at most TRAIN_ROWS vectors, taken by the hash of their ids; every vector is indexed later."""
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(TRAIN_ROWS).select("v").toArrow().column("v").combine_chunks()
+    """Fit on a bounded number of vectors, taken by the hash of their ids; every vector is indexed later."""
+    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(train_rows(n)).select("v").toArrow().column("v").combine_chunks()
     x = _floats(sample, dim)
     return fit(x, _cells(n)) if len(x) else Index(np.zeros((1, dim), np.float32), np.zeros((dim // SUB, WORDS, SUB), np.float32))
 
@@ -236,17 +241,37 @@ def _cell_counts(rows: DataFrame, index: Index, probes: int, dim: int) -> dict[i
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
 
-    found = rows.select("v").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row for each cell, at most 8192
+    found = rows.select("v").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row for each cell, at most 32768
     return {r["cell"]: r["n"] for r in found}
 
 
-def scan_block(index: Index, cell: int, q: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int, min_cosine: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best of one block: (row of the query, row of the vector, exact cosine)."""
+def _first_of_each(key: np.ndarray, other: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Which rows are among the ``n`` best of their key, by score at six decimals, then by ``other``."""
+    order = np.lexsort((other, -np.round(score, 6), key))
+    sorted_ = key[order]
+    start = np.flatnonzero(np.append(True, np.diff(sorted_) != 0))[: len(order)]
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    keep = np.zeros(len(order), bool)
+    keep[order[place < n]] = True
+    return keep
+
+
+def scan_block(index: Index, cell: int, q: np.ndarray, codes: np.ndarray, x: np.ndarray, k: int, min_cosine: float | None, both: bool = False, names: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best of one block: (row of the query, row of the vector, exact cosine).
+
+    At most k + 1 rows of each query; with ``min_cosine`` and ``both`` also k + 1 of each vector, which
+    may be a query itself. ``names`` are the ids that order equal cosines.
+    """
     coded = q @ index.decode(codes).T + (q @ index.centres[cell])[:, None]
     if min_cosine is not None:
         a, b = np.nonzero(coded >= min_cosine - SLACK)
         exact = np.einsum("ij,ij->i", q[a].astype(np.float64), x[b].astype(np.float64))
         keep = exact >= min_cosine - 1e-6
+        a, b, exact = a[keep], b[keep], exact[keep]
+        q_names, x_names = names or (np.arange(len(q)), np.arange(len(x)))
+        keep = _first_of_each(a, x_names[b], exact, k + 1)
+        if both:
+            keep |= _first_of_each(b, q_names[a], exact, k + 1)
         return a[keep], b[keep], exact[keep]
     width = min(len(x), RERANK * (k + 1))
     top = np.argpartition(-coded, width - 1, axis=1)[:, :width] if width < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
@@ -260,8 +285,8 @@ def scan_block(index: Index, cell: int, q: np.ndarray, codes: np.ndarray, x: np.
 def near_representatives(reps: DataFrame, queries: DataFrame, k: int, probes: int | None, min_cosine: float | None, dim: int = DIM) -> DataFrame:
     """(query, rep, cosine): for each query its best representatives, itself among them.
 
-    With ``min_cosine`` all that the probed cells hold at or above it, otherwise at least the
-    k + 1 best of each probed block. Cells are cut into blocks of at most BLOCK vectors and
+    The k + 1 best of each probed block, with ``min_cosine`` only those at or above it; if all vectors
+    ask, also the k + 1 best askers of each vector of the block. Cells are cut into blocks of at most BLOCK vectors and
     BLOCK queries on average, so a crowded cell is many tasks.
     """
     n = reps.count()
@@ -287,7 +312,7 @@ def near_representatives(reps: DataFrame, queries: DataFrame, k: int, probes: in
         got = [[], [], []]
         step = max(1, (1 << 22) // len(x))
         for s in range(0, len(q), step):
-            a, b, c = scan_block(index, l.column("cell")[0].as_py(), q[s : s + step], codes, x, k, min_cosine)
+            a, b, c = scan_block(index, l.column("cell")[0].as_py(), q[s : s + step], codes, x, k, min_cosine, symmetric, (queries_[s : s + step], reps_))
             got[0].append(queries_[s + a])
             got[1].append(reps_[b])
             got[2].append(c)
@@ -322,7 +347,7 @@ def nearest_neighbours(df: DataFrame, k: int = 10, probes: int | None = None, mi
     near = near_representatives(reps, asking_reps, k, probes, min_cosine, dim)
     near = near.withColumn("cosine", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "cosine")), 6))
     # of each query's representatives the k + 1 best are enough: each stands for one id at least
-    best = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "rep"))).where(F.col("place") <= k + 1) if min_cosine is None else near
+    best = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "rep"))).where(F.col("place") <= k + 1)
     key_of = heads.select(F.col("rep"), "key")
     members = first.join(key_of, "key").select("rep", F.col("id").alias("id_b"))
     lists = best.join(members, "rep").select("query", "id_b", "cosine")
@@ -361,5 +386,12 @@ u AS (SELECT id, any_value(embedding)::DOUBLE[] AS v FROM e GROUP BY id),
 p AS (SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY c DESC, id_b) AS k FROM p WHERE c >= 0.9)
 SELECT x.id_a, x.id_b FROM r x JOIN r y ON x.id_a = y.id_b AND x.id_b = y.id_a WHERE x.k <= 10 AND y.k <= 10 AND x.id_a < x.id_b
-"""
+""",
+    "p6_neighbours": """
+WITH e AS (SELECT DISTINCT id, embedding FROM chunks
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT id, any_value(embedding)::DOUBLE[] AS v FROM e GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM u a JOIN u b ON a.id <> b.id WHERE a.id % 100 = 0)
+SELECT id_a, id_b, cosine, row_number() OVER (PARTITION BY id_a ORDER BY cosine DESC, id_b)::INT AS rank FROM p QUALIFY rank <= 10
+""",
 }

@@ -84,3 +84,44 @@ def test_score_aware_codes():
     assert loss(aware) < loss(plain)
     assert nb.pack(plain).shape == (2000, 4) and nb.pack(plain).dtype == np.uint8
     assert nb.eta(64, 0.2) == pytest.approx(63 * 0.04 / 0.96)
+
+
+def test_a_dense_cluster_gives_no_more_than_its_lists():
+    rng = np.random.default_rng(2)
+    x = (np.eye(1, 64) + rng.normal(size=(3000, 64)) * 0.03).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = nb.fit(x, 4)
+    cell = nb.nearest(x, index.centres, 1)[0][:, 0]
+    codes = nb.pack(nb.encode_words(x - index.centres[cell], x, index.books, nb.eta()))
+    for c in range(4):
+        mine = np.flatnonzero(cell == c)
+        a, b, score = nb.scan_block(index, c, x, codes[mine], x[mine], 10, 0.9, True, (np.arange(len(x)), mine))
+        assert len(a) <= 11 * (len(x) + len(mine))
+        exact = np.round(x.astype(np.float64) @ x[mine].astype(np.float64).T, 6)
+        q = int(rng.integers(len(x)))
+        want = np.lexsort((mine, -exact[q]))[:11]
+        assert set(want) <= set(b[a == q])
+        v = int(rng.integers(len(mine)))
+        assert set(np.lexsort((np.arange(len(x)), -exact[:, v]))[:11]) <= set(a[b == v])
+
+
+def test_recall_of_the_tables(spark):
+    """Default cells at sf0.1: ten nearest of every chunk whose id is divisible by 100."""
+    from siltstone.llm import catalogue
+
+    sf = "/root/testdata/sf0.1"
+    got = {}
+    for r in catalogue.queries()["p6_neighbours"](spark, sf).collect():
+        got.setdefault(r["id_a"], set()).add(r["id_b"])
+    rows = {r["id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/chunks.parquet").where(nb.usable(F.col("embedding")) & F.col("id").isNotNull()).select("id", "embedding").collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids.tolist()], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = all_ = 0
+    for i in ids[ids % 100 == 0].tolist():
+        s = np.round(x @ x[np.searchsorted(ids, i)], 6)
+        s[np.searchsorted(ids, i)] = -9
+        best = set(ids[np.lexsort((ids, -s))[:10]].tolist())
+        hit, all_ = hit + len(best & got[i]), all_ + 10
+    assert all_ > 1000 and hit >= 0.9 * all_
+    print("recall", hit / all_)
