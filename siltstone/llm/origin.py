@@ -2,11 +2,14 @@
 
 Weak labels come from header notices and from the conventions of names and folders that tools
 follow. What gives a label is hidden from the features: notices are cut out of the text before
-it is measured, and paths are no features. A random forest is trained on the labels and judges
-every file by its contents: compression ratio, token entropy, identifier lengths, comment
-density and a few more figures of the same kind. So files without a notice are found by
-looking like those with one. A file is reported if the forest says so or if it carries a notice
-itself: a notice, once read, is what the label was made of.
+it is measured, and paths are no features of the first forests. These judge files by their
+contents: compression ratio, token entropy, identifier lengths, comment density and a few more
+figures of the same kind. So files without a notice are found by looking like those with one.
+Contents can't tell a copy from another project, nor a small output of a tool; a last forest
+therefore sees the conventions of names and folders beside the contents and learns from labels
+and from what the contents told. It has a vote on files whose name or folder tells something. What is voted down
+though its header says outright that nobody here wrote it is added by an exact reading of the
+header.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ TRAIN_FILES = 20_000
 #: carry no label, so where both kinds look alike the label has to outweigh its absence.
 LABEL_WEIGHT = 4.0
 #: Probability of the first forest from which a file without a label is no reliable negative.
-DOUBTFUL = 0.12
+DOUBTFUL = 0.14
+#: Files of a leaf at least: smaller leaves would close around the few labelled files of a kind and leave their like outside.
+LEAF = 6
 #: Probability from which the forest's word counts.
 THRESHOLD = 0.5
-#: The project whose own copyright lines are no sign of another project.
-OWN_PROJECT = "Lumen Index"
-HEADER_LINES = 14
+#: The header of a file ends before its line of code with this number; comments and blank lines don't count.
+HEADER_CODE = 3
 
 # Folders and names that tools give.
 VENDOR_FOLDERS = "vendor third_party third-party thirdparty 3rdparty node_modules bower_components jspm_packages Pods Carthage site-packages dist-packages extern external externals deps Godeps".split()
@@ -61,6 +65,9 @@ _VENDORED = regex.compile(
     r")"
 )
 _COPYRIGHT = regex.compile(_COMMENT + r"(?i:(?:copyright|\(c\)|©)\s+(?:\(c\)\s+|©\s+)?(?:\d{4}[\d,\-– ]*\s+)?(?:the\s+|by\s+)?(?P<who>[^\n.,;|]+))")
+_COMMENT_LINE = regex.compile(r"[ \t]*(?:/\*|//|#|\*|<!--|--|;|%|\"\"\"|''')")
+_BANG = regex.compile(r"^\s*/\*!.*?\*/", regex.S)
+_BODY_OF = regex.compile(r"(?i)\b(?:the|and|its?|authors?|contributors?|developers?|maintainers?|team|project|inc|ltd|gmbh|llc|foundation|all rights reserved)\b")
 _FOOT = regex.compile(r"[#/@]+ ?sourceMappingURL=\S+")
 _TOKEN = regex.compile(r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^\s\w]")
 _IDENT = regex.compile(r"[A-Za-z_$][A-Za-z_$0-9]*")
@@ -70,19 +77,41 @@ _DIGITS = regex.compile(r"\d+")
 
 #: Summed over the chunks of a file.
 SUMS = "chars zipped tokens token_bits ident_chars idents short_idents comment_chars string_chars digits spaces lines shapes long_chars numbers words_kinds".split()
+PATH_FEATURES = "in_copies in_outputs tool_name".split()
 FEATURES = "log_chars ratio entropy ident_length short_share comment_share string_share digit_share space_share line_length repeated long_share number_share vocabulary".split()
 
 
-def notice(header: str) -> int:
-    """1 for a notice of a tool, 2 for one of another project, 0 for none. Only comments at the top count."""
-    if _GENERATED.search(header):
-        return 1
+def header_lines(lines: list[str]) -> int:
+    """How many lines the header has: comments of whatever length and blank lines, up to the HEADER_CODE-th line of code."""
+    code, inside = 0, ""
+    for k, line in enumerate(lines):
+        if inside:
+            if inside in line:
+                inside = ""
+            continue
+        bare = line.strip()
+        if not bare:
+            continue
+        if _COMMENT_LINE.match(line):
+            opened = "*/" if bare.startswith("/*") else "-->" if bare.startswith("<!--") else bare[:3] if bare[:3] in ('"""', "'''") else ""
+            if opened and opened not in bare[3 if opened == bare[:3] else 2 :]:
+                inside = opened
+            continue
+        code += 1
+        if code == HEADER_CODE:
+            return k
+    return len(lines)
+
+
+def holder(header: str) -> str | None:
+    """Whom a copyright line names, in lower case without words such as 'authors'."""
     who = _COPYRIGHT.search(header)
-    if _VENDORED.search(header):
-        return 0 if who and OWN_PROJECT.lower() in who.group("who").lower() else 2
-    if who and OWN_PROJECT.lower() not in who.group("who").lower():
-        return 2
-    return 0
+    return " ".join(regex.sub(r"[^\w]+", " ", _BODY_OF.sub(" ", who.group("who").lower())).split()) or None if who else None
+
+
+def notice(header: str) -> tuple[bool, bool, str | None]:
+    """(a tool wrote it, it was copied from somewhere, the copyright holder). Only comments at the top count."""
+    return bool(_GENERATED.search(header)), bool(_VENDORED.search(header)), holder(header)
 
 
 def without_notice(text: str, first: bool) -> str:
@@ -90,13 +119,9 @@ def without_notice(text: str, first: bool) -> str:
     if first:
         lines = text.split("\n")
         k = 0
-        while k < min(len(lines), HEADER_LINES) and (not lines[k].strip() or regex.match(r"[ \t]*(?:/\*|//|#|\*|<!--|--|;|%|\"\"\"|''')", lines[k])):
+        while k < len(lines) and (not lines[k].strip() or _COMMENT_LINE.match(lines[k])):
             k += 1
-        head = "\n".join(lines[:k])
-        if notice(head):
-            text = "\n".join(lines[k:])
-        else:
-            text = regex.sub(r"^\s*/\*!.*?\*/", "", text, count=1, flags=regex.S)
+        text = "\n".join(lines[k:]) if any(notice("\n".join(lines[:k]))) else _BANG.sub("", text, count=1)
     return _FOOT.sub("", text)
 
 
@@ -126,26 +151,28 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, index, start, text in zip(pdf["file_path"], pdf["chunk_index"], pdf["start_line"], pdf["chunk_text"]):
             text = text or ""
             first = (not pd.isna(start) and start == 0) or (not pd.isna(index) and index == 0)
-            told = notice("\n".join(text.split("\n", HEADER_LINES)[:HEADER_LINES])[:3000]) if first else 0
-            if _FOOT.search(text):
-                told = told or 1
-            rows.append((path, told, *measures(without_notice(text, first))))
-        yield pd.DataFrame(rows, columns=["file_path", "told", *SUMS])
+            made, copied, who = False, False, None
+            if first:
+                lines = text.split("\n")
+                made, copied, who = notice("\n".join(lines[: header_lines(lines)]))
+            made = made or bool(_FOOT.search(text))
+            rows.append((path, made, copied, who, *measures(without_notice(text, first))))
+        yield pd.DataFrame(rows, columns=["file_path", "made", "copied", "holder", *SUMS])
 
 
 def file_measures(chunks: DataFrame) -> DataFrame:
-    """One row per file: path, whether a header tells its origin (0, 1 or 2), and the FEATURES.
+    """One row per file: path, what its header tells (made by a tool, copied, copyright holder), and the FEATURES.
 
     Measured per chunk and summed, partially before the shuffle: no file's text is gathered, so
     a file with a third of all rows is no hot spot. All versions of a file count; repeated rows
     weigh twice in sums of which only quotients are used. Null paths give no row, null texts
     count as empty.
     """
-    m = chunks.where(F.col("file_path").isNotNull()).select("file_path", "chunk_index", "start_line", "chunk_text").mapInPandas(_measure, "file_path string, told int, " + ", ".join(f"{s} double" for s in SUMS))
-    g = m.groupBy("file_path").agg(F.max("told").alias("told"), F.count(F.lit(1)).alias("n"), *(F.sum(s).alias(s) for s in SUMS))
+    m = chunks.where(F.col("file_path").isNotNull()).select("file_path", "chunk_index", "start_line", "chunk_text").mapInPandas(_measure, "file_path string, made boolean, copied boolean, holder string, " + ", ".join(f"{s} double" for s in SUMS))
+    g = m.groupBy("file_path").agg(*(F.max(c).alias(c) for c in ("made", "copied", "holder")), F.count(F.lit(1)).alias("n"), *(F.sum(s).alias(s) for s in SUMS))
     by = lambda a, b: F.col(a) / F.greatest(F.lit(1.0), F.col(b))
     return g.select(
-        "file_path", "told",
+        "file_path", "made", "copied", "holder",
         F.log1p(F.col("chars") / F.col("n")).alias("log_chars"), by("zipped", "chars").alias("ratio"), by("token_bits", "tokens").alias("entropy"), by("ident_chars", "idents").alias("ident_length"),
         by("short_idents", "idents").alias("short_share"), by("comment_chars", "chars").alias("comment_share"), by("string_chars", "chars").alias("string_share"), by("digits", "chars").alias("digit_share"),
         by("spaces", "chars").alias("space_share"), by("chars", "lines").alias("line_length"), (1 - by("shapes", "lines")).alias("repeated"), by("long_chars", "chars").alias("long_share"),
@@ -161,68 +188,95 @@ def _in_folder(path, folders: list[str]):
     return found
 
 
-def with_labels(files: DataFrame) -> DataFrame:
-    """Adds ``label``: 1 where a notice, a tool's file name, or a folder of copies or of output tells that nobody wrote the file."""
-    path = F.col("file_path")
-    return files.withColumn("label", ((F.col("told") > 0) | path.rlike(f"(?i){TOOL_NAMES}") | _in_folder(path, VENDOR_FOLDERS) | _in_folder(path, OUTPUT_FOLDERS)).cast("int"))
+def owner_of(files: DataFrame) -> str | None:
+    """The copyright holder that most files name, the project's own; None if two are named equally often."""
+    top = files.where(F.col("holder").isNotNull()).groupBy("holder").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "holder").limit(2).collect()
+    return top[0]["holder"] if top and (len(top) == 1 or top[0]["n"] > top[1]["n"]) else None
 
 
-def training_sample(labelled: DataFrame) -> DataFrame:
-    """At most TRAIN_FILES files chosen by the hash of their paths, so that the share of labelled ones is that of all.
+def with_labels(files: DataFrame, owner: str | None = None) -> DataFrame:
+    """Adds ``told`` (1: made by a tool, 2: from another project than ``owner``, 0), the PATH_FEATURES and ``label``: 1 where any of them tells that nobody wrote the file."""
+    path = F.col("file_path")
+    own = F.coalesce(F.col("holder") == F.lit(owner), F.lit(False))
+    told = F.when(F.col("made"), 1).when((F.col("copied") | F.col("holder").isNotNull()) & ~own, 2).otherwise(0)
+    signs = {"in_copies": _in_folder(path, VENDOR_FOLDERS), "in_outputs": _in_folder(path, OUTPUT_FOLDERS), "tool_name": path.rlike(f"(?i){TOOL_NAMES}")}
+    out = files.withColumn("told", told).withColumns({k: v.cast("double") for k, v in signs.items()})
+    return out.withColumn("label", ((F.col("told") > 0) | (F.col("in_copies") + F.col("in_outputs") + F.col("tool_name") > 0)).cast("int"))
 
-    Copies from other projects are left out: they were written by hand somewhere, so their
-    contents teach nothing.
-    """
-    copied = (F.col("told") == 2) | _in_folder(F.col("file_path"), VENDOR_FOLDERS)
-    return labelled.where(~copied).orderBy(F.xxhash64("file_path"), "file_path").limit(TRAIN_FILES).select("label", *FEATURES)
 
+def training_sample(labelled: DataFrame):
+    """At most TRAIN_FILES files chosen by the hash of their paths, so that the share of labelled ones is that of all, as a pandas frame."""
+    return labelled.orderBy(F.xxhash64("file_path"), "file_path").limit(TRAIN_FILES).select("told", "label", *PATH_FEATURES, *FEATURES).toPandas()
 
-def train(labelled: DataFrame, trees: int = 60, depth: int = 8, seed: int = 5):
-    """A random forest for labels that are right but not complete. None if only one label occurs.
 
-    The first forest finds, among the files without a label, those that look like labelled ones;
-    they are as good as unlabelled and take no part in the second, which is trained on labelled
-    files against reliable negatives.
-    """
+def _forest(features: list[str], trees: int, depth: int, seed: int):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=features, outputCol="features"),
+        RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=LEAF, featureSubsetStrategy="sqrt", seed=seed, maxBins=64),
+    ])
+
+
+def train(labelled: DataFrame, trees: int = 100, depth: int = 8, seed: int = 5):
+    """Random forests for labels that are right but not complete: (of contents, of contents and paths). None if only one label occurs.
+
+    The first forest of contents finds, among the files without a label, those that look like
+    labelled ones; they are as good as unlabelled and take no part in the second, which is trained on
+    labelled files against reliable negatives. Copies from other projects are left out of both: they
+    were written by hand somewhere, so their contents teach nothing. The last forest sees the
+    conventions of paths too; what the second says of a file, or its name or folder, is its label.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    sample = training_sample(labelled).toPandas()  # bounded by TRAIN_FILES
-    if sample["label"].nunique() < 2:
+    spark = labelled.sparkSession
+    sample = training_sample(labelled)  # bounded by TRAIN_FILES
+    own = sample[(sample["told"] != 2) & (sample["in_copies"] == 0)]
+    if own["label"].nunique() < 2:
         return None
-    sample["weight"] = sample["label"].map({1: LABEL_WEIGHT, 0: 1.0})
-    data = labelled.sparkSession.createDataFrame(sample).coalesce(4)
-    forest = Pipeline(stages=[
-        VectorAssembler(inputCols=FEATURES, outputCol="features"),
-        RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, maxBins=64),
-    ])
+    data = spark.createDataFrame(own.assign(weight=own["label"].map({1: LABEL_WEIGHT, 0: 1.0}))).coalesce(4)
+    forest = _forest(FEATURES, trees, depth, seed)
     first = forest.fit(data).transform(data).withColumn("p", vector_to_array("probability")[1])
-    return forest.fit(first.where((F.col("label") == 1) | (F.col("p") < DOUBTFUL)).select("label", "weight", *FEATURES))
+    contents = forest.fit(first.where((F.col("label") == 1) | (F.col("p") < DOUBTFUL)).select("label", "weight", *FEATURES))
+    every = contents.transform(spark.createDataFrame(sample).coalesce(4)).withColumn("p", vector_to_array("probability")[1])
+    known = (F.col("p") >= THRESHOLD) | (F.col("in_copies") + F.col("in_outputs") + F.col("tool_name") > 0)
+    given = every.select(known.cast("int").alias("label"), F.when(known, 2.0).otherwise(1.0).alias("weight"), *FEATURES, *PATH_FEATURES)
+    return contents, _forest([*FEATURES, *PATH_FEATURES], trees, depth + 2, seed).fit(given)
+
 
+def judged_files(chunks: DataFrame, owner: str | None = None) -> DataFrame:
+    """(file_path, told, label, by_contents, probability, ...): every file with what its header tells, its label, the vote of the forest of contents, and the vote that counts: where a name or folder tells something, the higher of both forests.
 
-def judged_files(chunks: DataFrame) -> DataFrame:
-    """(file_path, told, label, probability): every file with its label and the forest's probability that nobody wrote it."""
+    ``owner``: the project's own name in copyright lines, by default the one that most files name.
+    """
     from pyspark.ml.functions import vector_to_array
 
     from siltstone.session import cut_lineage
 
-    labelled = cut_lineage(with_labels(file_measures(chunks)))
-    model = train(labelled)
-    if model is None:
-        return labelled.select("file_path", "told", "label", F.col("label").cast("double").alias("probability"))
-    return model.transform(labelled).select("file_path", "told", "label", vector_to_array("probability")[1].alias("probability"), *FEATURES)
+    files = cut_lineage(file_measures(chunks))
+    labelled = with_labels(files, owner or owner_of(files))
+    models = train(labelled)
+    if models is None:
+        return labelled.select("file_path", "told", "label", F.col("label").cast("double").alias("by_contents"), F.col("label").cast("double").alias("probability"), *FEATURES)
+    contents, last = models
+    seen = contents.transform(labelled).withColumn("by_contents", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    sign = F.col("in_copies") + F.col("in_outputs") + F.col("tool_name") > 0
+    both = last.transform(seen).withColumn("by_all", vector_to_array("probability")[1])
+    return both.select("file_path", "told", "label", "by_contents", F.when(sign, F.greatest("by_contents", "by_all")).otherwise(F.col("by_contents")).alias("probability"), *FEATURES)
 
 
-def unwritten_files(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The files that nobody wrote by hand, each once: judged so by the forest, or labelled."""
-    return judged_files(chunks).where((F.col("probability") >= threshold) | (F.col("label") == 1)).select("file_path")
+def unwritten_files(chunks: DataFrame, threshold: float = THRESHOLD, owner: str | None = None) -> DataFrame:
+    """The files that nobody wrote by hand, each once: by the vote of a forest, or because their header says so."""
+    return judged_files(chunks, owner).where((F.col("probability") >= threshold) | (F.col("told") > 0)).select("file_path")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files of chunks that nobody wrote by hand."""
-    return unwritten_files(spark.read.parquet(f"{sf_dir}/chunks.parquet"))
+    from siltstone.session import spread
+
+    return unwritten_files(spread(spark.read.parquet(f"{sf_dir}/chunks.parquet").select("id", "file_path", "chunk_index", "start_line", "chunk_text"), "id"))
 
 
 SQL: dict[str, str] = {}
