@@ -1,11 +1,12 @@
 """Problem 1: credentials in code, configuration, scripts and notes, and their redaction.
 
-Quoted strings (joined where code puts them together from pieces), unquoted settings, parts of
-addresses and command options are the candidates. Each gets the Shannon entropy of its
-alphabet's symbols; the threshold is the entropy that a random string of its length and
-alphabet has on average, less a margin that depends on the context: a name such as
-``db_password`` allows far more regular values than none at all. Values in a published token
-format need no name. Hashes, identifiers, references and stand-in words are left out.
+Quoted strings (joined where code puts them together from pieces), unquoted settings, long tokens,
+key blocks, lists of bytes, parts of addresses and command options are the candidates, of whatever
+length. Each gets the Shannon entropy of its symbols; the threshold is the entropy that a random
+string of its length and alphabet has on average, less a margin that depends on the context
+(``MARGINS``): a name such as ``db_password`` allows far more regular values than none at all.
+Hashes, identifiers, references and stand-in words are left out. Without a name or another sign,
+strings of hex digits count as hashes or ids, and lines that are nothing but a literal as data.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
+
 
 @dataclass(frozen=True)
 class Found:
@@ -49,14 +53,32 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def threshold(length: int, size: int, margin: float) -> float:
-    """About the entropy of a random string (Miller-Madow bias taken off), less ``margin`` of it.
+@lru_cache(16384)
+def random_entropy(length: int, size: int) -> float:
+    """Mean entropy of a random string of ``length`` symbols of an alphabet of ``size``.
 
-    A string of n symbols of an alphabet of s can't reach log2(s): on average it misses
-    about (s - 1) / (2 n ln 2) bits while n exceeds s, and at most log2(n) is possible.
+    Each symbol occurs k times with binomial probability and then adds -(k/n) log2(k/n). Of more than
+    LONG_STRING symbols the bias (size - 1) / (2 n ln 2) is accurate enough.
     """
-    full = math.log2(size) - (size - 1) / (2 * max(length, size) * math.log(2))
-    return max(0.0, min(full, math.log2(max(2, length)) - 0.15) * (1 - margin))
+    if length > LONG_STRING:
+        return math.log2(size) - (size - 1) / (2 * length * math.log(2))
+    total, p = 0.0, (1 - 1 / size) ** length
+    for k in range(1, length + 1):
+        p *= (length - k + 1) / k / (size - 1)
+        total -= p * (k / length) * math.log2(k / length)
+    return size * total
+
+
+LONG_STRING = 1000
+
+
+def threshold(length: int, size: int, margin: float) -> float:
+    """The entropy that a random string of that length and alphabet has on average, less ``margin`` of it."""
+    return random_entropy(max(2, length), size) * (1 - margin)
+
+
+#: How far below the entropy of a random string a value may stay, by what stands around it.
+MARGINS = {"unnamed": 0.06, "assigned": 0.08, "weak name": 0.25, "key block": 0.3, "format": 0.3, "bytes": 0.4, "header": 0.4, "name": 0.55, "address": 0.6, "option": 0.6, "login": 0.6}
 
 
 # ---- what isn't a credential --------------------------------------------------------------
@@ -106,18 +128,21 @@ _KEY_BLOCK = regex.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)
 _KEY_END = regex.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = regex.compile(r"(?:\\r|\\n|[\s\"'`+#/*>|\\])*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*\s*)*[A-Za-z0-9+/=]{16}")
 
-_ADDRESS = regex.compile(r"(?i)\b[a-z][a-z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'`<>?#]{0,60}|<[^>\s]*>|\$\{[^}]*\}):(?P<v>[^\s/\"'`]{1,120}?)@(?=[\w.\-\[$<{])")
+_ADDRESS = regex.compile(r"(?i)\b[a-z][a-z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'`<>?#]*|<[^>\s]*>|\$\{[^}]*\}):(?P<v>[^\s/\"'`]+?)@(?=[\w.\-\[$<{])")
 _OPTION = regex.compile(
     r"(?i)(?<![\w\-])(?:--(?:password|passwd|pass|passphrase|token|secret|api-?key|auth-token|access-token|client-secret|secret-key|pwd)(?:\s+|=)(?P<q1>[\"']?)(?P<v1>[^\s\"'`]+)(?P=q1)"
-    r"|sshpass\s+-p\s*(?P<q2>[\"']?)(?P<v2>[^\s\"'`]+)(?P=q2)"
-    r"|(?:mysql\w*|mariadb\w*)\s[^\n]{0,80}?(?<=\s)-p(?P<q3>[\"']?)(?P<v3>[^\s\"'`\-][^\s\"'`]*)(?P=q3)"
-    r"|(?:curl|wget|http)\b[^\n]{0,200}?\s(?:-u|--user)[\s=]+(?P<q4>[\"']?)[^\s:\"'`]+:(?P<v4>[^\s\"'`]+)(?P=q4)"
-    r"|redis-cli\s[^\n]{0,60}?-a\s+(?P<q5>[\"']?)(?P<v5>[^\s\"'`]+)(?P=q5))"
+    r"|sshpass\s+-p\s*(?P<q2>[\"']?)(?P<v2>[^\s\"'`]+)(?P=q2))"
+)
+# Short options mean a password behind certain commands only, which stand before them in the line.
+_SHORT_OPTIONS = (
+    (regex.compile(r"(?<=\s)-p(?P<q>[\"']?)(?P<v>[^\s\"'`\-][^\s\"'`]*)(?P=q)"), regex.compile(r"(?i)(?<![\w\-])(?:mysql|mariadb)\w*\s")),
+    (regex.compile(r"\s(?:-u|--user)[\s=]+(?P<q>[\"']?)[^\s:\"'`]+:(?P<v>[^\s\"'`]+)(?P=q)"), regex.compile(r"(?i)(?<![\w\-])(?:curl|wget|http)\b")),
+    (regex.compile(r"\s-a\s+(?P<q>[\"']?)(?P<v>[^\s\"'`]+)(?P=q)"), regex.compile(r"(?i)(?<![\w\-])redis-cli\s")),
 )
 _HEADER = regex.compile(r"(?i)(?:(?:X-)?(?:Api-Key|Auth-Token|Access-Token|Private-Token|Vault-Token|Gitlab-Token)\s*:\s*|\b(?:Bearer|Token)\s+(?=[\w\-.+/=:]{8}))(?P<v>[^\s\"'`,;]+)")
 _BASIC = regex.compile(r"(?i)\bBasic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
 
-_LITERAL = r"(?:\"(?:[^\"\\\n]|\\.){0,6000}\"|'(?:[^'\\\n]|\\.){0,6000}'|`[^`\n]{0,6000}`)"
+_LITERAL = r"(?:\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)"
 _CHAIN = regex.compile(rf"(?P<first>{_LITERAL})(?:(?:\s*\+\s*|[ \t]*\.\.?[ \t]*|[ \t]*\\?\r?\n[ \t]*(?:\+[ \t]*)?)(?P<more>{_LITERAL}))*")
 #: From a name to its value: quotes, type notes, signs of assignment, wrappers that decode.
 _TO_VALUE = regex.compile(
@@ -125,8 +150,14 @@ _TO_VALUE = regex.compile(
     r"(?:(?::=|=>|={1,3}|:|,|\|)\s*|\bvalue\s*=\s*|(?:to|is|ist|est|es|lautet)\s+(?=[`\"'])|(?<=[\"'])\s+value\s*=\s*)"
     r"[{(\[]{0,2}\s*(?:(?:[A-Za-z_][\w.]*\.)?(?:b64decode|atob|decode|from|fromBase64|DecodeString|new\s+String|String|str|bytes|SecretStr|unhexlify)\(\s*){0,2}(?:[bBfFrRuU]{1,2}(?=[\"']))?"
 )
-_BARE = regex.compile(r"[^\s\"'`,;(){}<>|]{4,200}(?=[ \t]*(?:[,;]?[ \t]*(?:#.*|//.*)?$|\|))", regex.M)
-_LONG = regex.compile(r"(?P<q>[\"'`])(?P<v>[A-Za-z0-9+/=_\-]{20,120})(?P=q)")
+_BARE = regex.compile(r"[^\s\"'`,;(){}<>|]{4,}(?=[ \t]*(?:[,;]?[ \t]*(?:#.*|//.*)?$|\|))", regex.M)
+_LONG = regex.compile(r"(?P<q>[\"'`])(?P<v>[A-Za-z0-9+/=_\-]{20,}+)(?P=q)")
+#: A long token without any name: quoted, or between blanks and brackets.
+_TOKEN_RUN = regex.compile(r"(?<![A-Za-z0-9+/=_\-.:@$%&#?\\])[A-Za-z0-9][A-Za-z0-9+/_\-]{23,}+={0,2}(?![A-Za-z0-9+/=_\-(:@])")
+#: What tells that such a token is no secret, right before it or anywhere before it in its line.
+_NO_TOKEN_BEFORE = regex.compile(r"(?i)(?:base64,|sha\d{1,3}[-:= ]+|md5[-:= ]+|(?:ssh|ecdsa)-[\w\-]+ +|//[^\s\"'`]*|[/\\])$")
+_NO_TOKEN_LINE = regex.compile(r"(?i)hash|digest|checksum|integrity|etag|commit|sha-?\d+|md5|crc|uuid|guid|fingerprint|signature|icon|image|img|logo|avatar|font|charset|alphabet|public|certificate|thumbprint|nonce|revision|trace|data:")
+_ONLY_LITERAL = regex.compile(r"[\s\"'`#/*>|+\\\[\](){},;]*")
 _LONG_NAME = regex.compile(r"(?P<name>[A-Za-z_$][\w$.\-]*)[\"'`]?\]?[ \t]*(?::=|=>|=|:)[ \t]*[{(]?[ \t]*$")
 _BYTES = regex.compile(r"(?:new\s+byte\[\]\s*)?[\[{(]\s*(?P<v>(?:(?:\(byte\)\s*)?(?:0x[0-9a-fA-F]{1,2}|\d{1,3})\s*,\s*){7,}(?:\(byte\)\s*)?(?:0x[0-9a-fA-F]{1,2}|\d{1,3}))")
 _BYTES_SIGN = regex.compile(r"[\"'`]?(?:\s*:\s*[\w\[\]; ]+(?==))?\s*(?::=|=>|=|:)\s*(?:\w+\()?")
@@ -142,9 +173,9 @@ def _excluded(value: str) -> bool:
     return bool(_STAND_IN.search(value) or _REFERENCE.search(value) or _DATA.search(value) or _SEQUENCE.search(value))
 
 
-def _strong(value: str, margin: float) -> bool:
-    """Above the threshold for its length and alphabet."""
-    return entropy(value) >= threshold(len(value), alphabet(value)[1], margin)
+def _strong(value: str, context: str | float) -> bool:
+    """Above the threshold for its length, alphabet and context."""
+    return entropy(value) >= threshold(len(value), alphabet(value)[1], MARGINS[context] if isinstance(context, str) else context)
 
 
 #: Made of words: each in small letters with a vowel, perhaps with a capital, or a short run of capitals.
@@ -153,16 +184,24 @@ _WORDLIKE = regex.compile(r"(?:(?:[A-Z]?(?=[a-z]*[aeiouy])[a-z]{2,}|[A-Z]{2,6}(?
 
 def _named_value(value: str) -> bool:
     """Whether a value with a telling name is a credential: not a word, a phrase, a number or a stand-in."""
-    if len(value) < 6 or len(value) > 6000 or _excluded(value) or regex.search(r"\s", value) or not regex.search(r"\p{L}", value):
+    if len(value) < 6 or _excluded(value) or regex.search(r"\s", value) or not regex.search(r"\p{L}", value):
         return False
     kinds = sum(bool(regex.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w\-.]"))
     has_digit = bool(regex.search(r"\d", value))
     if not has_digit and len(value) >= 8 and regex.search(r"[a-z]", value) and regex.search(r"[A-Z]", value) and not _WORDLIKE.fullmatch(value):
-        return _strong(value, 0.3)
+        return _strong(value, "format")
     if not has_digit and (kinds < 2 or regex.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+|[\w.]+\(?\)?|[\w\-]+", value)):
         # without a digit only what no word or identifier looks like
         return len(value) >= 16 and regex.fullmatch(r"[A-Za-z0-9+/=]+", value) is not None and kinds >= 2 and _strong(value, 0.15) and not regex.fullmatch(r"(?:[A-Z]?[a-z]+)+", value)
-    return _strong(value, 0.55)
+    return _strong(value, "name")
+
+
+_WORD_RUN = regex.compile(r"[a-z]{5,}|[A-Z]{6,}")
+
+
+def _wordy(value: str) -> bool:
+    """Whether runs of small or of capital letters make up more of a value than chance does, a sixth: then it is put together from words."""
+    return sum(map(len, _WORD_RUN.findall(value))) * 6 > len(value)
 
 
 def _telling(name: str) -> bool:
@@ -202,32 +241,39 @@ def find(text: str | None, path: str | None = None) -> list[Found]:
                 close = _KEY_END.search(text, m.end())
                 other = _KEY_BLOCK.search(text, m.end())
                 end = close.end() if close and (not other or close.start() < other.start()) else _block_end(text, m.end())
-                add(m.start(), end, "private key")
+                body = regex.sub(r"\\[rn]|[^A-Za-z0-9+/=]", "", _KEY_END.sub("", regex.sub(r"(?m)^\W*(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*", "", text[m.end() : end])))
+                if not body or _strong(body, "key block"):  # cut off behind its first line, it is one all the same
+                    add(m.start(), end, "private key", body)
     if any(p in text for p in _PREFIXES):
         for m in _FORMATS.finditer(text):
-            if not _STAND_IN.search(m.group()) and (m.group().startswith("AKIA") or _strong(regex.sub(r"^.*(?:_live_|_pat_|-tok-|_|-)", "", m.group()) or m.group(), 0.3)):
+            if not _STAND_IN.search(m.group()) and _strong(regex.sub(r"^(?:AKIA|ASIA|AIza)|^.*(?:_live_|_pat_|-tok-|_|-)", "", m.group()) or m.group(), "format"):
                 add(m.start(), m.end(), "token")
     if "://" in text and "@" in text:
         for m in _ADDRESS.finditer(text):
             v = m.group("v")
-            if len(v) >= 4 and not _excluded(v) and not _REFERENCE.search(m.group("user") or "") and not v.isdigit():
+            if len(v) >= 4 and not _excluded(v) and not _REFERENCE.search(m.group("user") or "") and not v.isdigit() and _strong(v, "address"):
                 add(m.start("v"), m.end("v"), "address")
     if any(p in text for p in _OPTIONS):
         for m in _OPTION.finditer(text):
-            g = next(k for k in ("v1", "v2", "v3", "v4", "v5") if m.group(k))
+            g = next(k for k in ("v1", "v2") if m.group(k))
             v = m.group(g)
-            if len(v) >= 4 and not _excluded(v):
+            if len(v) >= 4 and not _excluded(v) and _strong(v, "option"):
                 add(m.start(g), m.end(g), "option")
+        for option, command in _SHORT_OPTIONS:
+            for m in option.finditer(text):
+                v = m.group("v")
+                if len(v) >= 4 and not _excluded(v) and _strong(v, "option") and command.search(text, text.rfind("\n", 0, m.start()) + 1, m.start() + 1):
+                    add(m.start("v"), m.end("v"), "option")
     low = text.lower()
     if any(p in low for p in _HEADERS):
         for m in _HEADER.finditer(text):
             v = m.group("v")
-            if len(v) >= 8 and not _excluded(v) and regex.search(r"\d", v) and _strong(v, 0.4):
+            if len(v) >= 8 and not _excluded(v) and regex.search(r"\d", v) and _strong(v, "header"):
                 add(m.start("v"), m.end("v"), "header")
     if "basic " in low:
         for m in _BASIC.finditer(text):
             inner = _decodes(m.group("v"))
-            if inner and ":" in inner and not _excluded(inner.split(":", 1)[1]):
+            if inner and ":" in inner and not _excluded(inner.split(":", 1)[1]) and _strong(inner.split(":", 1)[1], "login"):
                 add(m.start("v"), m.end("v"), "header")
     if any(p in low for p in _STEMS):
         for m in _NAME.finditer(text):
@@ -247,8 +293,19 @@ def find(text: str | None, path: str | None = None) -> list[Found]:
         name = at.group("name")
         if _HASH_NAME.search(name) or _OTHER_THING.search(name) or _excluded(v) or _UUID.fullmatch(v) or alphabet(v)[0] != "base64":
             continue
-        if all(regex.search(k, v) for k in (r"[a-z]", r"[A-Z]", r"\d")) and not regex.search(r"[a-z]{5,}|[A-Z]{6,}", v) and _strong(v, 0.06):
+        if all(regex.search(k, v) for k in (r"[a-z]", r"[A-Z]", r"\d")) and not _wordy(v) and _strong(v, "assigned"):
             add(m.start("v"), m.end("v"), "string")
+    for m in _TOKEN_RUN.finditer(text):
+        v = m.group()
+        if not (regex.search(r"[a-z]", v) and regex.search(r"[A-Z]", v) and regex.search(r"\d", v)) or alphabet(v)[0] != "base64" or _wordy(v) or not _strong(v, "unnamed"):
+            continue
+        start = text.rfind("\n", 0, m.start()) + 1
+        end = text.find("\n", m.end())
+        before, after = text[start : m.start()], text[m.end() : end if end >= 0 else len(text)]
+        if _ONLY_LITERAL.fullmatch(before) and _ONLY_LITERAL.fullmatch(after):
+            continue
+        if not (_NO_TOKEN_BEFORE.search(before) or _NO_TOKEN_LINE.search(before) or _excluded(v)):
+            add(m.start(), m.end(), "token")
     out.sort(key=lambda f: (f.start, -f.end))
     kept: list[Found] = []
     for f in out:
@@ -281,8 +338,9 @@ def _assigned(text: str, m, ext: str, add, weak: bool = False) -> None:
     numbers = _BYTES.match(text, sign.end()) if sign and not weak else None
     if numbers:
         given = regex.findall(r"0x[0-9a-fA-F]+|\d+", numbers.group("v"))
-        if len(set(given)) > len(given) // 2:
-            add(numbers.start("v"), numbers.end("v"), "bytes", "".join(chr(int(g, 0) & 255) for g in given))
+        held = "".join(chr(int(g, 0) & 255) for g in given)
+        if _strong(held, "bytes"):
+            add(numbers.start("v"), numbers.end("v"), "bytes", held)
         return
     to = _TO_VALUE.match(text, b)
     if not to:
@@ -301,7 +359,7 @@ def _assigned(text: str, m, ext: str, add, weak: bool = False) -> None:
         value = inner[user.end() :] if user else inner
         good = _named_value(value) or user is not None and _named_value(inner)
         if weak:
-            good = good and len(value) >= 12 and regex.search(r"\d", value) is not None and _strong(value, 0.25)
+            good = good and len(value) >= 12 and regex.search(r"\d", value) is not None and _strong(value, "weak name")
         if good:
             add(start, end, "assignment", value)
         return
@@ -314,16 +372,38 @@ def _assigned(text: str, m, ext: str, add, weak: bool = False) -> None:
         add(bare.start(), bare.end(), "setting")
 
 
-def redact(text: str, found: list[Found], mark: str = "*") -> str:
-    """The text with each value blanked, its length, line breaks and inner quotes kept, so that all else stays in place."""
+_NUMBER = regex.compile(r"0[xX][0-9a-fA-F]+|\d+")
+_KEPT_IN_PIECES = regex.compile(r"(?P<keep>[\"'`](?:\s|[+.\\])*[\"'`])|(?P<c>\S)")
+_KEPT_IN_KEYS = regex.compile(r"(?P<keep>\\[nr]|-----[A-Z0-9 ]+-----|[\"'`]|(?<=[\"'`]) *[+.\\]+|(?m:^[ \t]*(?:#+|//+|\*+|>+|\+)))|(?P<c>[A-Za-z0-9+/=:,\-])")
+
+
+def _zero(number: str) -> str:
+    """A number of the same width that every language reads as nought."""
+    return number[:2] + "0" * (len(number) - 2) if number[:2] in ("0x", "0X") else "0".rjust(len(number))
+
+
+def redact(text: str, found: list[Found], mark: str = "x") -> str:
+    """The text with each value blanked, its length, line breaks and quotes kept, so that all else stays in place and still parses.
+
+    Letters take the place of letters, signs and digits, which every language takes for a plain value, and
+    noughts that of numbers in lists. Quotes and signs between the pieces of a value stay.
+    """
+
+    def keep(m) -> str:
+        return m.group("keep") or mark
+
     out, at = [], 0
     for f in found:
         out.append(text[at : f.start])
         value = text[f.start : f.end]
-        if f.kind == "assignment":  # pieces stay pieces
-            value = regex.sub(r"(?P<keep>[\"'`]\s*[+.\\]*\s*[\"'`])|(?P<c>[^\r\n])", lambda m: m.group("keep") or mark, value)
+        if f.kind == "bytes":
+            value = _NUMBER.sub(lambda m: _zero(m.group()), value)
+        elif f.kind == "private key":
+            value = _KEPT_IN_KEYS.sub(keep, value)
+        elif f.kind == "assignment":
+            value = _KEPT_IN_PIECES.sub(keep, value)
         else:
-            value = regex.sub(r"(?P<keep>\\[nr]|-----[A-Z0-9 ]+-----)|[^\r\n]", lambda m: m.group("keep") or mark, value)
+            value = regex.sub(r"\S", mark, value)
         out.append(value)
         at = f.end
     out.append(text[at:])
@@ -364,14 +444,18 @@ def redact_credentials(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "file_path", "chunk_text").mapInPandas(blank, "id long, chunk_text string, values int")
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/chunks.parquet").select("id", "file_path", "chunk_text", "start_line"), "id")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all chunks on which a credential value starts."""
-    return find_credentials(spark.read.parquet(f"{sf_dir}/chunks.parquet")).select("id", "line_no").distinct()
+    return find_credentials(_chunks(spark, sf_dir)).select("id", "line_no").distinct()
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks, credentials blanked."""
-    return redact_credentials(spark.read.parquet(f"{sf_dir}/chunks.parquet"))
+    return redact_credentials(_chunks(spark, sf_dir))
 
 
 SQL: dict[str, str] = {}
