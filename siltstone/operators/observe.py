@@ -72,16 +72,17 @@ def bm25_tf(documents: DataFrame, key: str, body: str, query: str, k1: float = 1
 
     words = [w for w in re.split(r"[\W_]+", query.lower(), flags=re.A) if len(w) > 1]
     tokens = documents.select(key, text.fts_tokens(F.col(body)).alias("w")).where(F.size("w") > 0)
-    mean = tokens.agg(F.avg(F.size("w"))).first()[0] or 1.0
+    mean = tokens.agg(F.coalesce(F.avg(F.size("w")), F.lit(1.0)).alias("mean")).select("mean").scalar()
     tf = lambda w: F.size(F.filter("w", lambda x: x == w)).cast("double")
-    part = lambda t: F.log1p((k1 + 1) * t / (k1 * (1 - b + b * F.size("w") / F.lit(float(mean))) + t))
+    part = lambda t: F.log1p((k1 + 1) * t / (k1 * (1 - b + b * F.size("w") / F.col("mean")) + t))
     score = F.lit(0.0)
     for w in words:
         score = score + part(tf(w))
-    return tokens.select(key, F.round(score, 6).alias("score")).where(F.col("score") > 0)
+    return tokens.withColumn("mean", mean).select(key, F.round(score, 6).alias("score")).where(F.col("score") > 0)
 
 
 def normalize_scores(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Adds ``norm``: the score over the greatest one, at most 1; 0 if that is 0. The maximum is one number."""
-    most = scores.agg(F.max(score)).first()[0] or 0.0
-    return scores.withColumn("norm", F.round(F.least(F.lit(1.0), F.col(score) / F.lit(float(most))), 6) if most > 0 else F.lit(0.0))
+    """Adds ``norm``: the score over the greatest one, at most 1; 0 if that is 0. The maximum is a scalar subquery."""
+    most = scores.agg(F.coalesce(F.max(score), F.lit(0.0)).alias("most")).select("most").scalar()
+    share = F.when(F.col("_most") > 0, F.round(F.least(F.lit(1.0), F.col(score) / F.col("_most")), 6)).otherwise(F.lit(0.0))
+    return scores.withColumn("_most", most).withColumn("norm", share).drop("_most")
