@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalar, text
+from siltstone.session import ensure_checkpoint_dir, hashed_sample
 from siltstone.sources.shared import Folder
 
 K1, B = 1.2, 0.75
@@ -208,8 +209,9 @@ class SearchIndex:
     def _train(self, chunks: DataFrame, seg: int) -> None:
         """Fit the cells on at most TRAIN_ROWS vectors, chosen by the hash of their ids, about the root of all vectors in number."""
         good = chunks.where(scalar.usable_vector(F.col("embedding"), self.dim)).select("id", "embedding")
-        n = int(2 ** round(math.log2(max(1.0, math.sqrt(good.count())))))
-        sample = good.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select("embedding").toArrow().column(0).combine_chunks()
+        total = good.count()
+        n = int(2 ** round(math.log2(max(1.0, math.sqrt(total)))))
+        sample = hashed_sample(good, "id", TRAIN_ROWS, total).select("embedding").toArrow().column(0).combine_chunks()
         x = sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, self.dim)
         centres = fit_cells(_units(x), n) if len(x) else np.eye(1, self.dim, dtype=np.float32)
         rows = [(i, c.tolist()) for i, c in enumerate(centres)]
@@ -395,8 +397,6 @@ def index_of(spark: SparkSession, table: str, dim: int) -> SearchIndex:
     """The index of a Parquet table of chunks, kept in the shared checkpoint folder under a stamp of the table's files and built if it isn't there yet."""
     import hashlib
 
-    from siltstone.session import ensure_checkpoint_dir
-
     stamp = hashlib.sha256(json.dumps([table, dim, Folder(spark, table).stamp()]).encode()).hexdigest()[:24]
     index = SearchIndex(spark, f"{ensure_checkpoint_dir(spark)}/index/{stamp}", dim)
     if not index.version():

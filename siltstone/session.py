@@ -75,6 +75,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder.path())
 
 
+def hashed_sample(df: DataFrame, key: str, most: int, total: int) -> DataFrame:
+    """At most ``most`` of ``total`` rows, those with the smallest hashes of ``key``: the same ones whatever the layout.
+
+    Rows that can't be among them are left out in the scan, so what comes together in the end is little more than the sample.
+    """
+    from pyspark.sql import functions as F
+
+    h, span = F.pmod(F.xxhash64(F.lit(29), key), F.lit(1 << 30)), 1 << 30
+    share = min(1.0, (1.1 * most + 100) / max(1, total))
+    return df.where(h < int(share * span) + 1).orderBy(h, key).limit(most)
+
+
 def bounded_rows(df: DataFrame, bound: int) -> list | None:
     """All rows if there are at most ``bound`` of them, else None.
 
