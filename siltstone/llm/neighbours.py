@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import hashed_sample
+
 DIM = 64
 #: Vectors that the partition and the codebooks are fitted on: TRAIN_ROWS or, of more than 16 million vectors, eight for each cell, at most MOST_TRAIN.
 TRAIN_ROWS, PER_CELL, MOST_TRAIN = 32768, 8, 262144
@@ -37,6 +39,8 @@ WORDS = 16
 SCORE_T = 0.5
 #: Vectors or queries of one cell that are handled together, at most.
 BLOCK = 4096
+#: Pairs of blocks that a task scans, on average.
+TASK_BLOCKS = 4
 #: Candidates of a block that are ranked exactly, as a multiple of k.
 RERANK = 6
 #: Slack between the coded and the exact cosine when a least cosine is asked for.
@@ -199,7 +203,7 @@ def default_probes(cells: int, min_cosine: float | None, symmetric: bool = False
 
 def build_index(reps: DataFrame, n: int, dim: int = DIM) -> Index:
     """Fit on a bounded number of vectors, taken by the hash of their ids; every vector is indexed later."""
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(train_rows(n)).select("v").toArrow().column("v").combine_chunks()
+    sample = hashed_sample(reps, "rep", train_rows(n), n).select("v").toArrow().column("v").combine_chunks()
     x = _floats(sample, dim)
     return fit(x, _cells(n)) if len(x) else Index(np.zeros((1, dim), np.float32), np.zeros((dim // SUB, WORDS, SUB), np.float32))
 
@@ -298,6 +302,8 @@ def near_representatives(reps: DataFrame, queries: DataFrame, k: int, probes: in
     asked = _probing(queries, index, probes, dim)
     sizes, loads = _cell_counts(reps, index, 1, dim), _cell_counts(queries, index, probes, dim)
     cut = spark.createDataFrame([(c, -(-m // BLOCK), -(-loads.get(c, 1) // BLOCK)) for c, m in sizes.items()] or [(-1, 1, 1)], "cell int, vblocks int, qblocks int")
+    # a few blocks for each task, however many there are
+    tasks = 1 + sum(-(-m // BLOCK) * -(-loads.get(c, 1) // BLOCK) for c, m in sizes.items()) // TASK_BLOCKS
     part = lambda col, into: F.pmod(F.xxhash64(col), F.col(into)).cast("int")
     left = base.join(F.broadcast(cut), "cell").withColumn("vblock", part("rep", "vblocks")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
     right = asked.join(F.broadcast(cut), "cell").withColumn("qblock", part("query", "qblocks")).withColumn("vblock", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)))
@@ -316,14 +322,18 @@ def near_representatives(reps: DataFrame, queries: DataFrame, k: int, probes: in
             got[0].append(queries_[s + a])
             got[1].append(reps_[b])
             got[2].append(c)
+            if symmetric:  # each side may find what the other doesn't
+                got[0].append(reps_[b])
+                got[1].append(queries_[s + a])
+                got[2].append(c)
         return pa.Table.from_arrays([pa.array(np.concatenate(g)) for g in got], names=names)
 
     keys = ["cell", "vblock", "qblock"]
-    found = left.select(*keys, "rep", "v", "codes").groupBy(*keys).cogroup(right.select(*keys, "query", "v").groupBy(*keys)).applyInArrow(scan, "query long, rep long, cosine double")
+    left, right = left.select(*keys, "rep", "v", "codes").repartition(tasks, *keys), right.select(*keys, "query", "v").repartition(tasks, *keys)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query long, rep long, cosine double")
     if not symmetric:
         return found
-    # each side may have found what the other didn't
-    return found.unionByName(found.select(F.col("rep").alias("query"), F.col("query").alias("rep"), "cosine")).groupBy("query", "rep").agg(F.max("cosine").alias("cosine"))
+    return found.groupBy("query", "rep").agg(F.max("cosine").alias("cosine"))
 
 
 def nearest_neighbours(df: DataFrame, k: int = 10, probes: int | None = None, min_cosine: float | None = None, queries: Column | None = None, id_col: str = "id", vec_col: str = "embedding", dim: int = DIM) -> DataFrame:

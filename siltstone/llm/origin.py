@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import hashed_sample
+
 #: Files that the forest is trained on, at most.
 TRAIN_FILES = 20_000
 #: Weight of a labelled file against one without a label in training. About half of the tools' files
@@ -206,7 +208,7 @@ def with_labels(files: DataFrame, owner: str | None = None) -> DataFrame:
 
 def training_sample(labelled: DataFrame):
     """At most TRAIN_FILES files chosen by the hash of their paths, so that the share of labelled ones is that of all, as a pandas frame."""
-    return labelled.orderBy(F.xxhash64("file_path"), "file_path").limit(TRAIN_FILES).select("told", "label", *PATH_FEATURES, *FEATURES).toPandas()
+    return hashed_sample(labelled, "file_path", TRAIN_FILES, labelled.count()).select("told", "label", *PATH_FEATURES, *FEATURES).toPandas()
 
 
 def _forest(features: list[str], trees: int, depth: int, seed: int):
