@@ -167,6 +167,8 @@ class Items:
     seen: list[np.ndarray] = field(default_factory=list)
     runs: np.ndarray | None = None
     run_owners: np.ndarray | None = None
+    run_places: np.ndarray | None = None
+    run_filter: np.ndarray | None = None
     walks: Walks | None = None
     marks: dict[int, np.ndarray] = field(default_factory=dict)
 
@@ -188,20 +190,26 @@ class Items:
             self.keys.append(k[order])
             self.owners.append(o[order])
             self.starts.append(s[order])
-            seen = np.zeros(self.FILTER, bool)
-            seen[k & (self.FILTER - 1)] = True
-            self.seen.append(seen)
         runs = [_runs(x) for x in self.symbols]
         values, owners = np.concatenate(runs), np.repeat(np.arange(len(runs)), [len(x) for x in runs])
         order = np.argsort(values, kind="stable")
-        self.runs, self.run_owners = values[order], owners[order]
+        places = np.concatenate([np.arange(len(x)) for x in runs])
+        self.runs, self.run_owners, self.run_places = values[order], owners[order], places[order]
+        return self
+
+    def _filters(self) -> None:
+        """Bit tables that say quickly what no item has; they are made where they are used rather than sent."""
+        self.seen = [np.zeros(self.FILTER, bool) for _ in self.keys]
+        for seen, keys in zip(self.seen, self.keys):
+            seen[keys & (self.FILTER - 1)] = True
+        self.run_filter = np.zeros(self.FILTER, bool)
+        self.run_filter[self.runs & (self.FILTER - 1)] = True
         # the equal runs that a leak has at least: of three symbols, of items too short for that of two, or single ones
         self.marks = {}
         for x in self.symbols:
             length = 3 if least_runs(len(x)) >= 1 else 2 if len(x) >= 3 else 1
             seen = self.marks.setdefault(length, np.zeros(self.FILTER, bool))
             seen[_ngrams(x, length) & (self.FILTER - 1)] = True
-        return self
 
     def worth(self, symbols: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold an equal run, such as the verification asks for, of some item."""
@@ -218,6 +226,8 @@ class Items:
 
     def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, place of its first symbol and place of the window, for each window of the sequence that shares a key with one of the item."""
+        if not self.seen:
+            self._filters()
         items, places, hits = [], [], []
         worth = self.worth(symbols)
         for r in range(self.kind.repeats):
@@ -233,23 +243,36 @@ class Items:
             hits.append(hit[each])
         return np.concatenate(items), np.concatenate(places), np.concatenate(hits)
 
-    def shared_runs(self, symbols: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """How many of an item's runs of three symbols a sequence holds anywhere, for each row (sequence, item) of ``pairs``."""
+    def runs_in_bands(self, symbols: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """For each row (sequence, item) the most equal runs in a stretch of the item and a band of distances, as ``runs_together`` asks for them.
+
+        Bands of twice the width at every other width, for all pairs at once; a run that occurs twice counts
+        twice, so nothing is counted too low.
+        """
         runs = _runs(symbols)
-        own = np.searchsorted(starts, np.arange(len(runs)), "right") - 1
-        kept = np.flatnonzero(np.isin(runs, self.runs))
-        # each run of a sequence once: what counts are the item's runs
-        order = np.lexsort((runs[kept], own[kept]))
-        kept = kept[order]
-        kept = kept[np.append(True, (np.diff(runs[kept]) != 0) | (np.diff(own[kept]) != 0))[: len(kept)]]
+        kept = np.flatnonzero(self.run_filter[runs & (self.FILTER - 1)])
         lo = np.searchsorted(self.runs, runs[kept], "left")
         many = np.searchsorted(self.runs, runs[kept], "right") - lo
         each = np.repeat(np.arange(len(kept)), many)
-        item = self.run_owners[lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)]
-        both, count = np.unique(own[kept][each] * len(self.symbols) + item, return_counts=True)
-        asked = pairs[:, 0] * len(self.symbols) + pairs[:, 1]
-        at = np.minimum(np.searchsorted(both, asked), max(0, len(both) - 1))
-        return np.where(both[at] == asked, count[at], 0) if len(both) else np.zeros(len(asked), np.int64)
+        if not len(each):
+            return np.zeros(len(pairs), np.int64)
+        j = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+        item, place, at = self.run_owners[j], self.run_places[j], kept[each]
+        own = np.searchsorted(starts, at, "right") - 1
+        sizes = np.array([len(x) for x in self.symbols])
+        band = (at - starts[own] - place + sizes[item]) // _band(sizes)[item]
+        span = band.max() + 2
+        found, inverse = np.unique((own * len(sizes) + item) * span + band, return_inverse=True)
+        table = np.bincount(inverse * STEPS + place // _step(sizes)[item], minlength=len(found) * STEPS).reshape(-1, STEPS).cumsum(1)
+        table[:, STRETCH:] -= table[:, :-STRETCH].copy()
+        both, next_ = table.copy(), np.flatnonzero(np.diff(found) == 1)
+        both[next_] += table[next_ + 1]
+        pair = found // span
+        first = np.flatnonzero(np.append(True, np.diff(pair) != 0))
+        best, pair = np.maximum.reduceat(both.max(1), first), pair[first]
+        asked = pairs[:, 0] * len(sizes) + pairs[:, 1]
+        k = np.minimum(np.searchsorted(pair, asked), len(pair) - 1)
+        return np.where(pair[k] == asked, best[k], 0)
 
 
 def align_many(items: list[np.ndarray], regions: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -323,22 +346,41 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return _ngrams(x, 3)
 
 
-def runs_together(item: np.ndarray, region: np.ndarray) -> int:
-    """The most equal runs that half of an item and a region have at distances that differ little: what is leaked in one place has them so."""
+#: Steps of an item in which equal runs are counted, and how many make up PART of it and one more.
+STEPS = 20
+STRETCH = math.ceil(PART * STEPS) + 1
+
+
+def _step(size):
+    """Symbols of a step of an item."""
+    return np.maximum(1, -(-size // STEPS))
+
+
+def _band(size):
+    """How much the distances of runs that stand together may differ: a short insertion shifts what follows."""
+    return 12 + size // 8
+
+
+def runs_together(item: np.ndarray, region: np.ndarray, need: float) -> bool:
+    """Whether about PART of an item and a region have ``need`` equal runs at distances that differ little: what is leaked in one place has them so."""
     a, b, n = _runs(item), _runs(region), len(item)
     order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b, a, "left", sorter=order), np.searchsorted(b, a, "right", sorter=order)
-    many = hi - lo
-    if not many.any():
-        return 0
-    at_item = np.repeat(np.arange(len(a)), many)
-    at = order[lo[at_item] + np.arange(len(at_item)) - np.repeat(np.cumsum(many) - many, many)]
-    distance, width, best = at - at_item + len(a), 16 + n // 4, 0
-    step = max(1, n // 10)
-    for start in range(0, max(1, n // 2), step):  # any two fifths of the item lie in one of these halves
-        total = np.cumsum(np.bincount(distance[(at_item >= start) & (at_item < start + n // 2 + step)], minlength=width + 1))
-        best = max(best, int((total - np.concatenate([np.zeros(width, np.int64), total[:-width]])).max()))
-    return best
+    b = b[order]
+    lo = b.searchsorted(a, "left")
+    many = b.searchsorted(a, "right") - lo
+    total = int(many.sum())
+    if total < need:
+        return False
+    at_item = np.arange(len(a)).repeat(many)
+    at = order[lo[at_item] + np.arange(total) - (many.cumsum() - many).repeat(many)]
+    # any two fifths of the item lie in one of the stretches of STRETCH steps, a step longer; an insertion shifts what follows
+    step, width, span = int(_step(n)), _band(n), len(a) + len(b)
+    rows = -(-len(a) // step)
+    table = np.bincount((at_item // step) * span + at - at_item + len(a), minlength=rows * span).reshape(rows, span).cumsum(0)
+    table[STRETCH:] -= table[:-STRETCH].copy() if rows > STRETCH else 0
+    table = table.cumsum(1)
+    table[:, width:] -= table[:, :-width].copy()
+    return bool(table.max() >= need)
 
 
 def least_runs(size):
@@ -353,7 +395,7 @@ def least_runs(size):
 def are_leaks(items: list[np.ndarray], regions: list[np.ndarray]) -> list[bool]:
     """Whether each region holds PART of its item in order, with LEAST_EQUAL of it unchanged."""
     out = [False] * len(items)
-    kept = [k for k, (x, y) in enumerate(zip(items, regions)) if len(y) and (least_runs(len(x)) <= 0 or runs_together(x, y) >= least_runs(len(x)))]
+    kept = [k for k, (x, y) in enumerate(zip(items, regions)) if len(y) and (least_runs(len(x)) <= 0 or runs_together(x, y, float(least_runs(len(x)))))]
     kept.sort(key=lambda k: len(items[k]))
     while kept:
         size, width = len(items[kept[-1]]), max(len(regions[k]) for k in kept[-ALIGN_BLOCK:])
@@ -381,12 +423,14 @@ def leaks(sequences: list[np.ndarray], items: Items) -> list[tuple[int, int]]:
     sizes = np.array([len(x) for x in items.symbols])
     # the sequence that holds the window, though the item's first symbol may lie before it
     own = np.searchsorted(starts, hit, "right") - 1
-    slot = (place - starts[own]) // np.maximum(8, sizes[item] // 2)
+    strides = np.maximum(8, sizes // 2)
+    slot = (place - starts[own]) // strides[item]
     low = slot.min(initial=0)
     span = slot.max(initial=0) - low + 1
     code = np.unique((own * len(sizes) + item) * span + slot - low)
     where = np.stack([code // span // len(sizes), code // span % len(sizes), code % span + low], axis=1)
-    where = where[items.shared_runs(joined, starts, where) >= least_runs(sizes[where[:, 1]])]
+    need = least_runs(sizes[where[:, 1]])
+    where = where[(need <= 0) | (items.runs_in_bands(joined, starts, where[:, :2]) >= need)]
     regions = []
     for o, i, slot in where.tolist():
         size, g = len(items.symbols[i]), max(8, len(items.symbols[i]) // 2)
