@@ -199,6 +199,10 @@ class SearchIndex:
         """The chunks of the current version."""
         return self._live(self._docs()).select(*CHUNK_COLUMNS)
 
+    def postings(self) -> DataFrame:
+        """(stem, term, id, tf, dl, positions) of the current version."""
+        return self._live(self._read("postings", _POSTINGS)).select("stem", "term", "id", F.size("positions").alias("tf"), "dl", "positions")
+
     def fetch(self, keys: DataFrame, *columns: str) -> DataFrame:
         """``keys`` (a top-k list with seg and id) with columns of their chunks. The short list is broadcast and tells the scan which buckets to read."""
         short = F.broadcast(keys.withColumn("bucket", bucket_of("id")))

@@ -487,7 +487,7 @@ def vector_search(spark, d):
 SELECT term, id, count(*) AS tf, dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY term, id, dl""")
 def postings(spark, d):
     """The inverted index."""
-    return search.postings(chunks(spark, d))
+    return indexed(spark, d).postings().select("term", "id", "tf", "dl")
 
 
 _PHRASES = list(dict.fromkeys(tuple(w) for p in text.query_phrases(QUERY) if (w := text.phrase_words(p))))
