@@ -223,7 +223,7 @@ class Engine:
                 out[q] = time.time() - began
             return out
         if action == "report":
-            return {"index": self.status()["index"], "segments": len(self.store.state()["segments"]), "cache": self.performance("cache"), "metrics": [r.asDict() for r in self.performance("metrics").orderBy("name").collect()]}
+            return {"index": self.status()["index"], "store": self.store.stats(), "cache": self.performance("cache"), "metrics": [r.asDict() for r in self.performance("metrics").orderBy("name").collect()]}
         if not Folder(self.spark, self.root).exists("metrics"):
             return observe.metrics_summary(self.spark.createDataFrame([], "name string, value double, recorded_at timestamp"))
         return observe.metrics_summary(self.spark.read.parquet(f"{self.root}/metrics"))

@@ -14,6 +14,23 @@ U32 = 4294967295
 FNV_PRIME = 16777619
 
 
+def constant(value) -> Column:
+    """A text, a number, a list or a dictionary of them as one expression, parsed at once instead of built part by part."""
+
+    def sql(v) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if isinstance(v, float):
+            return f"{v!r}D"
+        if isinstance(v, dict):
+            return "map(" + ", ".join(f"{sql(k)}, {sql(x)}" for k, x in v.items()) + ")"
+        if isinstance(v, (list, tuple)):
+            return "array(" + ", ".join(map(sql, v)) + ")" if len(v) else "cast(array() AS array<string>)"
+        return repr(v)
+
+    return F.expr(sql(value))
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often and inside whatever lambda it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -97,7 +114,7 @@ def cosine_to(v: Column, query: list[float]) -> Column:
     """Cosine of a vector column with one query vector, whose norm is computed once here."""
     q = [float(x) for x in query]
     size = sum(x * x for x in q) ** 0.5
-    return dot(v, F.array(*(F.lit(x) for x in q))) / (norm(v) * F.lit(size))
+    return dot(v, constant(q)) / (norm(v) * F.lit(size))
 
 
 def l2_normalize(v: Column) -> Column:
@@ -118,7 +135,7 @@ def placeholder_embedding(text: Column, dim: int) -> Column:
         powers.append(p)
     rest = djb2a(text) % F.lit(m)
     seed = F.when(rest == 0, F.lit(1).cast("bigint")).otherwise(rest)
-    row = F.array(*(F.lit(p).cast("bigint") for p in powers))
+    row = constant(powers).cast("array<bigint>")
     raw = let(seed, lambda s: F.transform(row, lambda p: (((s * p) % F.lit(m)) / F.lit(float(m)) * 2 - 1).cast("float")))
     return let(raw, lambda r: F.transform(l2_normalize(r), lambda x: x.cast("float")))
 
@@ -126,8 +143,7 @@ def placeholder_embedding(text: Column, dim: int) -> Column:
 def file_type_multiplier(path: Column) -> Column:
     """Weight by the end of the file's name, 1 if it has none of the known ends."""
     end = F.lower(F.element_at(F.split(path, r"\."), -1))
-    table = F.create_map(*(F.lit(x) for kv in fixed.FILE_TYPE_MULTIPLIERS.items() for x in kv))
-    return F.coalesce(F.element_at(table, end), F.lit(1.0))
+    return F.coalesce(F.element_at(constant(fixed.FILE_TYPE_MULTIPLIERS), end), F.lit(1.0))
 
 
 def identifier_boost(matches: Column, boost: float = 1.5) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import fixed
+from siltstone.functions.scalar import constant
 
 SPECIAL, MAX_QUERY_TERMS = fixed.SPECIAL, fixed.MAX_QUERY_TERMS
 
@@ -31,7 +32,7 @@ def split_camel(name: Column) -> Column:
 def extract_identifiers(code: Column) -> Column:
     """Distinct identifiers in lower case, keywords and single letters left out. Null gives null."""
     found = F.flatten(F.array(*(F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in fixed.IDENTIFIER_PATTERNS)))
-    words = F.array(*(F.lit(k) for k in fixed.KEYWORDS))
+    words = constant(fixed.KEYWORDS)
     return F.array_distinct(F.filter(F.transform(found, F.lower), lambda w: (F.length(w) > 1) & ~F.array_contains(words, w)))
 
 
@@ -60,7 +61,7 @@ def identifier_variants(parts: list[str]) -> list[str]:
 def variant_columns(parts: Column) -> Column:
     """``identifier_variants`` of an array column of parts."""
     low = F.transform(parts, F.lower)
-    stop = F.array(*(F.lit(w) for w in fixed.VARIANT_STOPWORDS))
+    stop = constant(fixed.VARIANT_STOPWORDS)
     kept = F.filter(low, lambda p: ~F.array_contains(stop, p))
     use = F.when(F.size(kept) >= 2, kept).otherwise(low)
     camel = lambda ps: F.concat(F.element_at(ps, 1), F.array_join(F.transform(F.slice(ps, 2, 1000), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))), ""))
@@ -79,7 +80,7 @@ def expand_query(query: str) -> list[str]:
 
 def expand_columns(word: Column) -> Column:
     """``expand_query`` of a column of single words, as a distinct array; the table of synonyms is a map in the expression."""
-    synonyms = F.create_map(*(x for k, v in fixed.SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
+    synonyms = constant(fixed.SYNONYMS)
     low, none = F.lower(word), F.array().cast("array<string>")
     parts = split_camel(word)
     long = F.filter(F.transform(parts, F.lower), lambda p: F.length(p) > 2)
@@ -120,7 +121,7 @@ def prefix_query_column(query: Column) -> Column:
 def shared_identifiers(names: Column, wanted: list[str]) -> Column:
     """How many of ``wanted`` are among blank-separated names, whatever the case; each counts once. Null names hold none."""
     have = F.regexp_extract_all(F.lower(F.coalesce(names, F.lit(""))), F.lit("[a-z0-9_$]+"), F.lit(0))
-    return F.size(F.array_intersect(have, F.array(*(F.lit(w.lower()) for w in wanted)).cast("array<string>")))
+    return F.size(F.array_intersect(have, constant([w.lower() for w in wanted])))
 
 
 def is_code_grep(command: Column) -> Column:

@@ -165,6 +165,11 @@ class SearchIndex:
         self.at.write(f"CURRENT.{v}", json.dumps(state))
         return v
 
+    def stats(self) -> dict:
+        """Version, segments, live chunks with a word, words, cells and length of the vectors."""
+        state = self.state()
+        return {"version": self.version(), "segments": len(state["segments"]), "docs": state["docs"], "words": state["words"], "cells": len(self.centres()), "dim": state["dim"]}
+
     def vacuum(self, keep: int = 2) -> None:
         """Delete all but the newest ``keep`` versions, and the segments that only they used."""
         now = self.version()
@@ -276,15 +281,13 @@ class SearchIndex:
         Reads paths and ids of the index and the words of what is dropped; writes what is new.
         """
         state = self.state()
-        paths = new.select("file_path").distinct()
-        if gone is not None:
-            paths = paths.unionByName(gone.select("file_path")).distinct()
         seg = max(int(s) for s in self.at.names("segments")) + 1
+        docs, words = self._write_segment(new, seg, state["cells"])
+        paths = self.spark.read.schema(_DOCS).parquet(self.at.path(f"segments/{seg}/docs")).select("file_path")  # as written, so that ``new`` is computed once
+        paths = (paths if gone is None else paths.unionByName(gone.select("file_path"))).distinct()
         old = self._live(self._docs()).join(paths, "file_path", "left_semi")
-        dead = self.at.path(f"segments/{seg}/dead")
-        old.select(F.col("seg").alias("of"), "id").write.mode("overwrite").parquet(dead)
+        old.select(F.col("seg").alias("of"), "id").write.mode("overwrite").parquet(self.at.path(f"segments/{seg}/dead"))
         lost = self._sizes(old)
-        docs, words = self._write_segment(new, seg, state["cells"])
         now = {**state, "segments": [*state["segments"], seg], "docs": state["docs"] + docs - int(lost["docs"]), "words": state["words"] + words - int(lost["words"] or 0)}
         version = self._commit(now)
         return self.compact() if len(now["segments"]) > SEGMENTS else version
@@ -397,12 +400,29 @@ class SearchIndex:
         return self._best(scored, k)
 
 
+_opened: dict[tuple[str, str], SearchIndex] = {}
+
+
 def index_of(spark: SparkSession, table: str, dim: int) -> SearchIndex:
-    """The index of a Parquet table of chunks, kept in the shared checkpoint folder under a stamp of the table's files and built if it isn't there yet."""
+    """The index of a Parquet table of chunks, kept in the shared checkpoint folder under a stamp of the table's files and built if it isn't there yet.
+
+    It is built under another name and then moved, so of two that build it at the same time one is taken.
+    """
     import hashlib
+    import uuid
 
     stamp = hashlib.sha256(json.dumps([table, dim, Folder(spark, table).stamp()]).encode()).hexdigest()[:24]
-    index = SearchIndex(spark, f"{ensure_checkpoint_dir(spark)}/index/{stamp}", dim)
-    if not index.version():
-        index.write(spark.read.parquet(table))
-    return index
+    kept = Folder(spark, f"{ensure_checkpoint_dir(spark)}/index")
+    key = (spark.sparkContext.applicationId, kept.path(stamp))
+    if key not in _opened:
+        if not kept.exists(stamp):
+            made = f"{stamp}-{uuid.uuid4().hex}"
+            SearchIndex(spark, kept.path(made), dim).write(spark.read.parquet(table))
+            try:
+                kept.move(made, stamp)
+            except OSError:
+                kept.delete(made)
+                if not kept.exists(stamp):
+                    raise
+        _opened[key] = SearchIndex(spark, kept.path(stamp), dim)
+    return _opened[key]

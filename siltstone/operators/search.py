@@ -120,7 +120,7 @@ def hybrid_search(
     """
     fused = fuse(both_lists(index, query, query_vector, 2 * k, path_prefix, stemmed, exact), weights[0], weights[1])
     wanted = text.identifiers_of(query)
-    shared = F.size(F.array_intersect(text.extract_identifiers(F.col("chunk_text")), F.array(*(F.lit(w) for w in wanted)).cast("array<string>")))
+    shared = F.size(F.array_intersect(text.extract_identifiers(F.col("chunk_text")), scalar.constant(wanted)))
     score = F.col("rrf") * scalar.identifier_boost(shared, identifier_boost) * scalar.file_type_multiplier(F.col("file_path")) * F.lit(weights[2])
     one = Window.partitionBy()
     scored = fused.withColumn("score", score).withColumn("best", F.max("score").over(one)).withColumn("none", F.max("vector_rank").over(one).isNull())
@@ -164,7 +164,7 @@ def heuristic_rerank(results: DataFrame, query: str) -> DataFrame:
     names = [w.lower() for w in re.findall(r"\b[a-zA-Z_$][a-zA-Z0-9_$]*\b", query) if len(w) > 2]
     low = F.lower("chunk_text")
     terms = F.array_distinct(F.filter(F.split(F.regexp_replace(low, r"[^\w\s]", " "), r"\s+"), lambda w: F.length(w) > 2))
-    overlap = F.size(F.array_intersect(terms, F.array(*(F.lit(w) for w in words)).cast("array<string>"))) / F.lit(float(len(words))) if words else F.lit(0.0)
+    overlap = F.size(F.array_intersect(terms, scalar.constant(words))) / F.lit(float(len(words))) if words else F.lit(0.0)
     found = reduce(lambda a, b: a + b, (F.contains(low, F.lit(n)).cast("int") for n in names), F.lit(0)) / F.lit(float(max(1, len(names))))
     parts = re.split(r"\s+", query.lower())
     some = reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in parts if len(w) > 3), F.lit(0)) / F.lit(float(len(parts)))

@@ -57,3 +57,26 @@ def test_no_query_has_a_product(spark, data):
     for name in ("hybrid_search", "upsert_chunks", "incremental_sync", "diff_sync", "debounced_batches", "mean_pool", "bm25_tf"):
         p = plan(catalogue.queries()[name](spark, data).where(F.lit(True)))
         assert "Cartesian" not in p and "NestedLoop" not in p, name
+
+
+def test_keyword_search_reads_the_buckets_of_its_stems(spark, data):
+    from siltstone.operators.index import bucket_number, bucket_of
+    from siltstone.plans import catalogue
+
+    ix = catalogue.indexed(spark, data)
+    p = plan(ix.bm25("loading", 5))
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ (?:IN|INSET|= )", p) and re.search(r"PushedFilters: \[.*(?:EqualTo|In)\(stem,", p)
+    assert "chunk_text" not in p and "Cartesian" not in p and "NestedLoop" not in p
+    names = ["load", "é", "", "日本", "x" * 50]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(bucket_of("n")).collect()
+    assert [r[0] for r in rows] == [bucket_number(n) for n in names]
+
+
+def test_cells_prune_and_texts_come_last(spark, data):
+    from siltstone.plans import catalogue
+
+    ix = catalogue.indexed(spark, data)
+    p = plan(ix.knn([1.0] * 64, 5, exact=False))
+    assert re.search(r"PartitionFilters: \[.*part#\d+", p) and re.search(r"PushedFilters: \[.*In\(cell,", p)
+    assert "StringStartsWith(file_path,src/)" in plan(ix.knn([1.0] * 64, 5, "src/"))
+    assert "dynamicpruning" in plan(ix.fetch(ix.knn([1.0] * 64, 5), "chunk_text")).lower()

@@ -83,6 +83,7 @@ def test_changes_of_the_index(spark, tmp_path):
     assert {r["id"]: r["chunk_text"] for r in ix.read().where("id = 100").collect()} == {100: "again shared"} and ix.knn([0.0, 1.0], 1).first()["id"] == 100
     ix.compact()
     assert len(ix.state()["segments"]) == 1 and ix.read().count() == 22 and ix.bm25("again", 3).first()["id"] == 100
+    assert ix.stats() == {"version": 4, "segments": 1, "docs": 22, "words": ix.state()["words"], "cells": 4, "dim": 2}
     ix.vacuum(1)
     assert ix.knn([0.0, 1.0], 1, exact=False, probes=99).first()["id"] == 100
     ix.clear()
