@@ -355,7 +355,7 @@ class SearchIndex:
             return rows.select("seg", "id", F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
         groups = [F.col("term").startswith(w) | F.col("stem").startswith(w) for w in words]
         hits = self._live(rows.where(reduce(lambda a, b: a | b, groups)))
-        counted = hits.groupBy("seg", "id").agg(F.max("dl").alias("dl"), *(F.coalesce(F.sum(F.when(g, F.size("positions"))), F.lit(0)).cast("double").alias(f"tf{i}") for i, g in enumerate(groups)))
+        counted = self._by_chunk(hits, F.max("dl").alias("dl"), *(F.coalesce(F.sum(F.when(g, F.size("positions"))), F.lit(0)).cast("double").alias(f"tf{i}") for i, g in enumerate(groups)))
         if len(words) <= 6:
             counted = counted.where(reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(words)))))
         return self._scored(counted, len(words), k, path_prefix)
@@ -376,7 +376,7 @@ class SearchIndex:
         is_ = {w: f"{column} = '{w}'" for w in words}  # words hold letters and digits only
         counts = [F.expr(f"coalesce(sum(CASE WHEN {is_[w]} THEN size(positions) END), 0) AS n{i}") for w, i in at.items()]
         places = [F.expr(f"flatten(collect_list(CASE WHEN {is_[w]} THEN positions END)) AS w{at[w]}") for w in words if w in inner]
-        found = hits.groupBy("seg", "id").agg(F.max("dl").alias("dl"), *counts, *places)
+        found = self._by_chunk(hits, F.max("dl").alias("dl"), *counts, *places)
 
         def count(p: list[str]) -> str:
             if len(p) == 1:
@@ -386,10 +386,17 @@ class SearchIndex:
         counted = found.select("seg", "id", "dl", *(F.expr(f"cast({count(p)} AS double) AS tf{i}") for i, p in enumerate(phrases)))
         return self._scored(counted, len(phrases), k, path_prefix)
 
+    def _by_chunk(self, hits: DataFrame, *figures: Column) -> DataFrame:
+        """Figures of each chunk (seg, id). With one segment its number is no key: a constant key would keep two readers from sharing the shuffle."""
+        segments = self.state()["segments"]
+        if len(segments) > 1:
+            return hits.groupBy("seg", "id").agg(*figures)
+        return hits.groupBy("id").agg(*figures).withColumn("seg", F.lit(segments[0]))
+
     def _scored(self, counted: DataFrame, n: int, k: int, path_prefix: str | None) -> DataFrame:
         state = self.state()
         docs, mean = float(state["docs"]), state["words"] / max(1, state["docs"]) or 1.0
-        # dl is asked for here too, so that statistics and scores read one shuffle of the hits
+        # dl is asked for here too, so that statistics and scores can read one shuffle of the hits (Spark shares it unless there are lists of places)
         df = counted.agg(F.expr("array(" + ", ".join(f"count_if(tf{i} > 0 AND dl IS NOT NULL)" for i in range(n)) + ") AS df")).select("df").scalar()
         rows = counted.where(" OR ".join(f"tf{i} > 0" for i in range(n))).withColumn("df", df)
         part = "greatest(ln(({docs!r}D - df[{i}] + 0.5D) / (df[{i}] + 0.5D)), {least!r}D) * tf{i} * {k1!r}D / (tf{i} + {K1!r}D * ({rest!r}D + {B!r}D * dl / {mean!r}D))"
